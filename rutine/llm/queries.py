@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module of each operator, by its number.
-MODULES = {4: "bpe_queries", 5: "mixing", 6: "blocknames"}
+MODULES = {3: "langid", 4: "bpe_queries", 5: "mixing", 6: "blocknames", 9: "secrets", 10: "topk"}
 
 
 def _all() -> tuple[dict, dict]:
