@@ -18,9 +18,12 @@ BLOCK_BYTES = 8192
 
 
 def _named(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """The distinct keys with integer names that follow their sort order. Written, so that names never change."""
+    """The distinct keys with integer names that follow their sort order. Written, so that names never change.
+
+    They are sorted by hash and then by content: the driver samples hashes for the range bounds, never blocks."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = df.select(*keys).distinct().repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    some = df.select(*keys).distinct().withColumn("hash", F.xxhash64(*keys))
+    some = some.repartitionByRange(n, "hash").sortWithinPartitions("hash", *keys).drop("hash")
     return written(some.withColumn("name", F.monotonically_increasing_id()), label)
 
 
