@@ -79,9 +79,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, that with the largest id; all columns stay."""
-    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(groups, docs[id_col].eqNullSafe(groups["_kept"]), "left_semi")
+    """docs without the rows that exact_groups() does not keep; all columns stay. Only the ids of what goes are moved."""
+    gone = exact_groups(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
+    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return docs.join(written(gone, "gone"), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text == F.col("_gone_text")), "left_anti")
 
 
 def op6_block_naming(spark, sf_dir: str) -> DataFrame:

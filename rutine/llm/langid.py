@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rutine.llm.common import arrow_batches, table
 
@@ -252,6 +253,22 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def with_language(docs: DataFrame, net: Network, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the two columns of identify() under the given names; all other columns pass through, repeated rows and null ids too."""
+    arrow_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    kinds = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            texts = [x if x and net.languages and any(map(str.isalpha, x)) else "" for x in b.column(at).to_pylist()]
+            best = [(net.languages[int(p.argmax())], min(1.0, float(p.max()))) if x else (UNKNOWN, 0.0) for x, (p, _) in zip(texts, net.pooled([x.encode() for x in texts]), strict=True)]
+            lang, score = zip(*best, strict=True) if best else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=kinds.names)
+
+    return docs.mapInArrow(run, kinds)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

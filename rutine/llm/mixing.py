@@ -90,48 +90,84 @@ def min_cost_flow(supplies: list[int], sides: list[list[int]], quotas: list[int]
             cap[e ^ 1] += push
 
 
-def mix(docs: DataFrame, size: Column, sources: Column, targets, repeats: int = 2, seed: int = 7, id_col: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
-    """Choose documents so that each source's words come near its target.
+def _place(id_: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(id_.cast("string"), F.lit("")))
 
-    sources is an array of the sources that a document belongs to (null elements are a source of their own;
-    a null or empty array belongs to none and gives nothing). targets maps {source: words there} to
-    {source: words wanted}. Returns (id, size, sources, taken), one row for each row of docs: taken is 0, size or a whole
-    multiple of size up to repeats. A pattern's choice misses its flow by half a document at most. The order of choice is a
-    seeded hash of the id (rows that repeat an id share a fate), so reruns agree and no task sorts a whole source.
-    Also returns, as attributes _targets and _sizes of the result, the tables of both by source."""
-    rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast("array<string>")).alias("sources"))
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    rows = written(rows.withColumns({"place": order, "bucket": F.pmod(F.shiftrightunsigned(order, 40), F.lit(buckets))}), "sized")
-    layers = rows.groupBy("sources", "bucket").agg(F.sum("size").alias("words"))
-    layers = written(layers, "layers")
+
+def _bucket(place: Column, buckets: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(place, 40), F.lit(buckets))
+
+
+def _pattern(sources: Column) -> Column:
+    return F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast("array<string>"))
+
+
+def _times(place: Column, id_: Column, buckets: int) -> Column:
+    """How many times a document is taken, by the columns of its pattern's mark."""
+    bucket = _bucket(place, buckets)
+    before = F.coalesce(F.struct(place.alias("place"), id_.alias("id")) <= F.col("_mix_last"), F.lit(False))
+    inside = F.col("_mix_stop").isNotNull() & ((bucket < F.col("_mix_stop")) | ((bucket == F.col("_mix_stop")) & before))
+    return F.coalesce("_mix_times", F.lit(0)) + inside.cast("long")
+
+
+def _marks(rows: DataFrame, targets, repeats: int, buckets: int) -> tuple[DataFrame, dict, dict]:
+    """(marks, wanted, sizes) of rows (id, size, sources, place).
+
+    A mark says of a pattern how many times all of its documents are taken, and up to which place some are taken once more."""
+    rows = rows.withColumn("bucket", _bucket(F.col("place"), buckets))
+    layers = written(rows.groupBy("sources", "bucket").agg(F.sum("size").alias("words")), "layers")
     patterns = layers.groupBy("sources").agg(F.sum("words").alias("words")).orderBy("sources").limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
     names = sorted({s for r in patterns for s in r.sources}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(r.words for r in patterns if s in r.sources) for s in names}
     wanted = targets(sizes)
-    flow = min_cost_flow([r.words for r in patterns], [[names.index(s) for s in r.sources] for r in patterns], [round(wanted[s]) for s in names], repeats)
+    at = {s: i for i, s in enumerate(names)}
+    flow = min_cost_flow([r.words for r in patterns], [[at[s] for s in r.sources] for r in patterns], [round(wanted[s]) for s in names], repeats)
     given = [0] * len(patterns)
     for (p, _), words in flow.items():
         given[p] += words
     plan = [(list(r.sources), g // r.words if r.words else 0, g % r.words if r.words else 0) for r, g in zip(patterns, given, strict=True)]
-    spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(plan, "sources array<string>, times long, rest long"))  # MOST_PATTERNS rows at most
+    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "sources array<string>, times long, rest long"))  # MOST_PATTERNS rows at most
     below = F.coalesce(F.sum("words").over(Window.partitionBy("sources").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = layers.withColumn("below", below).join(plan, "sources").where("below <= rest AND rest < below + words").select("sources", "bucket", "below", "rest")
     cut = written(cut, "cut")  # at most one row for each pattern
-    here = Window.partitionBy("sources").orderBy("place", "id")
-    edge = rows.join(F.broadcast(cut), ["sources", "bucket"])
-    edge = edge.withColumn("reach", F.col("below") + F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    here = Window.partitionBy("sources").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
+    edge = rows.join(F.broadcast(cut), ["sources", "bucket"]).withColumn("reach", F.col("below") + F.sum("size").over(here))
     last = edge.where("reach - rest <= rest - (reach - size)").groupBy("sources").agg(F.max(F.struct("place", "id")).alias("last"))
     marks = plan.join(cut.select("sources", "bucket"), "sources", "left").join(last, "sources", "left")
-    marks = F.broadcast(written(marks.select("sources", "times", "rest", F.col("bucket").alias("stop"), "last"), "marks"))
-    inside = F.col("stop").isNotNull() & ((F.col("bucket") < F.col("stop")) | ((F.col("bucket") == F.col("stop")) & F.coalesce(F.struct("place", "id") <= F.col("last"), F.lit(False))))
-    out = rows.join(marks, "sources", "left").select(F.col("id").alias(id_col), "size", "sources", (F.col("size") * (F.coalesce("times", F.lit(0)) + inside.cast("long"))).alias("taken"))
+    marks = marks.select(F.col("sources").alias("_mix_sources"), F.col("times").alias("_mix_times"), F.col("bucket").alias("_mix_stop"), F.col("last").alias("_mix_last"))
+    return F.broadcast(written(marks, "marks")), wanted, sizes
+
+
+def mix(docs: DataFrame, size: Column, sources: Column, targets, repeats: int = 2, seed: int = 7, id_col: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """Choose documents so that each source's words come near its target.
+
+    sources is an array of the sources that a document belongs to (null elements are a source of their own;
+    a null or empty array belongs to none and gives nothing). targets maps {source: words there} to
+    {source: words wanted}. Returns (id, size, sources, taken), one row for each row of docs: taken is 0, size or a whole
+    multiple of size up to repeats. A pattern's choice misses its flow by half a document at most. The order of choice is a
+    seeded hash of the id (rows that repeat an id share a fate), so reruns agree and no task sorts a whole source.
+    Also returns, as attributes _targets and _sizes of the result, the tables of both by source."""
+    rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), _pattern(sources).alias("sources")).withColumn("place", _place(F.col("id"), seed))
+    rows = written(rows, "sized")
+    marks, wanted, sizes = _marks(rows, targets, repeats, buckets)
+    out = rows.join(marks, F.col("sources") == F.col("_mix_sources"), "left")
+    out = out.select(F.col("id").alias(id_col), "size", "sources", (F.col("size") * _times(F.col("place"), F.col("id"), buckets)).alias("taken"))
     out._targets, out._sizes = wanted, sizes
     return out
 
 
+def mixed_rows(docs: DataFrame, size: Column, sources: Column, targets, repeats: int = 2, seed: int = 7, id_col: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+    """The mix itself: rows of docs as many times as mix() takes them, with the columns of docs. Rows do not move."""
+    rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), _pattern(sources).alias("sources")).withColumn("place", _place(F.col("id"), seed))
+    marks, _, _ = _marks(written(rows, "sized"), targets, repeats, buckets)
+    out = docs.join(marks, _pattern(sources) == F.col("_mix_sources"), "left")
+    times = _times(_place(F.col(id_col), seed), F.col(id_col), buckets)
+    out = out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return out.select(*[docs[c] for c in docs.columns])
+
+
 #: Weights that sources get in their order, repeating.
 CYCLE = (5, 2, 1)
 
