@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "smoke_events"
+from rutine.registry import QUERIES, SQL
 
-
-def smoke_events(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+#: The most frequent pairs of each log: source, order, symbols, windows and aggregation in one.
+FLAGSHIP = "q_bigram_top"
 
 
 def queries() -> dict:
-    return {"smoke_events": smoke_events}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {"smoke_events": 'SELECT event_type, count(*) AS "count" FROM events GROUP BY 1'}
+    return dict(SQL)
