@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from rutine.functions import scalars
 from rutine.operators import evaluation, features, grammar, intervals, mining, motifs, reports, sequence, synthesis
 from rutine.plans.pipeline import discover, variance_study
+from rutine.plans.tables import written
 from rutine.sources import logs
 
 QUERIES: dict = {}
@@ -244,10 +245,10 @@ def q_latex_name(spark, sf_dir):
 # grammar
 
 
-def _level_one(spark, sf_dir) -> DataFrame:
+def _level_one(log: DataFrame) -> DataFrame:
     """The five most frequent pairs of each log as rules of length 2."""
     order = Window.partitionBy("log_id").orderBy(F.desc("count"), "first_pos")
-    pairs = sequence.bigram_table(symbol_log(spark, sf_dir), positions=False).withColumn("r", F.row_number().over(order)).where("r <= 5")
+    pairs = sequence.bigram_table(log, positions=False).withColumn("r", F.row_number().over(order)).where("r <= 5")
     return pairs.select("log_id", F.array("left", "right").alias("expansion"))
 
 
@@ -258,7 +259,8 @@ DENSITY = SYMBOLS + """, e AS (SELECT log_id, event_index, symbol AS l, lead(sym
 
 
 def dense_log(spark, sf_dir) -> DataFrame:
-    return grammar.rule_density(symbol_log(spark, sf_dir), _level_one(spark, sf_dir))
+    log = written(symbol_log(spark, sf_dir), "symbols")
+    return grammar.rule_density(log, _level_one(log))
 
 
 @query("q_density_fixed_rules", f"WITH {DENSITY} SELECT * FROM density")
@@ -290,7 +292,7 @@ def q_rule_closure(spark, sf_dir):
 
 @query("q_grammar_density")
 def q_grammar_density(spark, sf_dir):
-    log = symbol_log(spark, sf_dir)
+    log = written(symbol_log(spark, sf_dir), "symbols")
     return grammar.density_of(log, grammar.re_pair(log)[0]).select("log_id", "event_index", "symbol", "rule_density_count")
 
 
@@ -323,7 +325,7 @@ SWITCH = f"""{DENSITY}, c AS (SELECT log_id, quantile_cont(rule_density_count, 0
 
 
 def _switched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    log = dense_log(spark, sf_dir)
+    log = written(dense_log(spark, sf_dir), "dense")
     return log, grammar.app_switches(log, grammar.cores(log, "percentile", 0.8), ["event_type"])
 
 
@@ -600,7 +602,7 @@ def q_hier_distance(spark, sf_dir):
     return features.cost_matrix(v, features.hierarchy_weights(2))
 
 
-@query("q_group_distance", f"""WITH {LOG}, g AS (SELECT log_id, event_index // 10 AS g, event_index % 10 + 1 AS o, event_type, k FROM log WHERE event_index < 40)
+@query("q_group_distance", f"""WITH {LOG}, g AS MATERIALIZED (SELECT log_id, event_index // 10 AS g, event_index % 10 AS o, event_type, k FROM log WHERE event_index < 40)
     SELECT a.log_id, a.g AS g1, b.g AS g2, avg(CASE WHEN a.event_type <> b.event_type THEN 2.0 * (1 - (CASE WHEN a.k = b.k THEN 1 ELSE 0 END) / 3) ELSE 0.0 END + CASE WHEN a.k <> b.k THEN 1.0 ELSE 0.0 END) AS distance FROM g a JOIN g b ON a.log_id = b.log_id AND a.o = b.o AND a.g <= b.g GROUP BY 1, 2, 3""")
 def q_group_distance(spark, sf_dir):
     g = event_log(spark, sf_dir).where("event_index < 40").select("log_id", F.floor(F.col("event_index") / 10).alias("group_id"), (F.col("event_index") % 10).alias("ordinal"), F.array(F.xxhash64("event_type"), "k").alias("levels"))
