@@ -431,7 +431,7 @@ def q_band_match_score(spark, sf_dir):
 
 
 @query("q_coverage_best", f"""WITH {MOTIFS}, {TRUTH}, p AS (SELECT m.log_id, motif_start AS "start", gt_id, CASE WHEN (gt_start >= motif_start AND gt_end <= motif_start + 8) OR (motif_start >= gt_start AND motif_start + 8 <= gt_end) THEN 1.0 ELSE CAST(least(motif_start + 8, gt_end) - greatest(motif_start, gt_start) AS DOUBLE) / 8 END AS coverage
-      FROM (SELECT DISTINCT log_id, motif_start FROM motifs) m JOIN truth t ON m.log_id = t.log_id AND motif_start < gt_end AND gt_start < motif_start + 8),
+      FROM (SELECT DISTINCT log_id, motif_start FROM motifs) m JOIN truth t ON m.log_id = t.log_id AND motif_start < gt_end AND gt_start < motif_start + 8 AND gt_start < gt_end),
     r AS (SELECT *, row_number() OVER (PARTITION BY log_id, "start" ORDER BY coverage DESC, gt_id) AS n FROM p) SELECT log_id, "start", gt_id, coverage FROM r WHERE n = 1 AND coverage >= 0.5""")
 def q_coverage_best(spark, sf_dir):
     starts = type_motifs(spark, sf_dir).select("log_id", F.col("motif_start").alias("start"))
