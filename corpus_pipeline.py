@@ -35,7 +35,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that with the smallest doc_id: five words, a similarity of 0.8."""
     classes = ngram_join.similar_classes(docs.select("doc_id", "text"), words=5, percent=80)
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(written(gone, "near"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(gone, "near").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,10 +79,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() does not keep; all columns stay. Only the ids of what goes are moved."""
+    """docs without the rows that exact_groups() does not keep; all columns stay.
+
+    What goes is matched by a merge join at every size, so that cost grows as the input does."""
     gone = exact_groups(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
     text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(written(gone, "gone"), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text == F.col("_gone_text")), "left_anti")
+    return docs.join(written(gone, "gone").hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text == F.col("_gone_text")), "left_anti")
 
 
 def op6_block_naming(spark, sf_dir: str) -> DataFrame:
