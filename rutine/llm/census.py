@@ -76,10 +76,10 @@ def _together(group: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids, kind), "sig": pa.array(sigs, pa.int64()), "codes": out})
 
 
-def census(docs: DataFrame, hashes: Callable[[str], np.ndarray]) -> DataFrame:
-    """docs (id, text) with two more columns, sig, a hash of the text, and codes, a byte for each of hashes(text).
+def census(docs: DataFrame, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """docs (id, text) with two more columns, sig, a hash of the text, and codes, a byte for each of the text's hashes.
 
-    hashes gives the sorted distinct 64-bit hashes of a text. codes holds classes() of the numbers of rows of docs whose
+    hashes(texts) gives the sorted distinct 64-bit hashes of each text, one text after the other, and how many each has. codes holds classes() of the numbers of rows of docs whose
     texts have them too; it is null where a text is. Rows that repeat both id and text are counted, and answered, each."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -90,15 +90,11 @@ def census(docs: DataFrame, hashes: Callable[[str], np.ndarray]) -> DataFrame:
     def run(batches):
         part = TaskContext.get().partitionId()
         for k, b in enumerate(batches):
-            each = [hashes(x) for x in b.column(1).to_pylist()]
-            counts = np.zeros((buckets, len(each)), "<u4")
-            tops = []
-            for i, h in enumerate(each):
-                top = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                counts[:, i] = np.bincount(top, minlength=buckets)
-                tops.append(top)
-            order = np.argsort(np.concatenate(tops), kind="stable")
-            low = np.concatenate(each).astype("<u4")[order]
+            all_, each = hashes(b.column(1).to_pylist())
+            top = ((all_ >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            owner = np.repeat(np.arange(len(each)), each)
+            counts = np.bincount(top * len(each) + owner, minlength=buckets * len(each)).reshape(buckets, len(each)).astype("<u4")
+            low = all_.astype("<u4")[np.argsort(top, kind="stable")]
             ends = np.concatenate([[0], np.cumsum(counts.sum(axis=1), dtype=np.int64)])
             rows = []
             for i in range(buckets):

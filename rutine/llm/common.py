@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rutine.plans.shipping import ship
+from rutine.plans.tables import drop, written
+
+__all__ = ["WORD", "arrow_batches", "drop", "ship", "table", "written"]
 
 #: A word is a run of anything but blank and the controls tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -25,47 +24,3 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        told = f"file://{tempfile.gettempdir()}/rutine-checkpoints"
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return told.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation beyond this table, and
-    values that depend on the order of evaluation are fixed. The files go when the JVM ends, or by drop()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rutine-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._rutine_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove tables made by written() whose readers are done."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(df._rutine_path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows evenly over the session's shuffle partitions, by keys or else round robin."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
-def sha256(c: Column) -> Column:
-    return F.sha2(c, 256)

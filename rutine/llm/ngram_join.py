@@ -21,16 +21,24 @@ from pyspark.sql import functions as F
 from rutine.llm.census import census
 from rutine.llm.common import arrow_batches, table, written
 from rutine.llm.components import components
-from rutine.llm.symbols import grams, mix, word_hashes
+from rutine.llm.symbols import distinct_by_owner, grams, mix, words_of_all
 
 #: Sets in a trie, about; those to be compared with one probe are dealt over as many tries as it takes.
 TRIE = 256
 
 
-def gram_set(text: str, words: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's n-grams; of all of its words together if there are fewer."""
-    w = word_hashes(text.encode(), lower=True)
-    return np.unique(grams(w, min(words, len(w)))) if len(w) else np.zeros(0, np.uint64)
+def gram_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of each text's n-grams, one text after the other; how many each has). A text with fewer words has all of them as one."""
+    w, n = words_of_all([x.encode() for x in texts], lower=True)
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(n)), n)
+    h = grams(w, words)
+    whole = np.flatnonzero(np.arange(len(h)) + words <= ends[owner[: len(h)]])
+    h, owner = h[whole], owner[whole]
+    few = np.flatnonzero((n > 0) & (n < words))
+    short = [grams(w[ends[i] - n[i] : ends[i]], int(n[i])) for i in few]
+    h, owner = np.concatenate([h, *short]), np.concatenate([owner, few])
+    return distinct_by_owner(owner, h, len(n))[:2]
 
 
 def needed(a, b, percent: int):
@@ -103,8 +111,8 @@ def _sets(words: int, percent: int):
     def run(batches):
         for b in batches:
             out = []
-            for id_, text, codes in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                h = gram_set(text or "", words)
+            all_, sizes = gram_sets([x or "" for x in b.column(1).to_pylist()], words)
+            for id_, codes, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), np.split(all_, np.cumsum(sizes)[:-1]), strict=True):
                 n = len(h)
                 code = np.frombuffer(codes or b"", np.uint8)
                 own, ahead = int((code == 0).sum()), front(n, percent)
@@ -160,9 +168,8 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     arrow_batches(spark, 2000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = census(rows, lambda text: gram_set(text, words)).select("id", "text", "codes")
+    counted = census(rows, lambda texts: gram_sets(texts, words)).select("id", "text", "codes")
     found = written(counted.mapInArrow(_sets(words, percent), SETS), "sets")
-    spark.sparkContext._jvm.System.gc()  # lets go of shuffle files that are no longer needed
     partners = found.where("grams IS NOT NULL")
     same = partners.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"))
     sets = partners.join(same, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])

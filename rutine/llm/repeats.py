@@ -20,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.llm.census import census, classes
-from rutine.llm.common import arrow_batches, written
-from rutine.llm.symbols import BYTES, SLICE, grams, mix, sliding_argmin, word_hashes
+from rutine.llm.common import arrow_batches, drop, written
+from rutine.llm.symbols import BYTES, SLICE, distinct_by_owner, grams, mix, sliding_argmin, words_of_all
 
 #: A gram in more documents than this has its windows exchanged one by one.
 COMMON = 1024
@@ -47,40 +48,71 @@ class Shape:
 
     @property
     def unit(self) -> int:
-        return 8 if self.words else 1
-
-    def symbols(self, raw: bytes) -> np.ndarray:
-        return word_hashes(raw) if self.words else np.frombuffer(raw, np.uint8)
-
-    def gram_hashes(self, symbols: np.ndarray, size: int) -> np.ndarray:
-        return grams(symbols if self.words else BYTES[symbols], size)
-
-    def families(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, lowest and highest window start, hash of the gram) of every family, a slice of a long text at a time."""
-        out = []
-        for at in range(0, max(0, len(symbols) - self.length + 1), SLICE):
-            h = self.gram_hashes(symbols[at : at + SLICE + self.length - 1], self.gram)
+        """Bytes of a symbol in a key. Words are told apart by 40 bits of their hashes: for a false match, two windows would have to
+        agree in all other words too."""
+        return 5 if self.words else 1
+
+    def groups(self, raws: list[bytes]):
+        """(first text, texts) of neighbours that are worked on together, about a slice of them."""
+        at, size = 0, 0
+        for i, raw in enumerate(raws):
+            if i > at and size + len(raw) > SLICE:
+                yield at, raws[at:i]
+                at, size = i, 0
+            size += len(raw)
+        if raws:
+            yield at, raws[at:]
+
+    def symbols(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all texts, number of each)."""
+        if self.words:
+            return words_of_all(raws)
+        return np.frombuffer(b"".join(raws), np.uint8), np.array([len(r) for r in raws], np.int64)
+
+    def families(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, anchor, lowest and highest window start, hash of the gram) of every family. Places are among all symbols."""
+        ends, out = np.cumsum(counts), []
+        for at in range(0, max(0, len(symbols) - self.length + 1), SLICE):  # a long text is many slices
+            part = symbols[at : at + SLICE + self.length - 1]
+            h = grams(part if self.words else BYTES[part], self.gram)
             anchor = sliding_argmin(h, self.width)
-            first = np.flatnonzero(np.concatenate([[True], np.diff(anchor) != 0]))
-            last = np.append(first[1:], len(anchor)) - 1
-            p = anchor[first]
-            out.append((p.astype(np.int64) + at, first + at, last + at, h[p]))
+            owner = np.searchsorted(ends, np.arange(at, at + len(anchor)), side="right")
+            inside = np.flatnonzero(np.arange(at, at + len(anchor)) + self.length <= ends[owner])
+            if not len(inside):
+                continue
+            a = anchor[inside]
+            new = np.ones(len(a), bool)
+            new[1:] = a[1:] != a[:-1]
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(a)) - 1
+            p = a[first].astype(np.int64)
+            out.append((owner[inside[first]], p + at, inside[first] + at, inside[last] + at, h[p]))
         if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, np.zeros(0, np.uint64)
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def hashes(self, text: str) -> np.ndarray:
-        return np.unique(self.families(self.symbols(text.encode()))[3])
-
-    def suspects(self, symbols: np.ndarray, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Families (anchor, low, high, route) that another document may share; single windows for very common grams."""
-        p, low, high, h = self.families(symbols)
-        code = np.frombuffer(codes, np.uint8)[np.searchsorted(np.unique(h), h)]
+    def hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What the census counts: the gram hashes of each text's families."""
+        got = []
+        for _, raws in self.groups([x.encode() for x in texts]):
+            owner, _, _, _, h = self.families(*self.symbols(raws))
+            got.append(distinct_by_owner(owner, h, len(raws))[:2])
+        return np.concatenate([h for h, _ in got]), np.concatenate([n for _, n in got])
+
+    def suspects(self, symbols: np.ndarray, counts: np.ndarray, codes: bytes) -> tuple[np.ndarray, ...]:
+        """Families (text, anchor, low, high, route) that another text may share; single windows for very common grams."""
+        owner, p, low, high, h = self.families(symbols, counts)
+        place = distinct_by_owner(owner, h, len(counts))[2]
+        code = np.frombuffer(codes, np.uint8)[place]
         some = (code > 0) & (code <= _COMMON_CLASS)
         common = np.flatnonzero(code > _COMMON_CLASS)
-        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(low[common], high[common], strict=True)]) if len(common) else np.zeros(0, np.int64)
+        n = high[common] - low[common] + 1
+        starts = np.repeat(low[common] - np.cumsum(n) + n, n) + np.arange(n.sum())
         route = np.concatenate([mix(h[some]), self.window_hashes(symbols, starts)])
-        return np.concatenate([p[some], starts]), np.concatenate([low[some], starts]), np.concatenate([high[some], starts]), route
+        owner = np.concatenate([owner[some], np.repeat(owner[common], n)])
+        order = np.argsort(owner, kind="stable")
+        return tuple(x[order] for x in (owner, np.concatenate([p[some], starts]), np.concatenate([low[some], starts]), np.concatenate([high[some], starts]), route))
 
     def window_hashes(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
         h, s = np.zeros(len(starts), np.uint64), symbols if self.words else BYTES[symbols]
@@ -88,18 +120,30 @@ class Shape:
             h = mix(h * np.uint64(3) + s[starts + i])
         return h
 
-    def keys(self, symbols: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, route: np.ndarray) -> np.ndarray:
+    def keys(self, symbols: np.ndarray, ends: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, route: np.ndarray) -> np.ndarray:
         """A row of bytes for each family: route, suffix, symbols on the left from the anchor outwards, the two offsets, and a mark.
 
-        Symbols that lie beyond the text, or on the left of the lowest window, are zero."""
+        Symbols beyond the text's end, or on the left of the lowest window, are zero."""
         n, left = self.length, self.width - 1
         padded = np.concatenate([np.zeros(left, symbols.dtype), symbols, np.zeros(n, symbols.dtype)])
-        right = padded[p[:, None] + left + np.arange(n)]
-        before = padded[p[:, None] + left - 1 - np.arange(left)]
-        before = np.where(np.arange(left) < (p - low)[:, None], before, 0)
-        flat = lambda x: (x.astype(">u8") if self.words else x).reshape(len(p), -1).view(np.uint8).reshape(len(p), -1)
+        right = np.where(np.arange(n) < (ends - p)[:, None], padded[p[:, None] + left + np.arange(n)], 0)
+        before = np.where(np.arange(left) < (p - low)[:, None], padded[p[:, None] + left - 1 - np.arange(left)], 0)
         tail = np.stack([p - high, p - low, np.ones_like(p)], axis=1).astype(np.uint8)
-        return np.concatenate([route.astype(">u8").view(np.uint8).reshape(len(p), 8), flat(right), flat(before), tail], axis=1)
+        return np.concatenate([route.astype(">u8").view(np.uint8).reshape(len(p), 8), self.packed(right), self.packed(before), tail], axis=1)
+
+    def packed(self, x: np.ndarray) -> np.ndarray:
+        if not self.words:
+            return x
+        return x.astype(">u8").view(np.uint8).reshape(*x.shape, 8)[:, :, 3:].reshape(len(x), -1)
+
+    def unpacked(self, x: np.ndarray) -> np.ndarray:
+        """Symbols of packed rows."""
+        if not self.words:
+            return x.astype(np.uint64)
+        out = np.zeros((len(x), x.shape[1] // 5), np.uint64)
+        for i in range(5):
+            out = (out << np.uint64(8)) | x[:, i::5]
+        return out
 
     @property
     def head(self) -> int:
@@ -135,7 +179,7 @@ def earlier(shape: Shape, lcp: np.ndarray, left: np.ndarray, offsets: np.ndarray
     Families are sorted by suffix, and lcp has the bytes of common prefix with the one before (of route and suffix)."""
     bits, shared = np.zeros(len(docs), np.uint32), np.maximum(lcp - 8, 0) // shape.unit
     shared = np.where(lcp < 8, -1, shared)
-    symbols = np.ascontiguousarray(left).view(">u8").astype(np.uint64) if shape.words else left.astype(np.uint64)
+    symbols = shape.unpacked(left)
     past = np.zeros(len(docs), np.uint64)
     for o in range(shape.width):
         if o:
@@ -179,42 +223,61 @@ WRITTEN = "kind int, uid long, id long, n long, removed long, spans long, kept b
 RUN = "uid long, bucket int, at long, docs binary, rows binary"
 
 
+def squeezed(x) -> bytes:
+    return zstandard.compress(bytes(x) if isinstance(x, np.ndarray) else x, 3)
+
+
+def released(x: bytes) -> bytes:
+    return zstandard.decompress(x)
+
+
+def sorted_run(shape: Shape, rows: bytes, docs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, documents) of a batch, in order."""
+    keys = np.frombuffer(released(rows), np.uint8).reshape(-1, shape.row)
+    order = np.argsort(as_text(keys), kind="stable")
+    return keys[order], np.frombuffer(released(docs), "<i8")[order]
+
+
 def _gather(shape: Shape, digest: bool) -> Callable:
-    """Rows of WRITTEN of batches (id, text, codes): kind 0, a finished document; kind 1, the sorted run and the texts of a batch."""
+    """Rows of WRITTEN of batches (id, text, codes): kind 0, a finished document; kind 1, texts and families of a batch; kind 2, its keys."""
     schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept", pa.binary()), ("ids", pa.list_(pa.int64())), ("bodies", pa.list_(pa.binary())), ("entries", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary())])
-    names = schema.names
 
     def run(batches):
         part = TaskContext.get().partitionId()
         for k, b in enumerate(batches):
+            batch = sorted(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: (r[0] is None, r[0] or 0))
+            raws = [(r[1] or "").encode() for r in batch]
             done, ids, bodies, keys, entries = [], [], [], [], []
-            for id_, text, codes in sorted(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: (r[0] is None, r[0] or 0)):
-                raw = (text or "").encode()
-                p = np.zeros(0, np.int64)
-                if id_ is not None and codes and any(codes):
-                    s = shape.symbols(raw)
-                    p, low, high, route = shape.suspects(s, codes)
-                if not len(p):
-                    done.append((id_, *result(shape, raw, None, digest)))
-                    continue
-                e = np.zeros(len(p), ENTRY)
-                e["doc"], e["p"], e["low"], e["high"] = len(ids), p, p - low, p - high
-                entries.append(e)
-                keys.append(shape.keys(s, p, low, high, route))
-                ids.append(id_)
-                bodies.append(raw)
-            cols = {x: [None] * len(done) for x in names} | {"kind": [0] * len(done)}
-            cols |= dict(zip(("id", "n", "removed", "spans", "kept"), map(list, zip(*done, strict=True)), strict=True)) if done else {}
+            for at, some in shape.groups(raws):
+                symbols, counts = shape.symbols(some)
+                owner, p, low, high, route = shape.suspects(symbols, counts, b"".join(batch[at + i][2] or b"" for i in range(len(some))))
+                with_id = np.array([batch[at + i][0] is not None for i in range(len(some))], bool)[owner]
+                owner, p, low, high, route = (x[with_id] for x in (owner, p, low, high, route))
+                ends = np.cumsum(counts)
+                has = np.bincount(owner, minlength=len(some)) > 0
+                number = np.cumsum(has) - 1 + len(ids)
+                if len(p):
+                    e = np.zeros(len(p), ENTRY)
+                    e["doc"], e["p"], e["low"], e["high"] = number[owner], p - (ends - counts)[owner], p - low, p - high
+                    entries.append(e)
+                    keys.append(shape.keys(symbols, ends[owner], p, low, high, route))
+                for i, raw in enumerate(some):
+                    if has[i]:
+                        ids.append(batch[at + i][0])
+                        bodies.append(raw)
+                    else:
+                        done.append((batch[at + i][0], *result(shape, raw, None, digest)))
+            rows = [{"kind": 0, **dict(zip(("id", "n", "removed", "spans", "kept"), r, strict=True))} for r in done]
             if ids:
                 e, keys = np.concatenate(entries), np.concatenate(keys)
                 _, first, e["own"] = np.unique(as_text(keys), return_index=True, return_inverse=True)  # first: of the smallest id, as documents are in order
-                docs = np.array(ids, "<i8")[e["doc"][first]]
-                for x, v in {"kind": 1, "uid": (part << 32) + k, "ids": ids, "bodies": bodies, "entries": e.tobytes(), "docs": docs.tobytes(), "rows": keys[first].tobytes()}.items():
-                    cols[x].append(v)
-                for x in ("id", "n", "removed", "spans", "kept"):
-                    cols[x].append(None)
-            if cols["kind"]:
-                yield pa.RecordBatch.from_pydict(cols, schema)
+                docs = np.array(ids, "<i8")[e["doc"]]
+                uid = (part << 32) + k
+                rows.append({"kind": 1, "uid": uid, "ids": ids, "bodies": [squeezed(x) for x in bodies], "entries": squeezed(e.tobytes()), "docs": squeezed(docs[first].tobytes())})
+                first.sort()  # in the order of the texts neighbours overlap, and compress well; split() sorts them
+                rows.append({"kind": 2, "uid": uid, "docs": squeezed(docs[first].tobytes()), "rows": squeezed(keys[first].tobytes())})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -223,7 +286,7 @@ def _finish(shape: Shape, digest: bool) -> Callable:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                e, docs = np.frombuffer(r["entries"], ENTRY), np.frombuffer(r["docs"], "<i8")
+                e, docs = np.frombuffer(released(r["entries"]), ENTRY), np.frombuffer(released(r["docs"]), "<i8")
                 bits = np.zeros(len(docs), np.uint32)
                 for x in r["answers"] or []:
                     got = np.frombuffer(x["bits"], "<u4")
@@ -231,7 +294,7 @@ def _finish(shape: Shape, digest: bool) -> Callable:
                 ids = np.array(r["ids"], "<i8")
                 mine = np.where(ids[e["doc"]] > docs[e["own"]], np.uint32(2**shape.width - 1), bits[e["own"]])
                 cut, out = np.searchsorted(e["doc"], np.arange(len(ids) + 1)), []
-                for i, raw in enumerate(r["bodies"]):
+                for i, raw in enumerate(map(released, r["bodies"])):
                     one, m = e[cut[i] : cut[i + 1]], mine[cut[i] : cut[i + 1]]
                     cover = None
                     if m.any():
@@ -250,12 +313,10 @@ def remove_repeats(docs: DataFrame, shape: Shape, split: Callable, resolve: Call
     spark = docs.sparkSession
     arrow_batches(spark, 2000)
     found = census(docs, shape.hashes).select("id", "text", "codes").mapInArrow(_gather(shape, digest), WRITTEN)
-    found = written(found, "runs")
-    spark.sparkContext._jvm.System.gc()  # lets go of shuffle files that are no longer needed
-    runs = found.where("kind = 1")
-    parts = split(runs.select("uid", "docs", "rows"))
-    answers = parts.groupBy("bucket").applyInArrow(resolve, "uid long, at long, bits binary")
-    answers = answers.groupBy("uid").agg(F.collect_list(F.struct("at", "bits")).alias("answers"))
-    runs = runs.select("uid", "ids", "bodies", "entries", "docs").join(answers, "uid", "left").drop("uid")
+    found = written(found, "runs", "kind")
+    answers = split(found.where("kind = 2").select("uid", "docs", "rows")).groupBy("bucket").applyInArrow(resolve, "uid long, at long, bits binary")
+    answers = written(answers.groupBy("uid").agg(F.collect_list(F.struct("at", "bits")).alias("answers")), "answers")
+    drop(found, part="kind=2")
+    homes = found.where("kind = 1").select("uid", "ids", "bodies", "entries", "docs").join(answers, "uid", "left").drop("uid")
     fixed = "id long, n long, removed long, spans long, kept binary"
-    return found.where("kind = 0").select("id", "n", "removed", "spans", "kept").unionByName(runs.mapInArrow(_finish(shape, digest), fixed))
+    return found.where("kind = 0").select("id", "n", "removed", "spans", "kept").unionByName(homes.mapInArrow(_finish(shape, digest), fixed))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.llm.common import table
-from rutine.llm.repeats import RUN, Shape, as_text, common_prefixes, earlier, remove_repeats
+from rutine.llm.repeats import RUN, Shape, as_text, common_prefixes, earlier, released, remove_repeats, sorted_run, squeezed
 
 #: Suffixes of a group; a group has about 200 bytes for each.
 GROUP = 60_000
@@ -23,8 +23,8 @@ GROUP = 60_000
 BITS = 10
 
 
-def _routes(rows: bytes, size: int) -> np.ndarray:
-    rows = np.frombuffer(rows, np.uint8).reshape(-1, size)
+def _routes(rows: bytes | np.ndarray, size: int) -> np.ndarray:
+    rows = (np.frombuffer(rows, np.uint8) if isinstance(rows, bytes) else rows).reshape(-1, size)
     return np.ascontiguousarray(rows[:, :8]).view(">u8").ravel().astype(np.uint64)
 
 
@@ -38,7 +38,7 @@ def prefix_starts(runs: DataFrame, size: int, most: int, share: int) -> np.ndarr
         def run(batches):
             for b in batches:
                 for rows in b.column(0).to_pylist():
-                    cells = _routes(rows, size) >> np.uint64(64 - bits)
+                    cells = _routes(released(rows), size) >> np.uint64(64 - bits)
                     if bits > BITS:
                         cells = cells[np.isin(cells >> np.uint64(BITS), np.array(sorted(within), np.uint64))]
                     cell, n = np.unique(cells, return_counts=True)
@@ -74,11 +74,11 @@ def _split(shape: Shape):
         def run(batches):
             for b in batches:
                 for r in b.to_pylist():
-                    rows = np.frombuffer(r["rows"], np.uint8).reshape(-1, shape.row)
-                    docs, routes = np.frombuffer(r["docs"], "<i8"), _routes(r["rows"], shape.row)
+                    rows, docs = sorted_run(shape, r["rows"], r["docs"])
+                    routes = _routes(rows, shape.row)
                     cut = np.append(np.searchsorted(routes, starts), len(rows))
                     some = np.flatnonzero(np.diff(cut)).tolist()
-                    out = [(r["uid"], i, int(cut[i]), docs[cut[i] : cut[i + 1]].tobytes(), rows[cut[i] : cut[i + 1]].tobytes()) for i in some]
+                    out = [(r["uid"], i, int(cut[i]), docs[cut[i] : cut[i + 1]].tobytes(), squeezed(rows[cut[i] : cut[i + 1]].tobytes())) for i in some]
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["uid", "bucket", "at", "docs", "rows"])
 
@@ -90,7 +90,7 @@ def _split(shape: Shape):
 def _resolve(shape: Shape):
     def resolve(group: pa.Table) -> pa.Table:
         parts = sorted(group.to_pylist(), key=lambda r: r["uid"])
-        rows = np.concatenate([np.frombuffer(r["rows"], np.uint8) for r in parts]).reshape(-1, shape.row)
+        rows = np.concatenate([np.frombuffer(released(r["rows"]), np.uint8) for r in parts]).reshape(-1, shape.row)
         order = np.argsort(as_text(rows), kind="stable")
         rows, docs = rows[order], np.concatenate([np.frombuffer(r["docs"], "<i8") for r in parts])[order]
         left = rows[:, shape.head : shape.head + (shape.width - 1) * shape.unit]
@@ -107,7 +107,7 @@ def dedup_windows(docs: DataFrame, length: int = 13, gram: int = 5, id_col: str
 
     Returns (id, n_words, n_removed, n_spans, kept), one row for each row of docs; kept is the words that are left, joined by blanks, or
     with digest the hex of its SHA-256. A word is a run of anything but blank and the controls tab to carriage return; words are
-    compared by 64-bit hashes. Windows are judged on the input and never cross documents. A null text has no words. Rows that repeat
+    compared by hashes. Windows are judged on the input and never cross documents. A null text has no words. Rows that repeat
     an id are one document to each other. A row with a null id neither removes nor loses anything."""
     shape = Shape(words=True, length=length, gram=gram)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -68,9 +68,9 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return got
 
 
-def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
-    """A hash of every word of a text, a word being a run of anything but blank and the controls tab to carriage return."""
-    out, start, size = [], 0, SLICE
+def words(raw: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of a text, a word being a run of anything but blank and the controls tab to carriage return."""
+    out, starts, start, size = [], [], 0, SLICE
     while start < len(raw):
         piece = np.frombuffer(raw, np.uint8, min(size, len(raw) - start), start)
         space = IS_SPACE[piece]
@@ -80,11 +80,36 @@ def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
                 size *= 2
                 continue
             piece, space = piece[:last], space[:last]
-        start, size = start + len(piece), SLICE
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
         a, b = edge[::2], edge[1::2]
         if len(a):
             table = BYTES[LOWER] if lower else BYTES
             c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[piece] * _power(INVERSE, len(piece))[: len(piece)], dtype=np.uint64)])
             out.append(mix((c[b] - c[a]) * _power(ODD, len(piece))[a] + (b - a).astype(np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            starts.append(a + start)
+        start, size = start + len(piece), SLICE
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(starts)
+
+
+def word_hashes(raw: bytes, lower: bool = False) -> np.ndarray:
+    return words(raw, lower)[0]
+
+
+def words_of_all(raws: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, number of words of each)."""
+    h, starts = words(b"\n".join(raws), lower)
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    return h, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(raws)).astype(np.int64)
+
+
+def distinct_by_owner(owner: np.ndarray, h: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of each owner, one after the other; how many each has; the place of every given one among them)."""
+    order = np.lexsort((h, owner))
+    o, s = owner[order], h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
+    place = np.empty(len(s), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return s[new], np.bincount(o[new], minlength=owners).astype(np.int64), place
