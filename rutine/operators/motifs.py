@@ -134,13 +134,13 @@ def distinct_motifs(found: list[dict], least: int) -> list[dict]:
     return out
 
 
-def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int = 50, overlap: float = 0.0) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int | None = None, overlap: float = 0.0) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
     """Motif sets of variable length in a series (places, dimensions): [(representative, members)], half-open, best first.
 
     Similarities of places are kept where they exceed the rho-quantile. Warping paths are grown along the similarity matrix by
     local alignment: steps (1,1), (1,2) and (2,1), gains above the threshold and losses below it; each path pairs two segments. For each segment of
     a path as representative, its members are the segments that paths relate to it; a set's worth is the harmonic mean of its
-    coverage and of its mean similarity. Sets are taken greedily, without overlap beyond the given share."""
+    coverage and of its mean similarity. Sets are taken greedily, without overlap beyond the given share: all of them, or the first `most`."""
     n = len(x)
     if n < 2 * low:
         return []
@@ -157,9 +157,10 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int =
             if value + gain[i, j] > 0:
                 best[i, j], back[i, j] = value + gain[i, j], k if value > 0 else 0
     paths, used = [], np.zeros((n, n), bool)
-    for flat in np.argsort(-best, axis=None, kind="stable")[: 20 * n]:
+    ends = np.flatnonzero(best > 0)
+    for flat in ends[np.argsort(-best.ravel()[ends], kind="stable")]:
         i, j = divmod(int(flat), n)
-        if best[i, j] <= 0 or used[i, j]:
+        if used[i, j]:
             continue
         path = [(i, j)]
         while back[i, j]:
@@ -181,7 +182,7 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int =
             if low <= u[1] - u[0] <= high:
                 spans.append((u, v, mean))
     out, taken = [], np.zeros(n, bool)
-    while len(out) < most:
+    while most is None or len(out) < most:
         pick = None
         for u in sorted({x[0] for x in spans}):
             if taken[u[0] : u[1]].mean() > overlap:
@@ -295,7 +296,7 @@ def vector_profile(log: DataFrame, m: int, vector: str = "vector") -> DataFrame:
     return _grouped(log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v")), run, "i long, distances array<double>, neighbours array<long>")
 
 
-def motif_sets(log: DataFrame, low: int, high: int, rho: float = 0.8, most: int = 50, vector: str = "vector") -> DataFrame:
+def motif_sets(log: DataFrame, low: int, high: int, rho: float = 0.8, most: int | None = None, vector: str = "vector") -> DataFrame:
     """(log_id, cluster_id, start, end) of variable-length, time-warped motif sets; half-open, cluster_id numbers sets from the best."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:

@@ -163,6 +163,24 @@ def test_vector_profile_is_brute_force():
     assert at[2, 5] == 30
 
 
+def one_hot(symbols: list[int]) -> np.ndarray:
+    return np.eye(max(symbols) + 1)[symbols]
+
+
+def test_weak_motifs_beside_strong_ones_are_found():
+    weak = list(range(1, 11))
+    sets = motifs.time_warped_sets(one_hot(weak + [0] * 120 + weak), 5, 12, 0.5)
+    assert any([(0, 10), (130, 140)] == members for _, members in sets)
+
+
+def test_all_motif_sets_are_found():
+    once = [list(range(3 * k + 1, 3 * k + 4)) for k in range(60)]
+    again = [once[k * 17 % 60] for k in range(60)]
+    x = one_hot([c for part in once + again for c in part])
+    assert len(motifs.time_warped_sets(x, 3, 3, 0.998)) == 60
+    assert len(motifs.time_warped_sets(x, 3, 3, 0.998, most=7)) == 7
+
+
 def test_planted_motifs_are_found(spark):
     r = random.Random(3)
     noise = spark.createDataFrame([(i, k, f"n{r.randrange(400)}") for i in range(2) for k in range(150)], "log_id long, event_index long, symbol string")
