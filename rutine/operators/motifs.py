@@ -138,8 +138,8 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int |
     """Motif sets of variable length in a series (places, dimensions): [(representative, members)], half-open, best first.
 
     Similarities of places are kept where they exceed the rho-quantile. Warping paths are grown along the similarity matrix by
-    local alignment: steps (1,1), (1,2) and (2,1), gains above the threshold and losses below it; each path pairs two segments. For each segment of
-    a path as representative, its members are the segments that paths relate to it; a set's worth is the harmonic mean of its
+    local alignment: steps (1,1), (1,2) and (2,1), gains above the threshold and losses below it; each path pairs two segments. Representatives are
+    all segments of low to high places; the members of one are read off the sub-paths within it. A set's worth is the harmonic mean of its
     coverage and of its mean similarity. Sets are taken greedily, without overlap beyond the given share: all of them, or the first `most`."""
     n = len(x)
     if n < 2 * low:
@@ -174,36 +174,69 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int |
         path.reverse()
         if len(path) >= low:
             paths.append(path)
-    spans = []
-    for path in paths:
-        (a, b), (c, d) = path[0], path[-1]
-        mean = float(np.mean([s[p] for p in path]))
-        for u, v in (((a, c + 1), (b, d + 1)), ((b, d + 1), (a, c + 1))):
-            if low <= u[1] - u[0] <= high:
-                spans.append((u, v, mean))
-    out, taken = [], np.zeros(n, bool)
+    if not paths:
+        return []
+    covers = zip(*(_covered(np.array(path), s, low, high) for path in paths))
+    return _taken_sets(*map(np.concatenate, covers), n, most, overlap)
+
+
+def _covered(path: np.ndarray, s: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+    """(start, end, member start, member end, mean similarity) of all representatives of low to high places that a path relates to a member.
+
+    A member is read off the sub-path within the representative, which the path spans. Both segments of the path count."""
+    out = [(np.empty(0, int),) * 4 + (np.empty(0),)]
+    sums = np.concatenate([[0.0], np.cumsum(s[path[:, 0], path[:, 1]])])
+    for a, b in (path.T, path.T[::-1]):
+        for m in range(low, min(high, int(a[-1] - a[0]) + 1) + 1):
+            u = np.arange(a[0], a[-1] - m + 2)
+            i, j = np.searchsorted(a, u), np.searchsorted(a, u + m) - 1
+            fine = i <= j
+            u, i, j = u[fine], i[fine], j[fine]
+            out.append((u, u + m, b[i], b[j] + 1, (sums[j + 1] - sums[i]) / (j + 1 - i)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _taken_sets(start, end, first, last, mean, n: int, most: int | None, overlap: float) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """Motif sets taken greedily from what _covered() gives. After each, only representatives that it touches are looked at anew."""
+    order = np.lexsort((last, first, -mean, end, start))
+    start, end, first, last, mean = (x[order] for x in (start, end, first, last, mean))
+    if not len(start):
+        return []
+    heads = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 0) | (np.diff(end) != 0)]))
+    tails = np.append(heads[1:], len(start))
+    group = np.repeat(np.arange(len(heads)), tails - heads)
+    taken, score, kept = np.zeros(n, bool), np.full(len(heads), -1.0), {}
+    members_of = list(zip(first.tolist(), last.tolist(), mean.tolist()))
+    free, open_ = np.ones(len(start), bool), np.ones(len(heads), bool)
+    stale, out = np.arange(len(heads)), []
     while most is None or len(out) < most:
-        pick = None
-        for u in sorted({x[0] for x in spans}):
-            if taken[u[0] : u[1]].mean() > overlap:
-                continue
-            members, worth = [u], []
-            for p, q, mean in sorted(spans, key=lambda x: (-x[2], x[0], x[1])):
-                shared = min(p[1], u[1]) - max(p[0], u[0])
-                if shared >= 0.8 * (u[1] - u[0]) and shared >= 0.8 * (p[1] - p[0]) and taken[q[0] : q[1]].mean() <= overlap and all(min(q[1], m[1]) <= max(q[0], m[0]) for m in members):
-                    members.append(q)
-                    worth.append(mean)
-            if len(members) > 1:
-                cover = sum(b - a for a, b in members) / n
-                fit = float(np.mean(worth))
-                score = 2 * cover * fit / (cover + fit)
-                if pick is None or score > pick[0]:
-                    pick = (score, u, sorted(members))
-        if pick is None:
+        for g in stale.tolist():
+            u = (int(start[heads[g]]), int(end[heads[g]]))
+            members, worth, busy = [u], [], ((1 << (u[1] - u[0])) - 1) << u[0]
+            for k in range(heads[g], tails[g]):
+                if free[k]:
+                    p, q, fit = members_of[k]
+                    mask = ((1 << (q - p)) - 1) << p
+                    if not busy & mask:
+                        busy |= mask
+                        members.append((p, q))
+                        worth.append(fit)
+            score[g] = -1.0
+            if worth:
+                cover, fit = sum(b - a for a, b in members) / n, sum(worth) / len(worth)
+                score[g], kept[g] = 2 * cover * fit / (cover + fit), members
+        best = int(np.argmax(score))
+        if score[best] < 0:
             break
-        out.append((pick[1], pick[2]))
-        for a, b in pick[2]:
+        out.append(((int(start[heads[best]]), int(end[heads[best]])), sorted(kept[best])))
+        for a, b in out[-1][1]:
             taken[a:b] = True
+        busy = np.concatenate([[0], np.cumsum(taken)])
+        open_ = (busy[end[heads]] - busy[start[heads]]) / (end[heads] - start[heads]) <= overlap
+        score[~open_] = -1.0
+        now = (busy[last] - busy[first]) / (last - first) <= overlap
+        stale = np.unique(group[(free != now) & open_[group]])
+        free = now
     return out
 
 

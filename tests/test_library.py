@@ -181,6 +181,30 @@ def test_all_motif_sets_are_found():
     assert len(motifs.time_warped_sets(x, 3, 3, 0.998, most=7)) == 7
 
 
+def test_long_repeats_yield_motifs_of_allowed_length():
+    routine = list(range(1, 31))
+    x = one_hot([31, 32, 33, *routine, 34, 35, *routine, 36, 37])
+    sets = motifs.time_warped_sets(x, 5, 20, 0.99)
+    assert sets[0][1] in [[(a, a + 20), (a + 32, a + 52)] for a in range(3, 14)]
+    assert all(5 <= b - a <= 20 for (a, b), _ in sets)
+    assert sum(b - a for _, members in sets for a, b in members) == 60
+
+
+def test_sub_paths_are_brute_force():
+    r = random.Random(8)
+    path = np.array([(2, 9), (3, 10), (4, 12), (6, 13), (7, 14), (8, 15), (9, 16)])
+    s = np.array([[r.random() for _ in range(20)] for _ in range(20)])
+    got = sorted(zip(*(x.tolist() for x in motifs._covered(path, s, 3, 5))))
+    want = []
+    for flip in (0, 1):
+        for m in range(3, 6):
+            for u in range(path[0, flip], path[-1, flip] - m + 2):
+                sub = [p for p in path.tolist() if u <= p[flip] < u + m]
+                if sub:
+                    want.append((u, u + m, sub[0][1 - flip], sub[-1][1 - flip] + 1, np.mean([s[p[0], p[1]] for p in sub])))
+    assert [x[:4] for x in got] == [x[:4] for x in sorted(want)] and np.allclose([x[4] for x in got], [x[4] for x in sorted(want)])
+
+
 def test_planted_motifs_are_found(spark):
     r = random.Random(3)
     noise = spark.createDataFrame([(i, k, f"n{r.randrange(400)}") for i in range(2) for k in range(150)], "log_id long, event_index long, symbol string")
