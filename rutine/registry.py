@@ -658,7 +658,7 @@ def _numbered(spark, sf_dir) -> DataFrame:
 
 @query("q_motif_sets")
 def q_motif_sets(spark, sf_dir):
-    return motifs.motif_sets(_numbered(spark, sf_dir).where("event_index < 60"), 5, 20, 0.8)
+    return motifs.motif_sets(_numbered(spark, sf_dir), 5, 20, 0.8)
 
 
 @query("q_w2v_embed")
