@@ -605,7 +605,7 @@ def q_hier_distance(spark, sf_dir):
 @query("q_group_distance", f"""WITH {LOG}, g AS MATERIALIZED (SELECT log_id, event_index // 10 AS g, event_index % 10 AS o, event_type, k FROM log WHERE event_index < 40)
     SELECT a.log_id, a.g AS g1, b.g AS g2, avg(CASE WHEN a.event_type <> b.event_type THEN 2.0 * (1 - (CASE WHEN a.k = b.k THEN 1 ELSE 0 END) / 3) ELSE 0.0 END + CASE WHEN a.k <> b.k THEN 1.0 ELSE 0.0 END) AS distance FROM g a JOIN g b ON a.log_id = b.log_id AND a.o = b.o AND a.g <= b.g GROUP BY 1, 2, 3""")
 def q_group_distance(spark, sf_dir):
-    g = event_log(spark, sf_dir).where("event_index < 40").select("log_id", F.floor(F.col("event_index") / 10).alias("group_id"), (F.col("event_index") % 10).alias("ordinal"), F.array(F.xxhash64("event_type"), "k").alias("levels"))
+    g = event_log(spark, sf_dir).select("log_id", F.floor(F.col("event_index") / 10).alias("group_id"), (F.col("event_index") % 10).alias("ordinal"), F.array(F.xxhash64("event_type"), "k").alias("levels"))
     return features.group_distances(g, features.hierarchy_weights(2))
 
 

@@ -2,9 +2,10 @@
 
 import datetime
 
+import duckdb
 import pytest
 
-from rutine.registry import QUERIES
+from rutine.registry import LOG, QUERIES
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -22,8 +23,32 @@ def tables(spark, tmp_path):
     return write
 
 
+def same(spark, name: str, folder: str, sql: str) -> list:
+    """The query's rows, which must be those of sql over the whole input."""
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    found = con.execute(sql)
+    names = [c[0] for c in found.description]
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    got = sorted(tuple(plain(x[c]) for c in names) for x in QUERIES[name](spark, folder).collect())
+    assert got == sorted(tuple(plain(v) for v in x) for x in found.fetchall())
+    return got
+
+
+def mixed(n: int) -> list:
+    return [(TYPES[i * i % 5], i * 7 % 11 % 3) for i in range(n)]
+
+
 def test_motif_sets_after_event_60(spark, tables):
     events = [(TYPES[i * i % 5], i * 7 % 11 % 3) for i in range(64)]
     routine = [(TYPES[i % 5], i % 3) for i in range(15)]
     found = QUERIES["q_motif_sets"](spark, tables(events + routine + events[:3] + routine)).collect()
     assert max(x.end for x in found) > 80
+
+
+def test_group_distances_of_all_groups(spark, tables):
+    sql = f"""WITH {LOG}, g AS (SELECT log_id, event_index // 10 AS g, event_index % 10 AS o, event_type, k FROM log)
+        SELECT a.log_id, a.g AS g1, b.g AS g2, avg(CASE WHEN a.event_type <> b.event_type THEN 2.0 * (1 - (CASE WHEN a.k = b.k THEN 1 ELSE 0 END) / 3) ELSE 0.0 END + CASE WHEN a.k <> b.k THEN 1.0 ELSE 0.0 END) AS distance
+        FROM g a JOIN g b ON a.log_id = b.log_id AND a.o = b.o AND a.g <= b.g GROUP BY 1, 2, 3"""
+    assert len(same(spark, "q_group_distance", tables(mixed(87), mixed(12)), sql)) == 9 * 10 // 2 + 3
