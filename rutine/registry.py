@@ -641,7 +641,7 @@ def _label_series(spark, sf_dir) -> DataFrame:
     """embeddings as series, one for each label, in the order of vec_id."""
     order = Window.partitionBy("label").orderBy("vec_id")
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select(F.col("label").cast("long").alias("log_id"), (F.row_number().over(order) - F.lit(1).cast("long")).alias("event_index"), F.slice("embedding", 1, 4).alias("vector"))
+    return e.select(F.col("label").cast("long").alias("log_id"), (F.row_number().over(order) - F.lit(1).cast("long")).alias("event_index"), F.col("embedding").alias("vector"))
 
 
 @query("q_vector_profile")

@@ -3,8 +3,10 @@
 import datetime
 
 import duckdb
+import numpy as np
 import pytest
 
+from rutine.operators import motifs
 from rutine.registry import LOG, QUERIES
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -52,3 +54,13 @@ def test_group_distances_of_all_groups(spark, tables):
         SELECT a.log_id, a.g AS g1, b.g AS g2, avg(CASE WHEN a.event_type <> b.event_type THEN 2.0 * (1 - (CASE WHEN a.k = b.k THEN 1 ELSE 0 END) / 3) ELSE 0.0 END + CASE WHEN a.k <> b.k THEN 1.0 ELSE 0.0 END) AS distance
         FROM g a JOIN g b ON a.log_id = b.log_id AND a.o = b.o AND a.g <= b.g GROUP BY 1, 2, 3"""
     assert len(same(spark, "q_group_distance", tables(mixed(87), mixed(12)), sql)) == 9 * 10 // 2 + 3
+
+
+def test_vector_profile_of_all_dimensions(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(30, 9)).astype("float32")
+    rows = [(i, 1, v) for i, v in enumerate(x.tolist())]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["q_vector_profile"](spark, str(tmp_path)).orderBy("i").collect()
+    distances, neighbours = motifs.series_profile(x.astype(float), 6)
+    assert np.allclose([r.distances for r in found], distances.T) and len(found[0].distances) == 9
+    assert [r.neighbours for r in found] == neighbours.T.tolist()
