@@ -153,8 +153,10 @@ def q_nearest_boundary(spark, sf_dir):
 WINDOWS = LOG + ", ends AS (SELECT log_id, max(event_index) AS n FROM log GROUP BY log_id), starts AS (SELECT log_id, unnest(range(5, 60, 7)) AS s FROM ends), kept AS (SELECT log_id, s, row_number() OVER (PARTITION BY log_id ORDER BY s) - 1 AS c FROM starts JOIN ends USING (log_id) WHERE s <= n)"
 
 
-def _starts(log: DataFrame) -> DataFrame:
-    return log.select("log_id").distinct().select("log_id", F.explode(F.expr("sequence(CAST(5 AS BIGINT), CAST(59 AS BIGINT), CAST(7 AS BIGINT))")).alias("start_index"))
+def _starts(log: DataFrame, step: int = 7) -> DataFrame:
+    """Every step-th place of each log, from its first to its last."""
+    ends = log.groupBy("log_id").agg(F.max("event_index").alias("n"))
+    return ends.select("log_id", F.explode(F.expr(f"sequence(0L, n, {step}L)")).alias("start_index"))
 
 
 @query("q_window_extract", f"WITH {WINDOWS} SELECT log_id, s AS window_start, CAST(c AS VARCHAR) AS case_number, event_index, event_type FROM kept JOIN log USING (log_id) WHERE event_index BETWEEN s AND s + 9")
@@ -199,7 +201,7 @@ def q_resume_antijoin(spark, sf_dir):
     SELECT log_id, line, min(s) AS first_index FROM w GROUP BY log_id, line""")
 def q_pattern_text(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    truth = log.select("log_id").distinct().select("log_id", F.explode(F.expr("sequence(CAST(0 AS BIGINT), CAST(60 AS BIGINT), CAST(12 AS BIGINT))")).alias("start_index"), F.lit(3).cast("long").alias("length"))
+    truth = _starts(log, 12).withColumn("length", F.lit(3).cast("long"))
     return logs.pattern_lines(log, truth, "event_type")
 
 

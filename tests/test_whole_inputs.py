@@ -64,3 +64,25 @@ def test_vector_profile_of_all_dimensions(spark, tmp_path):
     distances, neighbours = motifs.series_profile(x.astype(float), 6)
     assert np.allclose([r.distances for r in found], distances.T) and len(found[0].distances) == 9
     assert [r.neighbours for r in found] == neighbours.T.tolist()
+
+
+WINDOWS = LOG + """, ends AS (SELECT log_id, max(event_index) AS n FROM log GROUP BY log_id), starts AS (SELECT log_id, unnest(range(0, n + 1, 7)) AS s FROM ends),
+    kept AS (SELECT log_id, s, row_number() OVER (PARTITION BY log_id ORDER BY s) - 1 AS c FROM starts)"""
+
+
+def test_windows_cover_whole_logs(spark, tables):
+    folder = tables(mixed(95), mixed(23))
+    rows = same(spark, "q_window_extract", folder, f"WITH {WINDOWS} SELECT log_id, s AS window_start, CAST(c AS VARCHAR) AS case_number, event_index, event_type FROM kept JOIN log USING (log_id) WHERE event_index BETWEEN s AND s + 9")
+    assert {x[3] for x in rows if x[0] == 0} == set(range(95))
+    same(spark, "q_window_mean", folder, f"WITH {WINDOWS} SELECT log_id, s AS window_start, avg(value) AS mean_value, avg(CAST(k AS DOUBLE)) AS mean_k FROM kept JOIN log USING (log_id) WHERE event_index BETWEEN s AND s + 9 GROUP BY log_id, s HAVING count(*) = 10")
+    clustered = {(x.log_id, x.window_start) for x in QUERIES["q_motif_cluster"](spark, folder).collect()}
+    assert clustered == {(0, s) for s in range(0, 86, 7)} | {(1, 0), (1, 7)}
+
+
+def test_patterns_of_whole_logs(spark, tables):
+    sql = f"""WITH {LOG}, spans AS (SELECT log_id, unnest(range(0, max(event_index) + 1, 12)) AS s FROM log GROUP BY log_id),
+        w AS (SELECT log_id, s, string_agg(event_type, ' -1 ' ORDER BY event_index) || ' -1 -2' AS line FROM spans JOIN log USING (log_id) WHERE event_index BETWEEN s AND s + 2 GROUP BY log_id, s)
+        SELECT log_id, line, min(s) AS first_index FROM w GROUP BY log_id, line"""
+    late = [("error", 0), ("signup", 0), ("error", 0)]
+    rows = same(spark, "q_pattern_text", tables([("view", 0)] * 84 + late), sql)
+    assert (0, "error -1 signup -1 error -1 -2", 84) in rows
