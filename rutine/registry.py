@@ -710,7 +710,7 @@ def q_tasks_per_case(spark, sf_dir):
     s AS (SELECT item AS items, count(*) AS freq FROM i GROUP BY item UNION ALL SELECT a.item || ',' || b.item, count(*) FROM i a JOIN i b USING (log_id, segment) WHERE a.item < b.item GROUP BY 1)
     SELECT items, freq, freq / n AS support FROM s, n WHERE freq >= ceil(0.05 * n)""")
 def q_frequent_itemsets(spark, sf_dir):
-    found = mining.frequent_itemsets(_tasks(spark, sf_dir).select("items"), "items", 0.05, most=2)
+    found = mining.frequent_itemsets(_tasks(spark, sf_dir).select("items"), "items", 0.05)
     return found.withColumn("items", F.array_join("items", ","))
 
 

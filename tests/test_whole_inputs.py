@@ -1,6 +1,8 @@
 """Registered queries look at whole inputs: small tables with logs longer, or vectors wider, than any fixed bound."""
 
 import datetime
+import itertools
+import math
 
 import duckdb
 import numpy as np
@@ -86,3 +88,18 @@ def test_patterns_of_whole_logs(spark, tables):
     late = [("error", 0), ("signup", 0), ("error", 0)]
     rows = same(spark, "q_pattern_text", tables([("view", 0)] * 84 + late), sql)
     assert (0, "error -1 signup -1 error -1 -2", 84) in rows
+
+
+def test_itemsets_of_all_sizes(spark, tables):
+    events = [(t, 0) for n in range(3) for t in ("purchase", *TYPES[:2], *TYPES[3:])] + [("purchase", 0), ("view", 0)] + mixed(40)
+    folder = tables(events, mixed(33))
+    tasks = [set(x["items"].split(",")) for x in QUERIES["q_microtasks"](spark, folder).collect()]
+    least = math.ceil(0.05 * len(tasks))
+    want = {}
+    for n in range(1, 6):
+        for items in itertools.combinations(TYPES, n):
+            freq = sum(set(items) <= t for t in tasks)
+            if freq >= least:
+                want[",".join(items)] = (freq, freq / len(tasks))
+    assert {len(x.split(",")) for x in want} == {1, 2, 3, 4, 5}
+    assert {x["items"]: (x.freq, x.support) for x in QUERIES["q_frequent_itemsets"](spark, folder).collect()} == want
