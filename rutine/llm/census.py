@@ -1,7 +1,7 @@
 """In how many documents each hash of a document occurs, counted over the whole corpus.
 
-Each batch of documents sends its hashes to buckets, four bytes for each hash: the bucket is the top of the hash, and buckets grow
-in number with the input while their size stays. A bucket counts and answers in the order asked, so answers need no hashes; they
+Each batch of documents sends its hashes to buckets, four bytes for each hash: the bucket is the top of the hash, and there are as many
+as the input has parts of BUCKET bytes, so that their size stays. A bucket counts and answers in the order asked, so answers need no hashes; they
 are put together for each document again. A hash that many documents of a batch share is sent once, with its number of documents,
 so that a hash of a third of all rows is one entry for each batch. Texts are not moved. Two hashes that agree in bucket and four
 bytes are counted together: a count may be too high, in about one of 5000 cases, never too low."""
@@ -16,8 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rutine.llm.common import arrow_batches
+from rutine.llm.common import arrow_batches, parts
 
+#: Bytes of input for each bucket; a bucket, which one task holds, gets about an eighth of that.
+BUCKET = 256 << 20
 #: The highest class of a count.
 TOP = 40
 
@@ -36,6 +38,19 @@ def _folded(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, rank[inverse][~new].astype("<u4")
 
 
+def _owners(owner: np.ndarray, docs: int) -> bytes:
+    """Whose the hashes in a bucket are: a number for each document, or, if that is shorter, the document of each hash."""
+    if 2 * len(owner) < 4 * docs and docs <= 1 << 16:
+        return owner.astype("<u2").tobytes()
+    return np.bincount(owner, minlength=docs).astype("<u4").tobytes()
+
+
+def _counts(owners: bytes, docs: int) -> np.ndarray:
+    if len(owners) < 4 * docs:
+        return np.bincount(np.frombuffer(owners, "<u2"), minlength=docs)
+    return np.frombuffer(owners, "<u4")
+
+
 def _answers(group: pa.Table) -> pa.Table:
     """Replace a bucket's hashes by the classes of their counts."""
     blobs = group.column("hashes").to_pylist()
@@ -60,7 +75,7 @@ def _together(group: pa.Table) -> pa.Table:
     rows = sorted(group.to_pylist(), key=lambda r: r["bucket"])
     n = rows[0]["docs"]
     ids, sigs = rows[0]["ids"], rows[0]["sigs"]
-    counts = [np.frombuffer(r["counts"], "<u4") for r in rows]
+    counts = [_counts(r["counts"], n) for r in rows]
     owner = np.concatenate([np.repeat(np.arange(n, dtype=np.int32), c) for c in counts])
     codes = []
     for r, c in zip(rows, counts, strict=True):
@@ -83,7 +98,7 @@ def census(docs: DataFrame, hashes: Callable[[list[str]], tuple[np.ndarray, np.n
     texts have them too; it is null where a text is. Rows that repeat both id and text are counted, and answered, each."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts(docs, BUCKET)
     docs = docs.withColumn("sig", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -93,15 +108,14 @@ def census(docs: DataFrame, hashes: Callable[[list[str]], tuple[np.ndarray, np.n
             all_, each = hashes(b.column(1).to_pylist())
             top = ((all_ >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             owner = np.repeat(np.arange(len(each)), each)
-            counts = np.bincount(top * len(each) + owner, minlength=buckets * len(each)).reshape(buckets, len(each)).astype("<u4")
-            low = all_.astype("<u4")[np.argsort(top, kind="stable")]
-            ends = np.concatenate([[0], np.cumsum(counts.sum(axis=1), dtype=np.int64)])
+            order = np.argsort(top, kind="stable")
+            low, owner = (all_ >> np.uint64(16)).astype("<u4")[order], owner[order]
+            used = np.union1d(top, [0])
+            ends = np.searchsorted(top[order], np.append(used, buckets))
             rows = []
-            for i in range(buckets):
-                if not i or ends[i + 1] > ends[i]:
-                    here = low[ends[i] : ends[i + 1]]
-                    new, again = _folded(here)
-                    rows.append((i, counts[i].tobytes(), here[new].tobytes(), np.packbits(new).tobytes(), again.tobytes()))
+            for i, a, z in zip(used.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
+                new, again = _folded(low[a:z])
+                rows.append((i, _owners(owner[a:z], len(each)), low[a:z][new].tobytes(), np.packbits(new).tobytes(), again.tobytes()))
             top, *blobs = zip(*rows, strict=True)
             none = [None] * (len(rows) - 1)
             yield pa.RecordBatch.from_arrays(

@@ -19,8 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound what a Python worker gets at once, in rows and in bytes, so that long texts do not pile up."""
+#: What a Python worker gets at once, in rows and in bytes, so that long texts do not pile up; one bound for all operators of a session.
+ROWS, SIZE = 2000, "8m"
+
+
+def arrow_batches(spark: SparkSession) -> None:
+    """Ship the package, and bound what a Python worker gets at once."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SIZE)
+
+
+def parts(df: DataFrame, size: int, least: int = 8) -> int:
+    """How many parts of about `size` bytes of input df makes by the planner's estimate, which is that of its files; no fewer than the shuffle's."""
+    spark = df.sparkSession
+    n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, -(-estimate // size)) if estimate < 1 << 60 else n  # tables that are not files have no estimate

@@ -15,8 +15,9 @@ rows is spread, and what is equal has been folded before."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from rutine.llm.census import census, classes
 from rutine.llm.common import arrow_batches, drop, written
-from rutine.llm.symbols import BYTES, SLICE, distinct_by_owner, grams, mix, sliding_argmin, words_of_all
+from rutine.llm.symbols import BYTES, SLICE, anchors, mix, rolled, words_of_all
 
 #: A gram in more documents than this has its windows exchanged one by one.
 COMMON = 1024
+#: Symbols, and families, that are worked on at once: few enough for a processor's cache, whatever a text's length.
+PART = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -48,20 +51,21 @@ class Shape:
 
     @property
     def unit(self) -> int:
-        """Bytes of a symbol in a key. Words are told apart by 40 bits of their hashes: for a false match, two windows would have to
+        """Bytes of a symbol in a key. Words are told apart by their whole 64-bit hashes: for a false match, two windows would have to
         agree in all other words too."""
-        return 5 if self.words else 1
+        return 8 if self.words else 1
 
-    def groups(self, raws: list[bytes]):
+    def groups(self, raws: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         """(first text, texts) of neighbours that are worked on together, about a slice of them."""
-        at, size = 0, 0
+        at, size, some = 0, 0, []
         for i, raw in enumerate(raws):
-            if i > at and size + len(raw) > SLICE:
-                yield at, raws[at:i]
-                at, size = i, 0
+            if some and size + len(raw) > SLICE:
+                yield at, some
+                at, size, some = i, 0, []
+            some.append(raw)
             size += len(raw)
-        if raws:
-            yield at, raws[at:]
+        if some:
+            yield at, some
 
     def symbols(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbols of all texts, number of each)."""
@@ -69,24 +73,28 @@ class Shape:
             return words_of_all(raws)
         return np.frombuffer(b"".join(raws), np.uint8), np.array([len(r) for r in raws], np.int64)
 
+    def hashed(self, symbols: np.ndarray) -> np.ndarray:
+        return symbols if self.words else BYTES[symbols]
+
     def families(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, anchor, lowest and highest window start, hash of the gram) of every family. Places are among all symbols."""
         ends, out = np.cumsum(counts), []
-        for at in range(0, max(0, len(symbols) - self.length + 1), SLICE):  # a long text is many slices
-            part = symbols[at : at + SLICE + self.length - 1]
-            h = grams(part if self.words else BYTES[part], self.gram)
-            anchor = sliding_argmin(h, self.width)
-            owner = np.searchsorted(ends, np.arange(at, at + len(anchor)), side="right")
-            inside = np.flatnonzero(np.arange(at, at + len(anchor)) + self.length <= ends[owner])
-            if not len(inside):
-                continue
-            a = anchor[inside]
-            new = np.ones(len(a), bool)
-            new[1:] = a[1:] != a[:-1]
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(a)) - 1
-            p = a[first].astype(np.int64)
-            out.append((owner[inside[first]], p + at, inside[first] + at, inside[last] + at, h[p]))
+        for at in range(0, max(0, len(symbols) - self.length + 1), PART):  # a long text is many parts
+            h = rolled(self.hashed(symbols[at : at + PART + self.length - 1]), self.gram)
+            a = anchors(h, self.width)
+            first, last = np.searchsorted(ends, [at, at + len(a) - 1], side="right")
+            stop = ends[first : last + 1] - at  # a window may start up to length before a text's end
+            fits = np.zeros(len(a) + 1, np.int8)
+            np.add.at(fits, np.clip(np.concatenate([[0], stop[:-1]]), 0, len(a)), 1)
+            np.add.at(fits, np.clip(np.maximum(stop - self.length + 1, np.concatenate([[0], stop[:-1]])), 0, len(a)), -1)
+            fits = np.cumsum(fits[:-1], dtype=np.int8) > 0
+            cut = np.ones(len(a) + 1, bool)
+            cut[1:-1] = (a[1:] != a[:-1]) | (fits[1:] != fits[:-1])
+            low = np.flatnonzero(cut[:-1] & fits)
+            if len(low):
+                high = np.flatnonzero(cut[1:] & fits)
+                p = a[low]
+                out.append((first + np.searchsorted(stop, low, side="right"), p + at, low + at, high + at, h[p]))
         if not out:
             none = np.zeros(0, np.int64)
             return none, none, none, none, np.zeros(0, np.uint64)
@@ -97,16 +105,24 @@ class Shape:
         got = []
         for _, raws in self.groups([x.encode() for x in texts]):
             owner, _, _, _, h = self.families(*self.symbols(raws))
-            got.append(distinct_by_owner(owner, h, len(raws))[:2])
+            own = np.sort(owned(owner, h))
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+            got.append((own << np.uint64(16), np.bincount((own >> np.uint64(48)).astype(np.int64), minlength=len(raws)).astype(np.int64)))
         return np.concatenate([h for h, _ in got]), np.concatenate([n for _, n in got])
 
     def suspects(self, symbols: np.ndarray, counts: np.ndarray, codes: bytes) -> tuple[np.ndarray, ...]:
         """Families (text, anchor, low, high, route) that another text may share; single windows for very common grams."""
         owner, p, low, high, h = self.families(symbols, counts)
-        place = distinct_by_owner(owner, h, len(counts))[2]
-        code = np.frombuffer(codes, np.uint8)[place]
+        own = owned(owner, h)
+        order = np.argsort(own)
+        new = np.ones(len(own), bool)
+        new[1:] = own[order][1:] != own[order][:-1]
+        code = np.empty(len(own), np.uint8)
+        code[order] = np.frombuffer(codes, np.uint8)[np.cumsum(new) - 1] if len(own) else code
         some = (code > 0) & (code <= _COMMON_CLASS)
         common = np.flatnonzero(code > _COMMON_CLASS)
+        if not len(common):
+            return owner[some], p[some], low[some], high[some], mix(h[some])
         n = high[common] - low[common] + 1
         starts = np.repeat(low[common] - np.cumsum(n) + n, n) + np.arange(n.sum())
         route = np.concatenate([mix(h[some]), self.window_hashes(symbols, starts)])
@@ -115,35 +131,41 @@ class Shape:
         return tuple(x[order] for x in (owner, np.concatenate([p[some], starts]), np.concatenate([low[some], starts]), np.concatenate([high[some], starts]), route))
 
     def window_hashes(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        h, s = np.zeros(len(starts), np.uint64), symbols if self.words else BYTES[symbols]
-        for i in range(self.length):
-            h = mix(h * np.uint64(3) + s[starts + i])
+        """A hash of the window at each of starts, which ascend."""
+        h = np.empty(len(starts), np.uint64)
+        for at in range(0, len(symbols), PART):
+            a, b = np.searchsorted(starts, [at, at + PART])
+            if b > a:
+                h[a:b] = rolled(self.hashed(symbols[at : at + PART + self.length - 1]), self.length)[starts[a:b] - at]
         return h
 
     def keys(self, symbols: np.ndarray, ends: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, route: np.ndarray) -> np.ndarray:
         """A row of bytes for each family: route, suffix, symbols on the left from the anchor outwards, the two offsets, and a mark.
 
         Symbols beyond the text's end, or on the left of the lowest window, are zero."""
+        out = [self._keys(symbols, *(x[at : at + PART] for x in (ends, p, low, high, route))) for at in range(0, max(1, len(p)), PART)]
+        return np.concatenate(out) if len(out) > 1 else out[0]
+
+    def _keys(self, symbols: np.ndarray, ends: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, route: np.ndarray) -> np.ndarray:
         n, left = self.length, self.width - 1
-        padded = np.concatenate([np.zeros(left, symbols.dtype), symbols, np.zeros(n, symbols.dtype)])
+        start = max(0, int(low.min(initial=len(symbols))) - left)
+        near = symbols[start : int(p.max(initial=0)) + n]
+        p, low, high, ends = p - start, low - start, high - start, ends - start
+        padded = np.concatenate([np.zeros(left, symbols.dtype), near, np.zeros(n, symbols.dtype)])
         right = np.where(np.arange(n) < (ends - p)[:, None], padded[p[:, None] + left + np.arange(n)], 0)
         before = np.where(np.arange(left) < (p - low)[:, None], padded[p[:, None] + left - 1 - np.arange(left)], 0)
         tail = np.stack([p - high, p - low, np.ones_like(p)], axis=1).astype(np.uint8)
         return np.concatenate([route.astype(">u8").view(np.uint8).reshape(len(p), 8), self.packed(right), self.packed(before), tail], axis=1)
 
     def packed(self, x: np.ndarray) -> np.ndarray:
-        if not self.words:
-            return x
-        return x.astype(">u8").view(np.uint8).reshape(*x.shape, 8)[:, :, 3:].reshape(len(x), -1)
+        return x.astype(">u8").view(np.uint8).reshape(len(x), -1) if self.words else x.astype(np.uint8, copy=False)
 
-    def unpacked(self, x: np.ndarray) -> np.ndarray:
-        """Symbols of packed rows."""
+    def ranks(self, rows: np.ndarray) -> np.ndarray:
+        """Symbols of packed rows, as small numbers that are equal where symbols are."""
         if not self.words:
-            return x.astype(np.uint64)
-        out = np.zeros((len(x), x.shape[1] // 5), np.uint64)
-        for i in range(5):
-            out = (out << np.uint64(8)) | x[:, i::5]
-        return out
+            return rows.astype(np.int64)
+        x = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+        return np.unique(x, return_inverse=True)[1].reshape(x.shape).astype(np.int64)
 
     @property
     def head(self) -> int:
@@ -173,49 +195,62 @@ def common_prefixes(heads: np.ndarray) -> np.ndarray:
     return out
 
 
+def owned(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """48 bits of each hash behind its owner, of whom there are fewer than 65536."""
+    return owner.astype(np.uint64) << np.uint64(48) | h >> np.uint64(16)
+
+
 def earlier(shape: Shape, lcp: np.ndarray, left: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """A bit for each offset at which a family's window also starts in a document with a smaller id.
 
-    Families are sorted by suffix, and lcp has the bytes of common prefix with the one before (of route and suffix)."""
+    Families are sorted by suffix, and lcp has the bytes of common prefix with the one before (of route and suffix). At each offset the
+    families are numbered by what they have on the left, so that symbols are compared, and no hash stands for them."""
     bits, shared = np.zeros(len(docs), np.uint32), np.maximum(lcp - 8, 0) // shape.unit
     shared = np.where(lcp < 8, -1, shared)
-    symbols = shape.unpacked(left)
-    past = np.zeros(len(docs), np.uint64)
+    alone = shared < shape.gram  # no window is shared without the whole gram
+    on = np.flatnonzero(~alone | ~np.concatenate([alone[1:], [True]])[: len(alone)])
+    if not len(on):
+        return bits
+    symbols, past, low, high = shape.ranks(left[on]), np.zeros(len(on), np.int64), offsets[on, 0], offsets[on, 1]
+    many = int(symbols.max(initial=0)) + 1
     for o in range(shape.width):
-        if o:
-            past = mix(past * np.uint64(0x9E3779B97F4A7C15) + symbols[:, o - 1] + np.uint64(1))
-        on = np.flatnonzero((offsets[:, 0] <= o) & (o <= offsets[:, 1]))
+        stay = high >= o
+        if not stay.all():
+            on, symbols, past, low, high = on[stay], symbols[stay], past[stay], low[stay], high[stay]
         if not len(on):
-            continue
-        run = np.cumsum(shared < shape.length - o).astype(np.uint64)
-        key = mix(run[on] * np.uint64(0xD6E8FEB86659FD93) + past[on])
+            break
+        if o:
+            past = np.unique(past * many + symbols[:, o - 1], return_inverse=True)[1]
+        run = np.cumsum(shared < shape.length - o)[on]
+        at = np.flatnonzero(low <= o)
+        key = run[at] * (int(past.max()) + 1) + past[at]
         order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        least = np.repeat(np.minimum.reduceat(docs[on][order], first), np.diff(np.append(first, len(on))))
-        late = on[order][docs[on][order] > least]
-        bits[late] |= np.uint32(1 << o)
+        key, doc = key[order], docs[on[at]][order]
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(key))))
+        bits[on[at[order[doc > least]]]] |= np.uint32(1 << o)
     return bits
 
 
 def covered(n: int, shape: Shape, p: np.ndarray, low: np.ndarray, high: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which of n symbols lie in a window that is marked in bits."""
-    ends = np.zeros(n + 1, np.int64)
+    """Which of n symbols lie in a window that is marked in bits. A window's start belongs to one family only."""
+    ends = np.zeros(n + shape.length + 1, np.int16)
     for o in range(shape.width):
-        q = p[(bits >> np.uint32(o) & np.uint32(1)).astype(bool) & (p - high <= o) & (o <= p - low)] - o
-        np.add.at(ends, q, 1)
-        np.add.at(ends, q + shape.length, -1)
-    return np.cumsum(ends[:-1]) > 0
+        ends[p[(bits >> np.uint32(o) & np.uint32(1)).astype(bool) & (p - high <= o) & (o <= p - low)] - o] = 1
+    ends[shape.length :] -= ends[: n + 1].copy()
+    return np.cumsum(ends[:n], dtype=np.int16) > 0
 
 
-def result(shape: Shape, raw: bytes, cover: np.ndarray | None, digest: bool) -> tuple[int, int, int, bytes]:
-    """(symbols, removed, maximal removed runs, what is left or the hex of its hash) of a text."""
+def result(shape: Shape, symbols: bytes | list[bytes], cover: np.ndarray | None, digest: bool) -> tuple[int, int, int, bytes]:
+    """(symbols, removed, maximal removed runs, what is left or the hex of its hash) of a text, given as its bytes or words."""
     if shape.words:
-        words = raw.split()
-        n, kept = len(words), b" ".join(words if cover is None else [w for w, c in zip(words, cover.tolist(), strict=True) if not c])
+        kept = b" ".join(symbols if cover is None else compress(symbols, (~cover).tolist()))
     else:
-        n, kept = len(raw), raw if cover is None else np.frombuffer(raw, np.uint8)[~cover].tobytes()
-    removed, spans = (0, 0) if cover is None else (int(cover.sum()), int(np.count_nonzero(np.diff(cover.astype(np.int8), prepend=0) == 1)))
-    return n, removed, spans, hashlib.sha256(kept).hexdigest().encode() if digest else kept
+        kept = symbols if cover is None else np.frombuffer(symbols, np.uint8)[~cover].tobytes()
+    removed, spans = (0, 0) if cover is None else (int(np.count_nonzero(cover)), int(cover[:1].sum()) + int(np.count_nonzero(cover[1:] > cover[:-1])))
+    return len(symbols), removed, spans, hashlib.sha256(kept).hexdigest().encode() if digest else kept
 
 
 ENTRY = np.dtype([("doc", "<u4"), ("p", "<i8"), ("low", "u1"), ("high", "u1"), ("own", "<u4")])
@@ -239,7 +274,7 @@ def sorted_run(shape: Shape, rows: bytes, docs: bytes) -> tuple[np.ndarray, np.n
 
 
 def _gather(shape: Shape, digest: bool) -> Callable:
-    """Rows of WRITTEN of batches (id, text, codes): kind 0, a finished document; kind 1, texts and families of a batch; kind 2, its keys."""
+    """Rows of WRITTEN of batches (id, text, codes): kind 0, a finished document; kind 1, texts and families of a batch; kind 2, its n keys."""
     schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept", pa.binary()), ("ids", pa.list_(pa.int64())), ("bodies", pa.list_(pa.binary())), ("entries", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary())])
 
     def run(batches):
@@ -266,7 +301,7 @@ def _gather(shape: Shape, digest: bool) -> Callable:
                         ids.append(batch[at + i][0])
                         bodies.append(raw)
                     else:
-                        done.append((batch[at + i][0], *result(shape, raw, None, digest)))
+                        done.append((batch[at + i][0], *result(shape, raw.split() if shape.words else raw, None, digest)))
             rows = [{"kind": 0, **dict(zip(("id", "n", "removed", "spans", "kept"), r, strict=True))} for r in done]
             if ids:
                 e, keys = np.concatenate(entries), np.concatenate(keys)
@@ -275,7 +310,7 @@ def _gather(shape: Shape, digest: bool) -> Callable:
                 uid = (part << 32) + k
                 rows.append({"kind": 1, "uid": uid, "ids": ids, "bodies": [squeezed(x) for x in bodies], "entries": squeezed(e.tobytes()), "docs": squeezed(docs[first].tobytes())})
                 first.sort()  # in the order of the texts neighbours overlap, and compress well; split() sorts them
-                rows.append({"kind": 2, "uid": uid, "docs": squeezed(docs[first].tobytes()), "rows": squeezed(keys[first].tobytes())})
+                rows.append({"kind": 2, "uid": uid, "n": len(first), "docs": squeezed(docs[first].tobytes()), "rows": squeezed(keys[first].tobytes())})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -294,13 +329,13 @@ def _finish(shape: Shape, digest: bool) -> Callable:
                 ids = np.array(r["ids"], "<i8")
                 mine = np.where(ids[e["doc"]] > docs[e["own"]], np.uint32(2**shape.width - 1), bits[e["own"]])
                 cut, out = np.searchsorted(e["doc"], np.arange(len(ids) + 1)), []
-                for i, raw in enumerate(map(released, r["bodies"])):
-                    one, m = e[cut[i] : cut[i + 1]], mine[cut[i] : cut[i + 1]]
-                    cover = None
-                    if m.any():
-                        n = len(raw) if not shape.words else len(raw.split())
-                        cover = covered(n, shape, one["p"], one["p"] - one["low"].astype(np.int64), one["p"] - one["high"].astype(np.int64), m)
-                    out.append((r["ids"][i], *result(shape, raw, cover, digest)))
+                for at, raws in shape.groups(released(x) for x in r["bodies"]):
+                    texts = [x.split() if shape.words else x for x in raws]
+                    ends = np.cumsum([0, *map(len, texts)])
+                    one, m = e[cut[at] : cut[at + len(raws)]], mine[cut[at] : cut[at + len(raws)]]
+                    p = one["p"] + ends[one["doc"].astype(np.int64) - at]
+                    cover = covered(int(ends[-1]), shape, p, p - one["low"].astype(np.int64), p - one["high"].astype(np.int64), m)
+                    out += [(r["ids"][at + i], *result(shape, x, cover[ends[i] : ends[i + 1]], digest)) for i, x in enumerate(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "n", "removed", "spans", "kept"])
 
     return run
@@ -309,12 +344,12 @@ def _finish(shape: Shape, digest: bool) -> Callable:
 def remove_repeats(docs: DataFrame, shape: Shape, split: Callable, resolve: Callable, digest: bool) -> DataFrame:
     """docs (id long, text) without what also starts in an earlier document: (id, n, removed, spans, kept).
 
-    split(runs) gives rows of RUN of a table (uid, docs, rows); resolve(table) answers a bucket of those with (uid, at, bits)."""
+    split(runs) gives rows of RUN of a table (uid, n, docs, rows); resolve(table) answers a bucket of those with (uid, at, bits)."""
     spark = docs.sparkSession
-    arrow_batches(spark, 2000)
+    arrow_batches(spark)
     found = census(docs, shape.hashes).select("id", "text", "codes").mapInArrow(_gather(shape, digest), WRITTEN)
     found = written(found, "runs", "kind")
-    answers = split(found.where("kind = 2").select("uid", "docs", "rows")).groupBy("bucket").applyInArrow(resolve, "uid long, at long, bits binary")
+    answers = split(found.where("kind = 2").select("uid", "n", "docs", "rows")).groupBy("bucket").applyInArrow(resolve, "uid long, at long, bits binary")
     answers = written(answers.groupBy("uid").agg(F.collect_list(F.struct("at", "bits")).alias("answers")), "answers")
     drop(found, part="kind=2")
     homes = found.where("kind = 1").select("uid", "ids", "bodies", "entries", "docs").join(answers, "uid", "left").drop("uid")

@@ -82,7 +82,7 @@ def _split(shape: Shape):
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["uid", "bucket", "at", "docs", "rows"])
 
-        return runs.mapInArrow(run, RUN)
+        return runs.select("uid", "docs", "rows").mapInArrow(run, RUN)
 
     return split
 

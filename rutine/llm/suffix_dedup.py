@@ -7,7 +7,8 @@ compared by those lengths alone if they differ, and from that length on if they
 prefix is read again, and the merge leaves the common prefixes of neighbours, that is the LCP array, with no further work.
 
 Which suffixes take part, and how the result follows from the LCP array, is told in repeats.py. Suffixes
-are ordered by the fingerprint of their first gram and then by their bytes, so ranges are even without sampling.
+are ordered by the fingerprint of their first gram and then by their bytes, so ranges are even without sampling; there are as many
+as keep one, which a task merges in memory, near RANGE suffixes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from rutine.llm.common import table
 from rutine.llm.repeats import RUN, Shape, common_prefixes, earlier, released, remove_repeats, sorted_run, squeezed
 
 
+#: Suffixes of a range, of some 150 bytes each.
+RANGE = 400_000
+
+
 def front_coded(heads: np.ndarray) -> tuple[bytes, bytes]:
     """(common prefix lengths, rests joined) of sorted rows of fewer than 256 bytes."""
     lcp = common_prefixes(heads)
@@ -108,7 +113,8 @@ class LoserTree:
 
 def _split(shape: Shape):
     def split(runs: DataFrame) -> DataFrame:
-        buckets = max(8, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        n = runs.agg(F.sum("n")).first()[0] or 0
+        buckets = max(8, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
 
         def run(batches):
             for b in batches:
@@ -125,7 +131,7 @@ def _split(shape: Shape):
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["uid", "bucket", "at", "docs", "lcp", "rests", "sides"])
 
-        return runs.mapInArrow(run, RUN.replace("rows binary", "lcp binary, rests binary, sides binary"))
+        return runs.select("uid", "docs", "rows").mapInArrow(run, RUN.replace("rows binary", "lcp binary, rests binary, sides binary"))
 
     return split
 

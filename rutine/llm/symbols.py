@@ -13,15 +13,25 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+PLAIN = np.arange(256, dtype=np.uint8)
 #: Bytes or symbols that are worked on at once.
 SLICE = 1 << 20
+#: Bytes that are cut into words at once, unless one is longer: few enough for a processor's cache.
+PIECE = 1 << 15
+#: Words are hashed as polynomials modulo this prime, 2**31 - 1, at two points.
+PRIME = U(0x7FFFFFFF)
+POINTS = (1183186591, 742938285)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Every bit of the result depends on every bit of x."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -43,34 +53,70 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
-def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
-    """The place of the leftmost smallest value among each width neighbours."""
-    n, at, size, v = len(h) - width + 1, np.arange(len(h), dtype=np.int32), 1, h
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """Powers of base modulo 2**64, from the 0th."""
+    got = _powers.get(int(base))
+    if got is None or len(got) < n:
+        got = _powers[int(base)] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SLICE) - 1, base)]), dtype=np.uint64)
+    return got[:n]
+
+
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k of up to some SLICEs of hashes, by sums of prefixes. It guides what is compared, and decides nothing."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    c = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power(ODD, len(h)), out=c[1:])
+    return mix((c[k:] - c[:n]) * _power(INVERSE, n))
+
+
+def anchors(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the leftmost smallest value, by its first 44 bits, among each width neighbours. h is no longer than SLICE."""
+    n, size = len(h) - width + 1, 1
     if n <= 0:
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64)
+    v = (h & ~U(SLICE - 1)) | np.arange(len(h), dtype=np.uint64)
     while size * 2 <= width:
-        less = v[size:] < v[:-size]
-        v, at = np.where(less, v[size:], v[:-size]), np.where(less, at[size:], at[:-size])
+        v = np.minimum(v[size:], v[:-size])
         size *= 2
     if size < width:
-        shift = width - size
-        at = np.where(v[shift : shift + n] < v[:n], at[shift : shift + n], at[:n])
-    return at[:n]
+        v = np.minimum(v[width - size : width - size + n], v[:n])
+    return (v[:n] & U(SLICE - 1)).astype(np.int64)
 
 
-_powers: dict[int, np.ndarray] = {}
+_points: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    got = _powers.get(int(base))
-    if got is None or len(got) < n:
-        got = _powers[int(base)] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, SLICE) - 1, base)]), dtype=np.uint64)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    x = (x & PRIME) + (x >> U(31))
+    x = (x & PRIME) + (x >> U(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _at_point(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a point modulo PRIME and of its inverse, from the 0th, n or more."""
+    got = _points.get(point)
+    if got is None or len(got[0]) < n:
+        out = []
+        for base in (point, pow(point, -1, int(PRIME))):
+            power = np.ones(1, np.uint64)
+            while len(power) < max(n, SLICE):
+                power = np.concatenate([power, _reduced(power * U(pow(base, len(power), int(PRIME))))])
+            out.append(power)
+        got = _points[point] = tuple(out)
     return got
 
 
 def words(raw: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of a text, a word being a run of anything but blank and the controls tab to carriage return."""
-    out, starts, start, size = [], [], 0, SLICE
+    """(hash, start) of every word of a text, a word being a run of anything but blank and the controls tab to carriage return.
+
+    A word's hash is its polynomial's value at two points of the field of 2**31 - 1 elements, with two bits of its length."""
+    out, starts, start, size = [], [], 0, PIECE
     while start < len(raw):
         piece = np.frombuffer(raw, np.uint8, min(size, len(raw) - start), start)
         space = IS_SPACE[piece]
@@ -83,11 +129,17 @@ def words(raw: bytes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
         a, b = edge[::2], edge[1::2]
         if len(a):
-            table = BYTES[LOWER] if lower else BYTES
-            c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[piece] * _power(INVERSE, len(piece))[: len(piece)], dtype=np.uint64)])
-            out.append(mix((c[b] - c[a]) * _power(ODD, len(piece))[a] + (b - a).astype(np.uint64)))
+            values = ((LOWER if lower else PLAIN)[piece]).astype(np.uint64) + U(1)
+            h = (b - a).astype(np.uint64) << U(62)
+            for shift, point in zip((0, 31), POINTS, strict=True):
+                power, inverse = _at_point(point, len(piece))
+                c = np.zeros(len(piece) + 1, np.uint64)
+                terms = values * power[: len(piece)]  # below 2**39
+                np.cumsum(terms if len(piece) < 1 << 22 else _reduced(terms), out=c[1:])
+                h |= _reduced(_reduced(c[b] - c[a]) * inverse[a]) << U(shift)
+            out.append(mix(h))
             starts.append(a + start)
-        start, size = start + len(piece), SLICE
+        start, size = start + len(piece), PIECE
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(starts)

@@ -126,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     Queries and candidates are packed into blocks and each block of queries goes once to each block of candidates,
     keyed by the latter; nothing is broadcast by this code and no pair of rows is ever a row, only each block's k best."""
-    arrow_batches(vectors.sparkSession, 2000)
+    arrow_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where("id IS NOT NULL AND v IS NOT NULL").where(fine)

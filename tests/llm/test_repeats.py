@@ -5,7 +5,7 @@ import random
 import re
 
 import numpy as np
-from rutine.llm import repeats
+from rutine.llm import repeats, symbols
 from rutine.llm.substring import dedup_windows
 from rutine.llm.suffix_dedup import LoserTree, Run, dedup_substrings, front_coded
 
@@ -71,8 +71,7 @@ def test_common_grams_go_window_by_window(monkeypatch):
     for limit in (0, 100):
         monkeypatch.setattr(repeats, "_COMMON_CLASS", limit)
         symbols, counts = shape.symbols(raws)
-        owner, _, _, _, h = shape.families(symbols, counts)
-        sent = repeats.distinct_by_owner(owner, h, len(raws))[1]
+        sent = shape.hashes([r.decode() for r in raws])[1]
         owner, p, low, high, route = shape.suspects(symbols, counts, bytes([1] * int(sent.sum())))
         ends = np.cumsum(counts)
         keys = shape.keys(symbols, ends[owner], p, low, high, route)
@@ -116,3 +115,31 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
 def test_digest(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert bytes(dedup_windows(df, digest=True).first().kept).decode() == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_texts_of_several_parts(spark):
+    """Texts longer than what is worked on at once, with passages that repeat across the cuts."""
+    r = random.Random(9)
+    text = "".join(r.choice("abcdefgh ") for _ in range(5 * repeats.PART))
+    docs = {1: text, 2: "x" * 11 + text[1000 : 3 * repeats.PART] + "y" * 5 + text[2 * repeats.PART :], 3: "ab" * repeats.PART, 4: "a" + "ab" * repeats.PART}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {x.doc_id: x for x in dedup_substrings(df).collect()}
+    for i, gone in removed({i: t.encode() for i, t in docs.items()}, 50).items():
+        kept = bytes(b for b, g in zip(docs[i].encode(), gone, strict=True) if not g)
+        assert (got[i].n_removed, bytes(got[i].kept)) == (sum(gone), kept), i
+    got = {x.doc_id: x for x in dedup_windows(df).collect()}
+    words = {i: tuple(t.split()) for i, t in docs.items()}
+    for i, gone in removed(words, 13).items():
+        assert (got[i].n_words, got[i].n_removed) == (len(words[i]), sum(gone)), i
+
+
+def test_long_words_with_hard_hashes(spark):
+    """Pairs of words that collide under any polynomial modulo a power of two with an odd base."""
+    x, y = "a", "b"
+    for _ in range(12):
+        x, y = x + y, y + x
+        if len(x) >= 1024:
+            assert symbols.words(x.encode())[0][0] != symbols.words(y.encode())[0][0], len(x)
+    frame = "one two three four five six {} seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, frame.format(x)), (2, frame.format(y))], "doc_id long, text string")
+    assert [r.n_removed for r in dedup_windows(df).collect()] == [0, 0]
