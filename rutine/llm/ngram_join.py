@@ -9,6 +9,10 @@ with it are stored as a trie in global order and traversed once: sets with equal
 subtree ends as soon as the lengths that remain, in it and in the probe, can't reach the overlap that its smallest set needs. Links found
 join sets into components; whatever still shares a gram in front but is in different components is then compared likewise. No link
 between components is lost, and the copies of a large group are never paired with each other.
+
+Sets that share a passage and little else never become a pair: each set has a sketch, the parity of its grams in each of BITS cells. Two
+sketches differ in no more cells than the sets have different grams, so sets whose sketches differ too much are dissimilar for certain. That
+is tested inside the joins, before anything is put out; a gram in very many sets is dealt over as many keys as keep one small.
 """
 
 from __future__ import annotations
@@ -19,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.llm.census import census
-from rutine.llm.common import arrow_batches, table, written
+from rutine.llm.common import arrow_batches, drop, table, written
 from rutine.llm.components import components
 from rutine.llm.symbols import distinct_by_owner, grams, mix, words_of_all
 
 #: Sets in a trie, about; those to be compared with one probe are dealt over as many tries as it takes.
 TRIE = 256
+#: Cells of a sketch, in eight longs.
+BITS = 512
+#: Sets behind a gram that one key of the last comparison may hold on its smaller side.
+BLOCK = 4096
 
 
 def gram_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +110,22 @@ class Trie:
         return out
 
 
-SETS = "id long, n long, s1 long, s2 long, own int, front int, grams binary"
+SKETCH = [f"k{i}" for i in range(BITS // 64)]
+SETS = "id long, n long, s1 long, s2 long, own int, front int, grams binary, " + ", ".join(f"{k} long" for k in SKETCH)
+
+
+def sketches(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The parities of each set's grams by cell: rows of eight longs."""
+    cell = np.repeat(np.arange(len(sizes)) * BITS, sizes) + (h >> np.uint64(23)).astype(np.int64) % BITS
+    odd = (np.bincount(cell, minlength=len(sizes) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8").reshape(len(sizes), len(SKETCH))
+
+
+def may_link(percent: int) -> str:
+    """SQL: whether two sets can be similar, by their sizes (n, n2), grams that only one document has (own, own2) and sketches (k0.., l0..)."""
+    need = f"CAST(ceil({percent} * (n + n2) / {100 + percent}) AS BIGINT)"
+    differ = " + ".join(f"bit_count(k{i} ^ l{i})" for i in range(len(SKETCH)))
+    return f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND least(n - own, n2 - own2) >= {need} AND {differ} <= n + n2 - 2 * {need}"
 
 
 def _sets(words: int, percent: int):
@@ -112,6 +135,7 @@ def _sets(words: int, percent: int):
         for b in batches:
             out = []
             all_, sizes = gram_sets([x or "" for x in b.column(1).to_pylist()], words)
+            marks = sketches(all_, sizes)
             for id_, codes, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), np.split(all_, np.cumsum(sizes)[:-1]), strict=True):
                 n = len(h)
                 code = np.frombuffer(codes or b"", np.uint8)
@@ -124,7 +148,8 @@ def _sets(words: int, percent: int):
                     order = np.lexsort((h, code))[own:]
                     out.append((id_, n, s1, s2, own, ahead - own, h[order].astype("<u8").tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=["id", "n", "s1", "s2", "own", "front", "grams"])
+            columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, np.ascontiguousarray(marks.T))], names=["id", "n", "s1", "s2", "own", "front", "grams", *SKETCH])
 
     return run
 
@@ -158,6 +183,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored.unionByName(probes).groupBy("b", "trie").applyInArrow(run, "a long, b long")
 
 
+def _marked(sets: DataFrame, id_: str, n: str, own: str, sketch: str) -> DataFrame:
+    """What may_link() asks of a set, by names for its side."""
+    return sets.select(F.col("id").alias(id_), F.col("n").alias(n), F.col("own").alias(own), *[F.col(k).alias(f"{sketch}{i}") for i, k in enumerate(SKETCH)])
+
+
 def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents linked by similar n-gram sets: (id, n_shingles, component_id), one row for each row of docs.
 
@@ -175,29 +205,31 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sets = partners.join(same, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
     sets = written(sets, "folded")
     posts = written(sets.select("id", "n", "own", "front", "grams").mapInArrow(_postings, "gram long, id long, n long, own long, place long"), "postings")
-    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    one, other = _marked(sets, "a", "n", "own", "k"), _marked(sets, "b", "n2", "own2", "l")
     # each set with the most ordinary one behind the same gram
-    hubs = posts.groupBy("gram").agg(F.min(F.struct("own", "id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("gram", F.col("hub.id").alias("b"), F.col("hub.n").alias("n2"))
-    stars = posts.join(hubs, "gram").where(F.expr(f"id <> b AND {fits}")).select(F.col("id").alias("a"), "b").distinct()
-    stars = written(stars, "stars")
+    hubs = posts.groupBy("gram").agg(F.min(F.struct("own", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    stars = posts.select("gram", F.col("id").alias("a")).join(hubs.select("gram", F.col("hub.id").alias("b")), "gram").where("a <> b").select("a", "b").distinct()
+    stars = written(stars.join(one, "a").join(other, "b").where(F.expr(may_link(percent))).select("a", "b"), "stars")
     links = written(_verified(stars, sets, percent), "links")
     labels = written(components(links), "labels")
     # what shares a gram in front and is not connected yet
     named = posts.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = written(named, "named")
-    mixed = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
-    left = named.join(mixed, "gram", "left_semi").select("gram", "id", "n", "place", "label")
-    right = left.toDF("gram", "id2", "n2", "place2", "label2")
+    mixed = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y")
+    rest = named.select("gram", F.col("id").alias("a"), "place", "label").join(mixed.select("gram", "blocks"), "gram").join(one, "a")
+    rest = written(rest, "rest")
+    left = rest.withColumn("block", F.pmod(F.xxhash64("a"), "blocks")).drop("blocks")
+    right = rest.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("blocks")
+    right = right.withColumnsRenamed({"a": "b", "place": "place2", "label": "label2", "n": "n2", "own": "own2", **{k: f"l{i}" for i, k in enumerate(SKETCH)}})
     reach = f"least(n - place, n2 - place2) >= ceil({percent} * (n + n2) / {100 + percent})"
-    more = left.join(right, "gram").where(F.expr(f"id < id2 AND label <> label2 AND {fits} AND {reach}"))
-    more = more.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    more = left.join(right, ["gram", "block"]).where(F.expr(f"a < b AND label <> label2 AND {reach} AND {may_link(percent)}"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
+    more = written(more.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(_verified(more, sets, percent))
     labels = components(links).withColumnRenamed("id", "rep")
     whole = same.withColumnRenamed("id", "rep").join(labels, "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"))
     joined = partners.select("id", "n", "s1", "s2").join(written(whole, "classes"), ["n", "s1", "s2"]).select("id", "n", "component_id")
+    drop(sets, posts, stars, named, rest, more)
     alone = found.where("grams IS NULL").select("id", "n", F.col("id").alias("component_id"))
     return alone.unionByName(joined).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+from rutine.llm import ngram_join
 from rutine.llm.components import components
 from rutine.llm.ngram_join import Trie, needed, similar_classes
 
@@ -66,3 +67,41 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, i) for i in range(51, 70)] + [(80, 80)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(21)}, **{i: 50 for i in range(50, 70)}}
+
+
+def passages(n, seed=4):
+    """n documents of several shared passages each: every one shares much with many and is similar to none."""
+    r = random.Random(seed)
+    pool = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(40)]
+    return {i: " ".join(r.sample(pool, 9)) for i in range(n)}
+
+
+def test_shared_passages_make_few_candidates(spark, monkeypatch):
+    seen, real = {}, ngram_join.written
+
+    def counted(df, name, *by):
+        out = real(df, name, *by)
+        if name in ("stars", "more"):
+            seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    for n in (300, 1200):
+        seen.clear()
+        docs = passages(n)
+        copy = docs[5].split()
+        copy[-1] = "other"
+        docs[n + 1] = " ".join(copy)
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+        got = {x.doc_id: x.component_id for x in similar_classes(df, 4, 85).collect()}
+        assert got == {**{i: i for i in docs}, n + 1: 5}
+        assert sum(seen.values()) < n, seen
+
+
+def test_sketches_never_hide_a_link():
+    r = np.random.default_rng(2)
+    for size in (3, 60, 900, 5000):
+        a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: size * 9 // 10], r.integers(0, 2**63, size // 10, dtype=np.uint64)]))
+        k = ngram_join.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert np.bitwise_count(k[0] ^ k[1]).sum() <= len(np.setxor1d(a, b))
