@@ -17,8 +17,8 @@ from rutine.llm.common import table, written
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not tell pages apart.
 TRACKING = "^(utm_[a-z]+|gclid|fbclid)(=|$)"
-#: Width of the time buckets into which a URL's records are dealt, in units of `at`.
-WIDTH = 4096
+#: Time buckets into which a URL's records are dealt.
+BUCKETS = 65_536
 
 
 def canonical_url(url: Column) -> Column:
@@ -40,62 +40,86 @@ def _plain(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, width: int = WIDTH) -> DataFrame:
+def by_lower_name(headers: Column) -> Column:
+    """Headers by their names in lower case, one entry a name: of several spellings the last by code points counts. Null is empty."""
+    entries = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    value = lambda name: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), -1)["value"]
+    return F.map_from_entries(F.transform(names, lambda name: F.struct(name.alias("key"), value(name).alias("value"))))
+
+
+def _sources(asked: DataFrame, buckets: int) -> DataFrame:
+    """(url_key, at, source_id, source_at) of the times (url_key, at) of revisits: the latest earlier time at which the URL has a response.
+
+    asked has (url_key, at, kind, record_id). Times are folded first, however many records share one. They are dealt into buckets of equal
+    width between the 0.1 % and the 99.9 % quantile of all times, whatever their unit; what a bucket needs from before is the last
+    response of an earlier one, found by aggregation, so that a URL with a third of all records is many small groups."""
+    own = F.max(F.when(F.col("kind") == "response", F.col("record_id")))
+    times = written(asked.groupBy("url_key", "at").agg(own.alias("own"), F.max(F.col("kind") == "revisit").alias("asks")), "times")
+    low, high = times.agg(F.percentile_approx("at", [0.001, 0.999]).alias("q")).first().q or (0, 0)
+    place = (F.col("at").cast("double") - float(low)) * (buckets / max(float(high) - float(low), 1.0))
+    times = times.withColumn("bucket", F.greatest(F.lit(-1.0), F.least(F.lit(float(buckets)), F.floor(place).cast("double"))).cast("int"))
+    full = F.when(F.col("own").isNotNull(), F.col("at"))
+    last = times.groupBy("url_key", "bucket").agg(F.max(full).alias("last_at"), F.max_by("own", full).alias("last_id"))
+    before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("url_key", "bucket", F.last("last_at", ignorenulls=True).over(before).alias("far_at"), F.last("last_id", ignorenulls=True).over(before).alias("far_id"))
+    inside = Window.partitionBy("url_key", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    near = times.withColumns({"near_at": F.last(full, ignorenulls=True).over(inside), "near_id": F.last("own", ignorenulls=True).over(inside)}).where("asks")
+    found = near.join(carried, ["url_key", "bucket"])
+    return found.select("url_key", "at", F.coalesce("near_id", "far_id").alias("source_id"), F.coalesce("near_at", "far_at").alias("source_at"))
+
+
+def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Records with revisits resolved: (record_id, url_key, kind, resolved_id, state, headers, body), one row for each of records.
 
     records has record_id and at (long), url, kind ('response' or 'revisit'), etag, last_modified (string), headers (map) and body
-    (string). A response is itself: resolved_id is its own id, state 'full'. A revisit is 'resolved' if the latest response of its canonical
+    (string); other columns are ignored. A response is itself: resolved_id is its own id, state 'full'. A revisit is 'resolved' if the latest response of its canonical
     URL with a smaller `at` (of several at that time, that with the largest id) has an equal entity tag, compared weakly, or, where
     the revisit has none, an equal last-modified; 'changed' if it has not; 'missing' if there is no such response or url or at is null.
     A revisit that names no validator is 'changed'. Unresolved revisits keep their own headers and have no body. Any other
-    kind is passed through as state 'other'. Null headers are empty. record_id should be unique.
-
-    A URL's records are dealt into time buckets: what a bucket needs from before is one response, the last of each earlier bucket
-    being found by aggregation, so that a URL with a third of all records is many small groups. Payloads are joined last, by id."""
-    rows = records.select("record_id", "url", "at", "kind", "etag", "last_modified", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
-    rows = rows.withColumn("url_key", canonical_url(F.col("url"))).withColumn("bucket", F.floor(F.col("at") / width))
-    rows = written(rows.drop("url"), "records")
-    able = rows.where("url_key IS NOT NULL AND at IS NOT NULL AND record_id IS NOT NULL")
-    full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "etag", "last_modified", F.map_entries("headers").alias("entries")))
-    last = able.groupBy("url_key", "bucket").agg(F.max(full).alias("last"))
-    before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("url_key", "bucket", F.last("last", ignorenulls=True).over(before).alias("carried"))
-    inside = Window.partitionBy("url_key", "bucket").orderBy("at", F.desc("kind"), "record_id").rowsBetween(Window.unboundedPreceding, -1)  # at one time revisits come first
-    found = able.where("kind IN ('response', 'revisit')").withColumn("near", F.last(full, ignorenulls=True).over(inside)).where("kind = 'revisit'")
-    found = found.join(carried, ["url_key", "bucket"]).withColumn("from", F.coalesce("near", "carried"))
+    kind, null too, is passed through as state 'other'. Header names are compared, and given, in lower case. Null headers are empty, and an
+    empty table gives an empty one. Responses without a record_id answer nothing. Rows that repeat a revisit are resolved each; of responses that repeat record_id, url and at, one answers.
+
+    Only ids, URLs and times are shuffled to find the answering response; its headers and body, of whatever length, are joined last, by id."""
+    rows = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "at", "kind", "etag", "last_modified", by_lower_name(F.col("headers")).alias("headers"), "body")
+    asked = rows.where("url_key IS NOT NULL AND at IS NOT NULL AND (kind = 'revisit' OR kind = 'response' AND record_id IS NOT NULL)")
+    sources = written(_sources(asked.select("url_key", "at", "kind", "record_id"), buckets), "sources")
+    revisits = rows.where("kind = 'revisit'").drop("body").join(sources, ["url_key", "at"], "left")
+    wanted = sources.select(F.col("source_id").alias("record_id"), "url_key", F.col("source_at").alias("at")).where("record_id IS NOT NULL").distinct()
+    answers = rows.where("kind = 'response'").join(wanted, ["record_id", "url_key", "at"], "left_semi").dropDuplicates(["record_id", "url_key", "at"])
+    answers = answers.select(F.col("record_id").alias("source_id"), "url_key", F.col("at").alias("source_at"), F.struct("etag", "last_modified", "headers", "body").alias("from"))
+    found = revisits.join(written(answers, "answers"), ["source_id", "url_key", "source_at"], "left")
     same = F.when(F.col("etag").isNotNull(), _plain(F.col("etag")) == _plain(F.col("from.etag"))).otherwise(F.col("last_modified") == F.col("from.last_modified"))
     state = F.when(F.col("from").isNull(), "missing").when(F.coalesce(same, F.lit(False)), "resolved").otherwise("changed")
-    found = found.withColumn("state", state)
     fresh = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
-    merged = F.map_zip_with(F.map_from_entries("from.entries"), fresh, lambda k, old, new: F.coalesce(new, old))
+    merged = F.map_zip_with(F.col("from.headers"), fresh, lambda k, old, new: F.coalesce(new, old))
     ok = F.col("state") == "resolved"
-    found = found.select("record_id", "url_key", "kind", F.when(ok, F.col("from.record_id")).alias("resolved_id"), "state", F.when(ok, merged).otherwise(F.col("headers")).alias("headers"))
-    lost = rows.where("kind = 'revisit' AND (url_key IS NULL OR at IS NULL OR record_id IS NULL)").select("record_id", "url_key", "kind", F.lit(None).cast("long").alias("resolved_id"), F.lit("missing").alias("state"), "headers")
-    revisits = found.unionByName(lost)
-    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("resolved_id"), "body")
-    revisits = revisits.join(bodies, "resolved_id", "left").select("record_id", "url_key", "kind", "resolved_id", "state", "headers", "body")
-    rest = records.where("kind IS NULL OR kind <> 'revisit'")
+    found = found.withColumn("state", state).select(
+        "record_id", "url_key", "kind", F.when(ok, F.col("source_id")).alias("resolved_id"), "state", F.when(ok, merged).otherwise(F.col("headers")).alias("headers"), F.when(ok, F.col("from.body")).alias("body")
+    )
     is_full = F.coalesce(F.col("kind") == "response", F.lit(False))
-    rest = rest.select("record_id", canonical_url(F.col("url")).alias("url_key"), "kind", F.when(is_full, F.col("record_id")).alias("resolved_id"), F.when(is_full, "full").otherwise("other").alias("state"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "body")
-    return rest.unionByName(revisits)
+    rest = rows.where("kind IS NULL OR kind <> 'revisit'")
+    rest = rest.select("record_id", "url_key", "kind", F.when(is_full, F.col("record_id")).alias("resolved_id"), F.when(is_full, "full").otherwise("other").alias("state"), "headers", "body")
+    return rest.unionByName(found)
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """Records of a crawl and a recrawl of pages (page_id, url, html).
 
     Each page is a response at the time of its page_id, and is asked for again 100 units later under a URL with a fragment. The
-    recrawl's entity tag is the page's own, weak; every fifth page has a last-modified instead, and the one after that a stale tag."""
+    recrawl's entity tag is the page's own, weak; every fifth page has a last-modified instead, and the one after that a stale tag.
+    The crawl spells header names in capitals, the recrawl in lower case."""
     digest, five = F.md5(F.coalesce("html", F.lit(""))), F.pmod("page_id", F.lit(5))
     first = pages.select(
         (F.col("page_id") * 2).alias("record_id"), F.col("page_id").alias("at"), "url", F.lit("response").alias("kind"), F.concat(F.lit('"'), digest, F.lit('"')).alias("etag"),
         F.col("page_id").cast("string").alias("last_modified"),
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string"), F.lit("server"), F.lit("one")).alias("headers"), F.coalesce("html", F.lit("")).alias("body"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.col("page_id").cast("string"), F.lit("Cache-Control"), F.lit("max-age=1"), F.lit("Server"), F.lit("one")).alias("headers"), F.coalesce("html", F.lit("")).alias("body"),
     )
     again = pages.select(
         (F.col("page_id") * 2 + 1).alias("record_id"), (F.col("page_id") + 100).alias("at"), F.concat("url", F.lit("#again")).alias("url"), F.lit("revisit").alias("kind"),
         F.when(five == 1, '"stale"').when(five > 1, F.concat(F.lit('W/"'), digest, F.lit('"'))).alias("etag"),
         F.when(five == 0, F.col("page_id").cast("string")).alias("last_modified"),
-        F.create_map(F.lit("date"), (F.col("page_id") + 100).cast("string"), F.lit("set-cookie"), F.lit("a=b")).alias("headers"), F.lit(None).cast("string").alias("body"),
+        F.create_map(F.lit("date"), (F.col("page_id") + 100).cast("string"), F.lit("cache-control"), F.lit("max-age=9"), F.lit("set-cookie"), F.lit("a=b")).alias("headers"), F.lit(None).cast("string").alias("body"),
     )
     return first.unionByName(again)
 
@@ -121,9 +145,9 @@ ORACLE = {
         s AS (SELECT *, CASE WHEN old IS NULL THEN 'missing' WHEN five = 0 AND old = page_id THEN 'resolved' WHEN five > 1 AND d = old_d THEN 'resolved'
                         ELSE 'changed' END AS state FROM r WHERE n = 1)
         SELECT 2 * page_id AS record_id, url_key, 2 * page_id AS resolved_id, 'full' AS state,
-               'content-type=text/html;date=' || page_id || ';server=one' AS headers, sha256(body) AS body_sha256 FROM u
+               'cache-control=max-age=1;content-type=text/html;date=' || page_id || ';server=one' AS headers, sha256(body) AS body_sha256 FROM u
         UNION ALL
         SELECT 2 * page_id + 1, url_key, CASE WHEN state = 'resolved' THEN 2 * old END, state,
-               CASE WHEN state = 'resolved' THEN 'content-type=text/html;date=' || (page_id + 100) || ';server=one'
-                    ELSE 'date=' || (page_id + 100) || ';set-cookie=a=b' END, CASE WHEN state = 'resolved' THEN sha256(old_body) END FROM s""",
+               CASE WHEN state = 'resolved' THEN 'cache-control=max-age=9;content-type=text/html;date=' || (page_id + 100) || ';server=one'
+                    ELSE 'cache-control=max-age=9;date=' || (page_id + 100) || ';set-cookie=a=b' END, CASE WHEN state = 'resolved' THEN sha256(old_body) END FROM s""",
 }

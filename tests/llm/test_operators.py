@@ -187,7 +187,7 @@ def test_revisits(spark):
         (9, "http://a.org/p?a=1&b=2", 40, "request", None, None, None, None),
         (10, "http://a.org/p?a=1&b=2", 41, "revisit", None, None, {}, None),
     ]
-    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, schema), width=8).collect()}
+    got = {r.record_id: r for r in warc.resolve_revisits(spark.createDataFrame(rows, schema).selectExpr('*', '1 AS own', '2 AS bucket'), buckets=8).collect()}
     assert len(got) == len(rows)
     assert [(got[i].state, got[i].resolved_id, got[i].body) for i in (1, 3, 4, 5, 6, 7, 8, 9, 10)] == [
         ("full", 1, "one"), ("resolved", 2, "two"), ("changed", None, None), ("resolved", 1, "one"), ("resolved", 2, "two"), ("missing", None, None), ("missing", None, None), ("other", None, None), ("changed", None, None),
@@ -196,6 +196,36 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisit_headers_by_lower_name(spark):
+    schema = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>, body string"
+    rows = [
+        (1, "http://a.org/", 1, "response", '"e"', None, {"Date": "1", "Cache-Control": "max-age=1", "X-A": "1", "x-a": "2"}, "one"),
+        (2, "http://a.org/", 2, "revisit", '"e"', None, {"date": "2", "CACHE-CONTROL": "max-age=9", "x-a": "3"}, None),
+    ]
+    got = {r.record_id: r.headers for r in warc.resolve_revisits(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: {"date": "1", "cache-control": "max-age=1", "x-a": "2"}, 2: {"date": "2", "cache-control": "max-age=9", "x-a": "2"}}
+
+
+def test_revisits_of_a_hot_url_with_ties_and_repeated_rows(spark):
+    """A URL with most of the records, many at one time and one far off, against brute force."""
+    r = random.Random(8)
+    schema = "record_id long, url string, at long, kind string, etag string, last_modified string, headers map<string,string>, body string"
+    rows = [(i, f"http://{'hot' if i % 3 else i}.org/", r.choice([5, 5, r.randint(0, 300), 10**12]), r.choice(["response", "revisit"]), f'"{r.randint(0, 1)}"', None, {}, f"b{i}") for i in range(600)]
+    rows += rows[:9]
+    want = []
+    for i, url, at, kind, tag, *_ in rows:
+        older = [(x[2], x[0], x[4]) for x in rows if x[1] == url and x[3] == "response" and x[2] < at]
+        if kind == "response":
+            want.append((i, i, "full"))
+        elif not older:
+            want.append((i, -1, "missing"))
+        else:
+            want.append((i, max(older)[1], "resolved") if max(older)[2] == tag else (i, -1, "changed"))
+    found = warc.resolve_revisits(spark.createDataFrame(rows, schema), buckets=16).collect()
+    assert sorted((x.record_id, -1 if x.resolved_id is None else x.resolved_id, x.state) for x in found) == sorted(want)
+    assert all(x.body == f"b{x.resolved_id}" for x in found if x.state == "resolved")
+
+
 # secrets
 
 
