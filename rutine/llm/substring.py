@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rutine.llm.common import table
 from rutine.llm.repeats import RUN, Shape, as_text, common_prefixes, earlier, released, remove_repeats, sorted_run, squeezed
 
-#: Suffixes of a group; a group has about 200 bytes for each.
+#: Suffixes of a group; a group has about 300 bytes for each.
 GROUP = 60_000
 #: Bits by which a prefix grows.
 BITS = 10
@@ -78,7 +78,7 @@ def _split(shape: Shape):
                     routes = _routes(rows, shape.row)
                     cut = np.append(np.searchsorted(routes, starts), len(rows))
                     some = np.flatnonzero(np.diff(cut)).tolist()
-                    out = [(r["uid"], i, int(cut[i]), docs[cut[i] : cut[i + 1]].tobytes(), squeezed(rows[cut[i] : cut[i + 1]].tobytes())) for i in some]
+                    out = [(r["uid"], i, int(cut[i]), squeezed(docs[cut[i] : cut[i + 1]].tobytes()), squeezed(rows[cut[i] : cut[i + 1]].tobytes())) for i in some]
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["uid", "bucket", "at", "docs", "rows"])
 
@@ -91,12 +91,13 @@ def _resolve(shape: Shape):
     def resolve(group: pa.Table) -> pa.Table:
         parts = sorted(group.to_pylist(), key=lambda r: r["uid"])
         rows = np.concatenate([np.frombuffer(released(r["rows"]), np.uint8) for r in parts]).reshape(-1, shape.row)
+        ids = [np.frombuffer(released(r["docs"]), "<i8") for r in parts]
         order = np.argsort(as_text(rows), kind="stable")
-        rows, docs = rows[order], np.concatenate([np.frombuffer(r["docs"], "<i8") for r in parts])[order]
+        rows, docs = rows[order], np.concatenate(ids)[order]
         left = rows[:, shape.head : shape.head + (shape.width - 1) * shape.unit]
         bits = np.empty(len(order), "<u4")
         bits[order] = earlier(shape, common_prefixes(rows[:, : shape.head]), left, rows[:, -3:-1], docs)
-        start = np.cumsum([0, *(len(r["docs"]) >> 3 for r in parts)])
+        start = np.cumsum([0, *map(len, ids)])
         return pa.table({"uid": pa.array([r["uid"] for r in parts], pa.int64()), "at": pa.array([r["at"] for r in parts], pa.int64()), "bits": pa.array([bits[a:b].tobytes() for a, b in zip(start, start[1:], strict=False)], pa.binary())})
 
     return resolve
@@ -107,7 +108,7 @@ def dedup_windows(docs: DataFrame, length: int = 13, gram: int = 5, id_col: str
 
     Returns (id, n_words, n_removed, n_spans, kept), one row for each row of docs; kept is the words that are left, joined by blanks, or
     with digest the hex of its SHA-256. A word is a run of anything but blank and the controls tab to carriage return; words are
-    compared by hashes. Windows are judged on the input and never cross documents. A null text has no words. Rows that repeat
+    compared by hashes of 64 bits, each of a window's. Windows are judged on the input and never cross documents. A null text has no words. Rows that repeat
     an id are one document to each other. A row with a null id neither removes nor loses anything."""
     shape = Shape(words=True, length=length, gram=gram)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -127,7 +127,7 @@ def _split(shape: Shape):
                     for i in np.flatnonzero(np.diff(cut)).tolist():
                         part = rows[cut[i] : cut[i + 1]]
                         lcp, rests = front_coded(part[:, : shape.head])
-                        out.append((r["uid"], i, int(cut[i]), docs[cut[i] : cut[i + 1]].tobytes(), lcp, squeezed(rests), squeezed(part[:, shape.head :].tobytes())))
+                        out.append((r["uid"], i, int(cut[i]), squeezed(docs[cut[i] : cut[i + 1]].tobytes()), squeezed(lcp), squeezed(rests), squeezed(part[:, shape.head :].tobytes())))
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["uid", "bucket", "at", "docs", "lcp", "rests", "sides"])
 
@@ -139,13 +139,14 @@ def _split(shape: Shape):
 def _resolve(shape: Shape):
     def resolve(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["uid"])
-        order, lcp = LoserTree([Run(r["lcp"], released(r["rests"]), shape.head) for r in rows]).merged()
-        start = np.cumsum([0, *(len(r["lcp"]) for r in rows)])
+        runs = [Run(released(r["lcp"]), released(r["rests"]), shape.head) for r in rows]
+        order, lcp = LoserTree(runs).merged()
+        start = np.cumsum([0, *(len(r.lcp) for r in runs)])
         place = np.empty(len(order), np.int64)
         by_run = np.argsort(order, kind="stable")  # the n-th key of a run that comes out is its n-th
         place[by_run] = np.arange(len(order))
         sides = np.frombuffer(b"".join(released(r["sides"]) for r in rows), np.uint8).reshape(-1, shape.row - shape.head)[place]
-        docs = np.frombuffer(b"".join(r["docs"] for r in rows), "<i8")[place]
+        docs = np.frombuffer(b"".join(released(r["docs"]) for r in rows), "<i8")[place]
         left = sides[:, : (shape.width - 1) * shape.unit]
         offsets = sides[:, -3:-1]
         bits = np.empty(len(order), "<u4")
