@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rutine.llm.common import drop, table, written
+from rutine.llm.common import drop, free, table, written
 
 BLOCK_BYTES = 1024
 
@@ -90,9 +90,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without the rows that exact_groups() does not keep; all columns stay.
 
     What goes is matched by a merge join at every size, so that cost grows as the input does."""
-    gone = exact_groups(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
+    key, mark = free(docs.columns, "gone_id"), free(docs.columns, "gone_text")
+    gone = exact_groups(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(mark)).distinct()
     text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(written(gone, "gone").hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text == F.col("_gone_text")), "left_anti")
+    return docs.join(written(gone, "gone").hint("merge"), F.col(id_col).eqNullSafe(F.col(key)) & (text == F.col(mark)), "left_anti")
 
 
 def op6_block_naming(spark, sf_dir: str) -> DataFrame:

@@ -36,3 +36,11 @@ def parts(df: DataFrame, size: int, least: int = 8) -> int:
     n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(n, -(-estimate // size)) if estimate < 1 << 60 else n  # tables that are not files have no estimate
+
+
+def free(columns: list[str], name: str) -> str:
+    """name, or a longer one if a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,9 +24,9 @@ BLOCK = 128
 UNITS = 8
 #: Labelled documents that training may use for each language, at most, and pieces of each, of so many characters.
 DOCUMENTS_EACH, PIECES, PIECE_CHARS = 250, 4, 160
-#: More languages than this are refused.
-MOST_LANGUAGES = 200
-#: Blocks that advance together.
+#: Labelled documents that training may use in all, at most, but for one of each language: with very many languages there are fewer of each.
+DOCUMENTS = 50_000
+#: Blocks that advance together, times languages, beyond 16 of these.
 TOGETHER = 2048
 UNKNOWN = "und"
 
@@ -162,17 +162,17 @@ class Network:
     def pooled(self, texts: list[bytes], labels: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """(mean probabilities, label of each byte) of each text. An empty text has zeros."""
         sums, runs = np.zeros((len(texts), len(self.languages))), [[] for _ in texts]
-        for x, owner, length in blocks(texts):
+        for x, owner, length in blocks(texts, together=max(16, TOGETHER * 16 // max(16, len(self.languages)))):
             p = self.label(x)
             if length[-1] < len(x):
                 p *= np.arange(len(x))[:, None] < length
             np.add.at(sums, owner, p.sum(axis=1).T)
             if labels:
-                best = p.argmax(axis=0).astype(np.uint8)
+                best = p.argmax(axis=0).astype(np.uint32)
                 for j, o in enumerate(owner):
                     runs[o].append(best[: length[j], j])
         for i, text in enumerate(texts):
-            yield sums[i] / max(1, len(text)), (np.concatenate(runs[i]) if runs[i] else np.zeros(0, np.uint8)) if labels else None
+            yield sums[i] / max(1, len(text)), (np.concatenate(runs[i]) if runs[i] else np.zeros(0, np.uint32)) if labels else None
 
 
 def blocks(texts: list[bytes], size: int = BLOCK, together: int = TOGETHER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -190,24 +190,24 @@ def blocks(texts: list[bytes], size: int = BLOCK, together: int = TOGETHER) -> I
         yield np.ascontiguousarray(x.T), some[:, 0], length
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents_each: int = DOCUMENTS_EACH) -> Network:
-    """A network learned from a bounded sample: documents_each texts of each language, PIECES pieces of each.
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", documents_each: int = DOCUMENTS_EACH, pieces: int = PIECES, piece_chars: int = PIECE_CHARS) -> Network:
+    """A network learned from a bounded sample: at most documents_each texts of each language and DOCUMENTS in all, and of each text
+    `pieces` pieces of piece_chars characters, at places chosen by its hash. Predictions always read whole texts.
 
     The texts are those with the smallest hashes of id and text, so reruns agree. Rows with a null text or language teach nothing.
     Without any labelled text the network knows no language and rejects everything."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).alias("h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Network([])
+    documents_each = max(1, min(documents_each, DOCUMENTS // len(counts)))
     # hashes are uniform: the share of them that gives some more texts than are wanted
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.3 * documents_each + 20) / n))])
     some = rows.where(F.col("h").cast("double") / 2.0**63 < 2 * F.element_at(shares, F.col("lang")) - 1)
-    places = [F.pmod(F.xxhash64("h", F.lit(j)), F.greatest(F.length("text") - PIECE_CHARS, F.lit(1))) for j in range(PIECES)]
-    pieces = F.array(*[F.substring(F.col("text"), p.cast("int") + 1, F.lit(PIECE_CHARS)) for p in places])
+    places = [F.pmod(F.xxhash64("h", F.lit(j)), F.greatest(F.length("text") - piece_chars, F.lit(1))) for j in range(pieces)]
+    cut = F.array(*[F.substring(F.col("text"), p.cast("int") + 1, F.lit(piece_chars)) for p in places])
     got: dict[str, list] = {}
-    for r in sorted(some.select("lang", "h", pieces.alias("pieces")).collect(), key=lambda r: (r.lang, r.h)):
+    for r in sorted(some.select("lang", "h", cut.alias("pieces")).collect(), key=lambda r: (r.lang, r.h)):
         if len(got.setdefault(r.lang, [])) < documents_each:
             got[r.lang].append([p.encode() for p in r.pieces])
     languages = sorted(counts)
@@ -254,7 +254,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
 
 def with_language(docs: DataFrame, net: Network, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the two columns of identify() under the given names; all other columns pass through, repeated rows and null ids too."""
+    """docs with the two columns of identify() under the given names, which docs must not have; all other columns pass through, repeated rows and null ids too."""
     arrow_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     kinds = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rutine.llm.common import WORD, table, written
+from rutine.llm.common import WORD, free, table, written
 
 #: Hash buckets of a pattern; one bucket's documents are ranked in one task.
 BUCKETS = 4096
-#: More patterns than this are refused, as the network is solved on the driver.
-MOST_PATTERNS = 20_000
+#: Plans and marks of more patterns than this are not marked for broadcast.
+BROADCAST_PATTERNS = 20_000
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -40,6 +40,33 @@ def water_fill(sizes: list[int], weights: list[float], share: float, most: float
     return out
 
 
+def flow_by_component(supplies: list[int], sides: list[list[int]], quotas: list[int], layers: int) -> dict[tuple[int, int], int]:
+    """min_cost_flow(), solved for each connected part of the network by itself: patterns that share no source don't meet.
+
+    The cheapest flow of the whole is that of its parts, so this is exact; a million sources without overlap are a million tiny networks."""
+    parent = list(range(len(quotas)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for own in sides:
+        for s in own[1:]:
+            parent[find(s)] = find(own[0])
+    parts: dict[int, list[int]] = {}
+    for p, own in enumerate(sides):
+        if own:
+            parts.setdefault(find(own[0]), []).append(p)
+    out = {}
+    for patterns in parts.values():
+        sources = sorted({s for p in patterns for s in sides[p]})
+        at = {s: i for i, s in enumerate(sources)}
+        flow = min_cost_flow([supplies[p] for p in patterns], [[at[s] for s in sides[p]] for p in patterns], [quotas[s] for s in sources], layers)
+        out |= {(patterns[p], sources[s]): words for (p, s), words in flow.items()}
+    return out
+
+
 def min_cost_flow(supplies: list[int], sides: list[list[int]], quotas: list[int], layers: int) -> dict[tuple[int, int], int]:
     """Words from each pattern to each source: {(pattern, source): words}.
 
@@ -102,42 +129,46 @@ def _pattern(sources: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast("array<string>"))
 
 
-def _times(place: Column, id_: Column, buckets: int) -> Column:
-    """How many times a document is taken, by the columns of its pattern's mark."""
-    bucket = _bucket(place, buckets)
-    before = F.coalesce(F.struct(place.alias("place"), id_.alias("id")) <= F.col("_mix_last"), F.lit(False))
-    inside = F.col("_mix_stop").isNotNull() & ((bucket < F.col("_mix_stop")) | ((bucket == F.col("_mix_stop")) & before))
-    return F.coalesce("_mix_times", F.lit(0)) + inside.cast("long")
+def _times(place: Column, id_: Column, buckets: int, mark: str) -> Column:
+    """How many times a document is taken, by its pattern's mark (times, stop, last)."""
+    bucket, stop = _bucket(place, buckets), F.col(f"{mark}.stop")
+    before = F.coalesce(F.struct(place.alias("place"), id_.alias("id")) <= F.col(f"{mark}.last"), F.lit(False))
+    inside = stop.isNotNull() & ((bucket < stop) | ((bucket == stop) & before))
+    return F.coalesce(f"{mark}.times", F.lit(0)) + inside.cast("long")
 
 
 def _marks(rows: DataFrame, targets, repeats: int, buckets: int) -> tuple[DataFrame, dict, dict]:
     """(marks, wanted, sizes) of rows (id, size, sources, place).
 
-    A mark says of a pattern how many times all of its documents are taken, and up to which place some are taken once more."""
+    A mark says of a pattern how many times all of its documents are taken, and up to which place some are taken once more. The driver
+    holds a row for each pattern, some 300 bytes, and solves their network; rows by pattern are broadcast only if they are few."""
     rows = rows.withColumn("bucket", _bucket(F.col("place"), buckets))
     layers = written(rows.groupBy("sources", "bucket").agg(F.sum("size").alias("words")), "layers")
-    patterns = layers.groupBy("sources").agg(F.sum("words").alias("words")).orderBy("sources").limit(MOST_PATTERNS + 1).collect()
-    if len(patterns) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    patterns = layers.groupBy("sources").agg(F.sum("words").alias("words")).orderBy("sources").collect()
     names = sorted({s for r in patterns for s in r.sources}, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(r.words for r in patterns if s in r.sources) for s in names}
+    sizes = dict.fromkeys(names, 0)
+    for r in patterns:
+        for s in r.sources:
+            sizes[s] += r.words
     wanted = targets(sizes)
     at = {s: i for i, s in enumerate(names)}
-    flow = min_cost_flow([r.words for r in patterns], [[at[s] for s in r.sources] for r in patterns], [round(wanted[s]) for s in names], repeats)
+    flow = flow_by_component([r.words for r in patterns], [[at[s] for s in r.sources] for r in patterns], [round(wanted[s]) for s in names], repeats)
     given = [0] * len(patterns)
     for (p, _), words in flow.items():
         given[p] += words
     plan = [(list(r.sources), g // r.words if r.words else 0, g % r.words if r.words else 0) for r, g in zip(patterns, given, strict=True)]
-    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "sources array<string>, times long, rest long"))  # MOST_PATTERNS rows at most
+    plan = rows.sparkSession.createDataFrame(plan, "sources array<string>, times long, rest long")
+    small = F.broadcast if len(patterns) <= BROADCAST_PATTERNS else lambda df: df
+    plan = small(plan)
     below = F.coalesce(F.sum("words").over(Window.partitionBy("sources").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = layers.withColumn("below", below).join(plan, "sources").where("below <= rest AND rest < below + words").select("sources", "bucket", "below", "rest")
     cut = written(cut, "cut")  # at most one row for each pattern
     here = Window.partitionBy("sources").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.join(F.broadcast(cut), ["sources", "bucket"]).withColumn("reach", F.col("below") + F.sum("size").over(here))
+    edge = rows.join(small(cut), ["sources", "bucket"]).withColumn("reach", F.col("below") + F.sum("size").over(here))
     last = edge.where("reach - rest <= rest - (reach - size)").groupBy("sources").agg(F.max(F.struct("place", "id")).alias("last"))
     marks = plan.join(cut.select("sources", "bucket"), "sources", "left").join(last, "sources", "left")
-    marks = marks.select(F.col("sources").alias("_mix_sources"), F.col("times").alias("_mix_times"), F.col("bucket").alias("_mix_stop"), F.col("last").alias("_mix_last"))
-    return F.broadcast(written(marks, "marks")), wanted, sizes
+    marks = marks.select("sources", F.struct("times", F.col("bucket").alias("stop"), "last").alias("mark"))
+    return small(written(marks, "marks")), wanted, sizes
 
 
 def mix(docs: DataFrame, size: Column, sources: Column, targets, repeats: int = 2, seed: int = 7, id_col: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
@@ -147,13 +178,14 @@ def mix(docs: DataFrame, size: Column, sources: Column, targets, repeats: int =
     a null or empty array belongs to none and gives nothing). targets maps {source: words there} to
     {source: words wanted}. Returns (id, size, sources, taken), one row for each row of docs: taken is 0, size or a whole
     multiple of size up to repeats. A pattern's choice misses its flow by half a document at most. The order of choice is a
-    seeded hash of the id (rows that repeat an id share a fate), so reruns agree and no task sorts a whole source.
+    seeded hash of the id (rows that repeat an id share a fate), so reruns agree and no task sorts a whole source. A null size gives nothing;
+    an empty table gives an empty one.
     Also returns, as attributes _targets and _sizes of the result, the tables of both by source."""
     rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), _pattern(sources).alias("sources")).withColumn("place", _place(F.col("id"), seed))
     rows = written(rows, "sized")
     marks, wanted, sizes = _marks(rows, targets, repeats, buckets)
-    out = rows.join(marks, F.col("sources") == F.col("_mix_sources"), "left")
-    out = out.select(F.col("id").alias(id_col), "size", "sources", (F.col("size") * _times(F.col("place"), F.col("id"), buckets)).alias("taken"))
+    out = rows.join(marks, "sources", "left")
+    out = out.select(F.col("id").alias(id_col), "size", "sources", (F.col("size") * _times(F.col("place"), F.col("id"), buckets, "mark")).alias("taken"))
     out._targets, out._sizes = wanted, sizes
     return out
 
@@ -162,10 +194,10 @@ def mixed_rows(docs: DataFrame, size: Column, sources: Column, targets, repeats:
     """The mix itself: rows of docs as many times as mix() takes them, with the columns of docs. Rows do not move."""
     rows = docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), _pattern(sources).alias("sources")).withColumn("place", _place(F.col("id"), seed))
     marks, _, _ = _marks(written(rows, "sized"), targets, repeats, buckets)
-    out = docs.join(marks, _pattern(sources) == F.col("_mix_sources"), "left")
-    times = _times(_place(F.col(id_col), seed), F.col(id_col), buckets)
-    out = out.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    pattern, mark, copy = (free(docs.columns, x) for x in ("pattern", "mark", "copy"))
+    out = docs.join(marks.toDF(pattern, mark), _pattern(sources) == F.col(pattern), "left")
+    times = _times(_place(F.col(id_col), seed), F.col(id_col), buckets, mark)
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 #: Weights that sources get in their order, repeating.

@@ -1,6 +1,7 @@
 """The other operators: brute force, round trips, held-out accuracy, edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -281,3 +282,52 @@ def test_pruning_loses_nothing():
         s = q[i] @ c
         want = sorted((-int(s[j]), int(ids[j])) for j in range(700) if ids[j] != own[i])[:7]
         assert [(-x, int(ids[j])) for j, x in zip(at, score, strict=True)] == want
+
+
+def test_top_k_and_secrets_of_no_rows(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>, score int, rank int")
+    assert topk.top_k(none, F.col("vec_id") % 10 == 0).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, found int, key int")
+    assert secrets.find_secrets(docs, F.col("source"), F.col("doc_id")).count() == 0
+
+
+def test_floors_leave_out_nothing():
+    """With any true lower bound of the k-th score the same candidates come out."""
+    r = np.random.default_rng(3)
+    c, ids, q = r.integers(-900, 900, (40, 500)), r.permutation(500), r.integers(-900, 900, (9, 40))
+    own = np.array([*range(8), 10**6])
+    block = topk.Block(c, ids)
+    plain = block.search(q, own, 7)
+    for slack in (0, 5, 10**5):
+        floors = np.array([s[-1] - slack for _, s in plain], float)
+        for (a, s), (b, t) in zip(plain, block.search(q, own, 7, floors), strict=True):
+            assert a.tolist() == b.tolist() and s == t
+    assert block.search(q, own, 7, np.full(9, 1e15))[0][0].tolist() == []
+
+
+def test_flow_is_the_cheapest():
+    """Against all whole flows of small overlapping networks; and the same by parts."""
+    r = random.Random(6)
+    for _ in range(40):
+        n = r.randint(1, 3)
+        sides = [sorted(r.sample(range(3), r.randint(1, 2))) for _ in range(n)]
+        supplies, quotas = [r.randint(0, 3) for _ in range(n)], [r.randint(0, 4) for _ in range(3)]
+        best = None
+        routes = [(p, s) for p in range(n) for s in sides[p]]
+        for words in itertools.product(*[range(min(2 * supplies[p], quotas[s]) + 1) for p, s in routes]):
+            given = [sum(w for w, (p, _) in zip(words, routes, strict=True) if p == i) for i in range(n)]
+            filled = [sum(w for w, (_, s) in zip(words, routes, strict=True) if s == i) for i in range(3)]
+            if all(g <= 2 * c for g, c in zip(given, supplies, strict=True)) and all(f <= c for f, c in zip(filled, quotas, strict=True)):
+                key = (-sum(words), sum(max(0, g - c) for g, c in zip(given, supplies, strict=True)))
+                best = key if best is None or key < best else best
+        for solve in (mixing.min_cost_flow, mixing.flow_by_component):
+            flow = solve(supplies, sides, quotas, 2)
+            given = [sum(w for (p, _), w in flow.items() if p == i) for i in range(n)]
+            assert (-sum(flow.values()), sum(max(0, g - c) for g, c in zip(given, supplies, strict=True))) == best
+
+
+def test_names_that_operators_add_may_be_there(spark):
+    docs = spark.createDataFrame([(i, "some words here", "s", 1, 2, 3, 4) for i in range(6)], "doc_id long, text string, source string, pattern int, mark int, copy int, gone_id int")
+    mixed = mixing.mixed_rows(docs, mixing.word_count("text"), F.array("source"), mixing.cyclic_targets())
+    assert mixed.columns == docs.columns and {tuple(x)[3:] for x in mixed.collect()} == {(1, 2, 3, 4)}
+    assert [x.doc_id for x in blocknames.exact_dedup(docs).collect()] == [5]
