@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rutine.llm import blocknames, bpe, langid, mixing, ngram_join
-from rutine.llm.common import written
+from rutine.llm.common import free, written
 
 #: Mean probability of the predicted language below which a document is rejected.
 LEAST_SCORE = 0.4
@@ -22,8 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The network learns from the labelled documents from which op3 learns."""
     net = langid.train(docs.where(~langid.held_out()))
-    judged = langid.with_language(docs, net, names=("_lang_pred", "_score"))
-    return judged.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = free(docs.columns, "lang_pred"), free(docs.columns, "score")
+    judged = langid.with_language(docs, net, names=(lang, score))
+    return judged.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +40,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources of op5: a document that the mix takes twice is there twice, one that it does not take is not."""
+    """The mix of sources of op5: a document that the mix takes twice is there twice, one that it does not take is not.
+
+    Rows that repeat an id share a fate; a null source is a source; a text without words has size 0 and gives nothing. Rows do not move."""
     return mixing.mixed_rows(docs, mixing.word_count("text"), F.array("source"), mixing.cyclic_targets())
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row of the mix."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row of the mix, repeated rows each. A null text is an empty one, with no tokens."""
     out = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
