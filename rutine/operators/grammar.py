@@ -15,7 +15,7 @@ from rutine.plans.tables import drop, written
 RULES = "log_id, level, rank, left, right, new_symbol, count"
 
 
-def _rules(seq: DataFrame, level: int, before: DataFrame | None) -> DataFrame:
+def _rules(seq: DataFrame, level: int, before: DataFrame | None, mark: str) -> DataFrame:
     """The pairs of this level, most frequent first and then earliest; names go on where earlier levels ended."""
     order = Window.partitionBy("log_id").orderBy(F.desc("count"), "first_pos")
     pairs = bigram_table(seq, "symbol", positions=False).where("count >= 2").withColumn("rank", F.row_number().over(order))
@@ -23,7 +23,7 @@ def _rules(seq: DataFrame, level: int, before: DataFrame | None) -> DataFrame:
         pairs = pairs.withColumn("_past", F.lit(0))
     else:
         pairs = pairs.join(before.groupBy("log_id").agg(F.count("*").alias("_past")), "log_id", "left").fillna(0, ["_past"])
-    name = num_to_letters(F.col("_past") + F.col("rank") - 1, lowercase=True)
+    name = F.concat(F.lit(mark), num_to_letters(F.col("_past") + F.col("rank") - 1, lowercase=True))
     return pairs.select("log_id", F.lit(level).alias("level"), "rank", "left", "right", name.alias("new_symbol"), "count")
 
 
@@ -52,13 +52,17 @@ def replace_pairs(seq: DataFrame, rules: DataFrame) -> DataFrame:
 def re_pair(log: DataFrame, column: str = "symbol") -> tuple[DataFrame, DataFrame]:
     """(rules, encoded sequences) of all logs at once, level by level until no pair occurs twice.
 
+    Rules are named a, b, ...; where symbols of the column may be called so, all names get a mark in front that no symbol has.
+
     A rule's count is that at the start of its level, and a rule is there even if nothing was left for it to replace. Both
     are written tables; a level costs a job over what is left of all logs, and there are about as many levels as the logarithm
     of the longest repetition."""
     seq = written(log.select("log_id", F.col("event_index").cast("long").alias("event_index"), F.col(column).alias("symbol")), "sequence")
     rules, level = None, 1
+    small = seq.where(F.col("symbol").rlike("^~*[a-z]+$")).agg(F.max(F.length(F.regexp_extract("symbol", "^~*", 0)))).first()[0]
+    mark = "" if small is None else "~" * (small + 1)
     while True:
-        new = written(_rules(seq, level, rules), "rules")
+        new = written(_rules(seq, level, rules, mark), "rules")
         if new.isEmpty():
             return (new if rules is None else rules), seq
         old, seq = seq, written(replace_pairs(seq, new), "sequence")
@@ -69,13 +73,14 @@ def re_pair(log: DataFrame, column: str = "symbol") -> tuple[DataFrame, DataFram
 
 def expansions(rules: DataFrame, base: bool = False) -> DataFrame:
     """(log_id, symbol, expansion) of every rule as an array of base symbols; with base, of the base symbols in rules too."""
-    known = rules.select("log_id", F.explode(F.array("left", "right")).alias("symbol")).where(F.col("symbol") == F.upper("symbol")).distinct()
-    known = known.select("log_id", "symbol", F.array("symbol").alias("expansion"), F.lit(0).alias("level"))
+    names = rules.select("log_id", F.col("new_symbol").alias("symbol"))
+    known = rules.select("log_id", F.explode(F.array("left", "right")).alias("symbol")).distinct().join(names, ["log_id", "symbol"], "left_anti")
+    known = written(known.select("log_id", "symbol", F.array("symbol").alias("expansion"), F.lit(0).alias("level")), "expansions")
     for level in range(1, (rules.agg(F.max("level")).first()[0] or 0) + 1):
         one = known.select("log_id", F.col("symbol").alias("left"), F.col("expansion").alias("_l"))
         two = known.select("log_id", F.col("symbol").alias("right"), F.col("expansion").alias("_r"))
         new = rules.where(F.col("level") == level).join(one, ["log_id", "left"]).join(two, ["log_id", "right"])
-        known = written(known.unionByName(new.select("log_id", F.col("new_symbol").alias("symbol"), F.concat("_l", "_r").alias("expansion"), "level")), "expansions")
+        known = known.unionByName(written(new.select("log_id", F.col("new_symbol").alias("symbol"), F.concat("_l", "_r").alias("expansion"), "level"), "expansions"))
     return known.where(F.lit(True) if base else F.col("level") > 0).select("log_id", "symbol", "expansion")
 
 

@@ -54,10 +54,12 @@ def analyze_overlaps(motifs: DataFrame, core: DataFrame) -> tuple[DataFrame, Dat
         F.sort_array(F.collect_list(F.when(F.col("_inside"), F.col("b_id")))).alias("contained"),
     )
     by_core = pairs.groupBy("log_id", "b_id").agg(F.sort_array(F.collect_list("a_id")).alias("touching"), F.sort_array(F.collect_list(F.when(F.col("_inside"), F.col("a_id")))).alias("containers"))
-    text = F.when(F.col("touched").isNull(), "no overlap").when(F.size("contained") > 0, F.format_string("contains %d of %d cores", F.size("contained"), F.size("touched"))).otherwise(F.format_string("touches %d cores", F.size("touched")))
-    m = motifs.join(by_motif, ["log_id", "a_id"], "left").withColumn("status", text)
-    text = F.when(F.col("touching").isNull(), "no overlap").when(F.size("containers") > 0, F.format_string("contained in %d of %d motifs", F.size("containers"), F.size("touching"))).otherwise(F.format_string("touched by %d motifs", F.size("touching")))
-    c = core.join(by_core, ["log_id", "b_id"], "left").withColumn("is_contained", F.coalesce(F.size("containers") > 0, F.lit(False))).withColumn("status", text)
+    text = F.when(F.col("touched").isNull(), "No Overlap").when(F.size("contained") > 0, F.format_string("Contains %d Cores Full", F.size("contained")))
+    m = motifs.join(by_motif, ["log_id", "a_id"], "left").withColumn("status", text.otherwise(F.format_string("Partial Overlap with %d Cores", F.size("touched"))))
+    names = F.concat(F.lit("["), F.array_join(F.col("containers").cast("array<string>"), ", "), F.lit("]"))
+    text = F.when(F.col("touching").isNull(), "Isolated").when(F.size("containers") > 0, F.concat(F.lit("Fully inside Motif "), names))
+    c = core.join(by_core, ["log_id", "b_id"], "left").withColumn("is_contained", F.coalesce(F.size("containers") > 0, F.lit(False)))
+    c = c.withColumn("status", text.otherwise(F.format_string("Partial overlap with %d motifs", F.size("touching"))))
     return m, c
 
 

@@ -9,10 +9,20 @@ from pyspark.sql.window import Window
 from rutine.functions.scalars import clean_label
 from rutine.operators.sequence import in_log
 
+# Words and column names that must be just these for results to agree.
+
 #: Words that complete a task.
-COMPLETE = ("submit", "save", "ok", "confirm", "send", "close", "finish", "apply", "done", "login")
-CASES = ("case_id", "caseid", "case:concept:name", "case", "idx")
-TIMES = ("ts", "timestamp", "timeStamp", "time:timestamp", "time")
+COMPLETE = ("submit", "save", "ok", "confirm", "apply", "bernehmen")
+#: Columns that may hold the case and the time of an event, in the order in which they are looked for.
+CASES = ("idx", "CaseID", "case:concept:name", "caseID", "timeStamp")
+TIMES = ("timeStamp", "timestamp", "time:timestamp")
+#: Columns that make up the class of an event, name the object that it touches, and hold its values.
+CONTEXT = (
+    "concept:name", "category", "application", "concept:name", "tag_category", "tag_type", "tag_title",
+    "eventType", "target.name", "targetApp", "target.workbookName", "target.sheetName", "target.innerText", "target.tagName",
+)
+SEMANTIC = ("target.innerText", "target.name", "tag_type", "tag_value", "tag_attributes")
+VALUES = ("target.innerText", "url", "target.value", "content")
 
 
 def resolve(columns: list[str], candidates: tuple[str, ...], what: str) -> str:
@@ -23,6 +33,14 @@ def resolve(columns: list[str], candidates: tuple[str, ...], what: str) -> str:
     raise ValueError(f"no column for {what}: {', '.join(candidates)}")
 
 
+def present(columns: list[str], candidates: tuple[str, ...], what: str) -> list[str]:
+    """The candidates that are there, each once."""
+    found = [c for c in dict.fromkeys(candidates) if c in columns]
+    if not found:
+        raise ValueError(f"no column for {what}: {', '.join(candidates)}")
+    return found
+
+
 def boundaries(log: DataFrame, semantic: list[str], complete: tuple[str, ...] = COMPLETE) -> DataFrame:
     """log with is_boundary: some semantic label is a completing word, or two words of which the second is one."""
     flag = F.lit(False)
@@ -69,12 +87,40 @@ def tasks_per_case(tasks: DataFrame, least: int = 2) -> DataFrame:
 
 
 def frequent_itemsets(baskets: DataFrame, items: str = "tasks", min_support: float = 0.1, algorithm: str = "fpgrowth", most: int | None = None) -> DataFrame:
-    """(items, freq, support) of itemsets in at least min_support of all baskets. Both algorithms name the same sets."""
+    """(items, freq, support) of itemsets in at least min_support of all baskets, of at most `most` items.
+
+    'fpgrowth' grows patterns by the distributed FP-growth of Spark's library; 'apriori' counts candidates level by level, each made of two
+    sets of the level before whose subsets are all frequent. Both give the same sets; a driver-side row is a frequent set, never a basket."""
     from pyspark.ml.fpm import FPGrowth
 
     if algorithm not in ("fpgrowth", "apriori"):
         raise RuntimeError(f"unknown algorithm {algorithm}")
     n = baskets.count()
+    if algorithm == "apriori":
+        return _apriori(baskets.select(F.array_distinct(items).alias("basket")), n, min_support, most)
     found = FPGrowth(itemsCol=items, minSupport=min_support).fit(baskets.withColumn(items, F.array_distinct(items))).freqItemsets
     found = found.withColumn("items", F.sort_array("items")).withColumn("support", F.col("freq") / F.lit(max(1, n)))
     return found.where(F.size("items") <= most) if most else found
+
+
+def _apriori(baskets: DataFrame, n: int, min_support: float, most: int | None) -> DataFrame:
+    spark, size = baskets.sparkSession, 1
+    least = min_support * n
+    counts = baskets.select(F.explode("basket").alias("item")).where("item IS NOT NULL").groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= least).collect()
+    level = sorted((r.item,) for r in counts)
+    out = [([r.item], r.freq) for r in counts]
+    while level and (most is None or size < most):
+        known, size = set(level), size + 1
+        wanted = [a + b[-1:] for i, a in enumerate(level) for b in level[i + 1 :] if a[:-1] == b[:-1]]
+        wanted = [c for c in wanted if all(c[:i] + c[i + 1 :] in known for i in range(size))]
+        if not wanted:
+            break
+        table = spark.createDataFrame([(list(c),) for c in wanted], f"items {baskets.schema['basket'].dataType.simpleString()}")
+        within = F.size(F.array_intersect("basket", "items")) == size
+        level = []
+        for r in baskets.join(table, within).groupBy("items").agg(F.count("*").alias("freq")).where(F.col("freq") >= least).collect():
+            level.append(tuple(r["items"]))
+            out.append((r["items"], r.freq))
+        level.sort()
+    kind = baskets.schema["basket"].dataType.simpleString()
+    return spark.createDataFrame(out, f"items {kind}, freq long").withColumn("support", F.col("freq") / F.lit(max(1, n)))

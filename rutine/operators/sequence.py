@@ -46,6 +46,19 @@ def hierarchy_ids(log: DataFrame, columns: list[str], name: str = "hierarchy_id"
     return log.join(other, on, "left").select(*log.columns, name)
 
 
+def dictionary(df: DataFrame, columns: list[str], order: str, name: str = "id") -> DataFrame:
+    """Distinct combinations of columns numbered from 0 by their first appearance in the order: (columns, name)."""
+    first = df.groupBy(*columns).agg(F.min(order).alias("_first"))
+    return first.withColumn(name, (F.row_number().over(Window.orderBy("_first", *columns)) - 1).cast("long")).drop("_first")
+
+
+def lookup(df: DataFrame, known: DataFrame, columns: list[str], name: str = "id", absent: int | None = -1) -> DataFrame:
+    """df with the number that a dictionary gives to its columns, and `absent` for what is not in there. Nulls match nulls."""
+    other = known.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col(name).alias("_id"))
+    on = [df[c].eqNullSafe(other[f"_{c}"]) for c in columns]
+    return df.join(other, on, "left").select(*df.columns, F.coalesce("_id", F.lit(absent).cast("long")).alias(name))
+
+
 def bigrams(log: DataFrame, column: str = "symbol") -> DataFrame:
     """Every adjacent pair: (log_id, event_index, left, right). Overlapping pairs all count."""
     pairs = log.select("log_id", "event_index", F.col(column).alias("left"), F.lead(column).over(in_log()).alias("right"), F.lead("event_index").over(in_log()).alias("_next"))
