@@ -99,6 +99,16 @@ def series_profile(x: np.ndarray, m: int, denominator: int = 4) -> tuple[np.ndar
     return p, at
 
 
+def window_distances(x: np.ndarray, m: int, i: int) -> np.ndarray:
+    """z-normalised distances of the window at i to all windows: (dimensions, windows). A flat window is 0 from a flat one and sqrt(m) from any other."""
+    w = np.lib.stride_tricks.sliding_window_view(x, m, axis=0).transpose(1, 0, 2)
+    sd = w.std(axis=2, keepdims=True)
+    flat = sd[:, :, 0] < 1e-10
+    z = (w - w.mean(axis=2, keepdims=True)) / np.where(sd < 1e-10, 1, sd)
+    out = np.sqrt(((z - z[:, i, None]) ** 2).sum(axis=2))
+    return np.where(flat & flat[:, i, None], 0.0, np.where(flat | flat[:, i, None], math.sqrt(m), out))
+
+
 def top_motifs(p: np.ndarray, at: np.ndarray, k: int, window: int) -> list[tuple[int, int, float]]:
     """The k best (place, neighbour, distance); after each, half a window around both is taken out."""
     p, out = p.astype(float).copy(), []
@@ -144,51 +154,144 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int |
     n = len(x)
     if n < 2 * low:
         return []
-    width = max(float(x.std()), 1e-12) * math.sqrt(x.shape[1])
-    s = np.exp(-((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) / (2 * width * width))
-    tau = float(np.quantile(s[np.triu_indices(n, 1)], rho))
-    gain = np.where(s >= tau, s, -0.5)
-    best, back = np.zeros((n, n)), np.zeros((n, n), np.int8)
-    steps = ((1, 1), (1, 2), (2, 1))
-    for i in range(n):
-        for j in range(i + low, n):
-            options = [(best[i - a, j - b], k + 1) for k, (a, b) in enumerate(steps) if i >= a and j >= b]
-            value, k = max(options, default=(0.0, 0))
-            if value + gain[i, j] > 0:
-                best[i, j], back[i, j] = value + gain[i, j], k if value > 0 else 0
+    alike = Similarities(x)
+    tau = alike.quantile(rho)
+    back, value, flat = _aligned(alike, tau, low)
+    steps, half = ((1, 1), (1, 2), (2, 1)), low // 2
     paths, used = [], np.zeros((n, n), bool)
-    ends = np.flatnonzero(best > 0)
-    for flat in ends[np.argsort(-best.ravel()[ends], kind="stable")]:
-        i, j = divmod(int(flat), n)
-        if used[i, j]:
-            continue
-        path = [(i, j)]
-        while back[i, j]:
-            a, b = steps[back[i, j] - 1]
-            i, j = i - a, j - b
+    flat = flat[np.lexsort((flat, -value))]
+    for at in range(0, len(flat), 4096):  # cells that earlier paths have taken are skipped many at a time
+        some = flat[at : at + 4096]
+        for start in some[~used.ravel()[some]].tolist():
+            i, j = divmod(start, n)
             if used[i, j]:
-                break
-            path.append((i, j))
-        for a, b in path:
-            used[max(0, a - low // 2) : a + low // 2 + 1, max(0, b - low // 2) : b + low // 2 + 1] = True
-        path.reverse()
-        if len(path) >= low:
-            paths.append(path)
+                continue
+            path = [(i, j)]
+            while back[i, j]:
+                a, b = steps[back[i, j] - 1]
+                i, j = i - a, j - b
+                if used[i, j]:
+                    break
+                path.append((i, j))
+            for a, b in path:
+                used[max(0, a - half) : a + half + 1, max(0, b - half) : b + half + 1] = True
+            path.reverse()
+            if len(path) >= low:
+                paths.append(np.array(path, np.int32))
     if not paths:
         return []
-    covers = zip(*(_covered(np.array(path), s, low, high) for path in paths))
+    covers = zip(*(_covered(path, alike.pairs(path[:, 0], path[:, 1]), low, high) for path in paths))
     return _taken_sets(*map(np.concatenate, covers), n, most, overlap)
 
 
-def _covered(path: np.ndarray, s: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+class Similarities:
+    """Gaussian similarities of all pairs of places of a series, worked out by rows: no array of places by places is held.
+
+    Equal vectors are one, and where few differ, as with series of symbols, a table of them is looked up."""
+
+    TABLE = 4096
+
+    def __init__(self, x: np.ndarray):
+        self.distinct, self.at, self.count = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+        self.at = self.at.ravel()
+        width = max(float(x.std()), 1e-12) * math.sqrt(x.shape[1])
+        self.scale = -1 / (2 * width * width)
+        self.table = np.concatenate(list(self._blocks())) if len(self.distinct) <= self.TABLE else None
+
+    def _blocks(self, rows: int = 256):
+        for a in range(0, len(self.distinct), rows):
+            yield self._between(self.distinct[a : a + rows])
+
+    def _between(self, some: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(some), len(self.distinct)))
+        for k in range(some.shape[1]):
+            d = some[:, k, None] - self.distinct[None, :, k]
+            d *= d
+            out += d
+        out *= self.scale
+        return np.exp(out, out=out)
+
+    def row(self, i: int) -> np.ndarray:
+        """Similarities of place i to all places."""
+        one = self.table[self.at[i]] if self.table is not None else self._between(self.distinct[self.at[i]][None])[0]
+        return one[self.at]
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        for k in range(self.distinct.shape[1]):
+            d = self.distinct[self.at[i], k] - self.distinct[self.at[j], k]
+            out += d * d
+        return np.exp(out * self.scale)
+
+    def quantile(self, q: float) -> float:
+        """The quantile, interpolated, of the similarities of all pairs of different places: two passes, the second over one narrow range of values."""
+        n = len(self.at)
+        ends = [min(int(q * (n * (n - 1) // 2 - 1)) + i, n * (n - 1) // 2 - 1) for i in (0, 1)]
+        bins = 1 << 16
+        hist = np.zeros(bins + 1)
+        for _, value, times in self._weighted():
+            hist += np.bincount((value * bins).astype(np.int64).ravel(), weights=times.ravel(), minlength=bins + 1)
+        below = np.cumsum(hist)
+        low, high = (int(np.searchsorted(below, e, side="right")) for e in ends)
+        values, weights = [], []
+        for _, value, times in self._weighted():
+            place = (value * bins).astype(np.int64)
+            here = (place >= low) & (place <= high) & (times > 0)
+            values.append(value[here])
+            weights.append(times[here])
+        values, weights = np.concatenate(values), np.concatenate(weights)
+        order = np.argsort(values)
+        rank = np.cumsum(weights[order]) + (below[low - 1] if low else 0)
+        a, b = (float(values[order[np.searchsorted(rank, e, side="right")]]) for e in ends)
+        part = q * (n * (n - 1) // 2 - 1) - ends[0]
+        return a + (b - a) * part
+
+    def _weighted(self):
+        """(first row, similarities of some distinct vectors to all, how many pairs of places have each): each pair of vectors once."""
+        at = 0
+        for value in self._blocks():
+            times = self.count[at : at + len(value), None] * self.count[None, :].astype(float)
+            places = np.arange(at, at + len(value))
+            times[np.arange(len(value)), places] = self.count[places] * (self.count[places] - 1) / 2
+            times[np.arange(len(self.distinct))[None, :] < places[:, None]] = 0
+            yield at, value, times
+            at += len(value)
+
+
+def _aligned(alike: Similarities, tau: float, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(steps back, worth and place of each cell above zero) of the local alignment of a series with itself, low places off the diagonal or more.
+
+    A row follows from the two before it, so rows are worked out whole. Of equal ways in, the last of the steps (1,1), (1,2), (2,1) counts."""
+    n = len(alike.at)
+    back, values, places = np.zeros((n, n), np.int8), [], []
+    one, two = np.zeros(n + 2), np.zeros(n + 2)  # the two rows before, behind two zeros
+    for i in range(n - low):
+        j = slice(i + low, n)
+        s = alike.row(i)[j]
+        gain = np.where(s >= tau, s, -0.5)
+        way, worth = np.ones(len(s), np.int8), one[i + low + 1 : n + 1]
+        for k, other in ((2, one[i + low : n]), (3, two[i + low + 1 : n + 1])):
+            better = other >= worth
+            worth, way = np.where(better, other, worth), np.where(better, np.int8(k), way)
+        new = worth + gain
+        on = np.flatnonzero(new > 0)
+        two, one = one, np.zeros(n + 2)
+        one[i + low + 2 + on] = new[on]
+        back[i, i + low + on] = np.where(worth[on] > 0, way[on], 0)
+        values.append(new[on])
+        places.append(i * n + i + low + on)
+    return back, np.concatenate(values) if values else np.zeros(0), np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
+
+
+def _covered(path: np.ndarray, fits: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
     """(start, end, member start, member end, mean similarity) of all representatives of low to high places that a path relates to a member.
 
     A member is read off the sub-path within the representative, which the path spans. Both segments of the path count."""
-    out = [(np.empty(0, int),) * 4 + (np.empty(0),)]
-    sums = np.concatenate([[0.0], np.cumsum(s[path[:, 0], path[:, 1]])])
+    out = [(np.empty(0, path.dtype),) * 4 + (np.empty(0),)]
+    sums = np.concatenate([[0.0], np.cumsum(fits)])  # of the similarities along the path
     for a, b in (path.T, path.T[::-1]):
         for m in range(low, min(high, int(a[-1] - a[0]) + 1) + 1):
-            u = np.arange(a[0], a[-1] - m + 2)
+            u = np.arange(a[0], a[-1] - m + 2, dtype=path.dtype)
             i, j = np.searchsorted(a, u), np.searchsorted(a, u + m) - 1
             fine = i <= j
             u, i, j = u[fine], i[fine], j[fine]
@@ -196,47 +299,61 @@ def _covered(path: np.ndarray, s: np.ndarray, low: int, high: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _bounds(group: np.ndarray, first: np.ndarray, last: np.ndarray, mean: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
+    """No less than the worth of each group (numbered from 0, ascending): its members' union and its own length, at its best similarity."""
+    order = np.lexsort((first, group))
+    g, a, b = group[order].astype(np.int64), first[order].astype(np.int64), last[order].astype(np.int64)
+    reach = np.maximum.accumulate(b + g * 2 * n) - g * 2 * n  # groups lie apart, so that none reaches into the next
+    before = np.concatenate([[0], reach[:-1]])
+    before[np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))] = 0
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    cover = np.minimum(n, np.add.reduceat(np.maximum(0, b - np.maximum(a, before)), heads) + length) / n
+    fit = np.maximum.reduceat(mean, heads)
+    return 2 * cover * fit / (cover + fit) + 1e-12
+
+
 def _taken_sets(start, end, first, last, mean, n: int, most: int | None, overlap: float) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
-    """Motif sets taken greedily from what _covered() gives. After each, only representatives that it touches are looked at anew."""
-    order = np.lexsort((last, first, -mean, end, start))
+    """Motif sets taken greedily from what _covered() gives. A representative is looked at only while the bound of its worth is not below the best
+    that is known; after each set, only those that it touches are looked at anew."""
+    order = np.lexsort((first * np.int64(n + 1) + last, -mean, start * np.int64(n + 1) + end))
     start, end, first, last, mean = (x[order] for x in (start, end, first, last, mean))
-    if not len(start):
-        return []
-    heads = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 0) | (np.diff(end) != 0)]))
-    tails = np.append(heads[1:], len(start))
-    group = np.repeat(np.arange(len(heads)), tails - heads)
-    taken, score, kept = np.zeros(n, bool), np.full(len(heads), -1.0), {}
-    members_of = list(zip(first.tolist(), last.tolist(), mean.tolist()))
-    free, open_ = np.ones(len(start), bool), np.ones(len(heads), bool)
-    stale, out = np.arange(len(heads)), []
-    while most is None or len(out) < most:
-        for g in stale.tolist():
-            u = (int(start[heads[g]]), int(end[heads[g]]))
-            members, worth, busy = [u], [], ((1 << (u[1] - u[0])) - 1) << u[0]
-            for k in range(heads[g], tails[g]):
-                if free[k]:
-                    p, q, fit = members_of[k]
+    number = np.cumsum(np.concatenate([[True], (np.diff(start) != 0) | (np.diff(end) != 0)])) - 1 if len(start) else np.zeros(0, np.int64)
+    taken, known, out = np.zeros(n, bool), {}, []  # known: worth and members of a representative, for as long as nothing touches it
+    while len(start) and (most is None or len(out) < most):
+        heads = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        tails = np.append(heads[1:], len(start))
+        names, group = number[heads], np.repeat(np.arange(len(heads)), tails - heads)
+        bound = _bounds(group, first, last, mean, end[heads] - start[heads], n)
+        best = (-1.0, 0, -1)
+        for g in np.argsort(-bound, kind="stable").tolist():
+            if bound[g] < best[0]:
+                break
+            name = int(names[g])
+            if name not in known:
+                u = (int(start[heads[g]]), int(end[heads[g]]))
+                members, fits, busy = [u], [], ((1 << (u[1] - u[0])) - 1) << u[0]
+                span = slice(heads[g], tails[g])
+                for p, q, fit in zip(first[span].tolist(), last[span].tolist(), mean[span].tolist(), strict=True):
                     mask = ((1 << (q - p)) - 1) << p
                     if not busy & mask:
                         busy |= mask
                         members.append((p, q))
-                        worth.append(fit)
-            score[g] = -1.0
-            if worth:
-                cover, fit = sum(b - a for a, b in members) / n, sum(worth) / len(worth)
-                score[g], kept[g] = 2 * cover * fit / (cover + fit), members
-        best = int(np.argmax(score))
-        if score[best] < 0:
+                        fits.append(fit)
+                cover, fit = sum(b - a for a, b in members) / n, sum(fits) / len(fits) if fits else 0.0
+                known[name] = (2 * cover * fit / (cover + fit) if fits else -1.0, members)
+            best = max(best, (known[name][0], -name, g))
+        if best[0] < 0:
             break
-        out.append(((int(start[heads[best]]), int(end[heads[best]])), sorted(kept[best])))
+        g = best[2]
+        out.append(((int(start[heads[g]]), int(end[heads[g]])), sorted(known[-best[1]][1])))
         for a, b in out[-1][1]:
             taken[a:b] = True
         busy = np.concatenate([[0], np.cumsum(taken)])
-        open_ = (busy[end[heads]] - busy[start[heads]]) / (end[heads] - start[heads]) <= overlap
-        score[~open_] = -1.0
-        now = (busy[last] - busy[first]) / (last - first) <= overlap
-        stale = np.unique(group[(free != now) & open_[group]])
-        free = now
+        open_ = (busy[end] - busy[start]) / (end - start) <= overlap
+        stay = open_ & ((busy[last] - busy[first]) / (last - first) <= overlap)
+        for name in np.unique(number[~stay]).tolist():
+            known.pop(name, None)
+        start, end, first, last, mean, number = (x[stay] for x in (start, end, first, last, mean, number))
     return out
 
 
@@ -282,19 +399,40 @@ def profile_motifs(log: DataFrame, weights: list[float], m: int, top: int = 5) -
     return _grouped(log.select("log_id", "event_index", "levels"), run, "rank int, i long, j long, distance double")
 
 
-def pan_profile(log: DataFrame, weights: list[float], low: int, high: int, step: int = 1) -> DataFrame:
-    """(log_id, m, i, distance, neighbour) for every length from low to high. Each (log, length) is a task of its own."""
+def pan_profile(log: DataFrame, weights: list[float], low: int, high: int, step: int = 1, k: int = 1, most: int | None = None) -> DataFrame:
+    """(log_id, m, i, distance, neighbour, distances, neighbours) for every length from low to high, k neighbours each. Each (log, length) is a task of its own.
+
+    `most` is an anytime budget: so many lengths, in an order that halves what lies between; all if it is null."""
     ship(log.sparkSession)
     kind = log.schema["log_id"].dataType.simpleString()
-    lengths = balanced_lengths(low, high, step)
+    lengths = balanced_lengths(low, high, step)[:most]
     rows = log.select("log_id", "event_index", "levels", F.explode(F.array(*map(F.lit, lengths))).alias("m"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         m = int(p["m"].iloc[0])
-        d, at, _, _ = symbol_profile(*_symbols(p, weights), m)
-        return pd.DataFrame({"log_id": p["log_id"].iloc[0], "m": m, "i": np.arange(len(d)), "distance": d[:, 0], "neighbour": at[:, 0]})
+        d, at, _, _ = symbol_profile(*_symbols(p, weights), m, k)
+        return pd.DataFrame({"log_id": p["log_id"].iloc[0], "m": m, "i": np.arange(len(d)), "distance": d[:, 0], "neighbour": at[:, 0], "distances": list(d), "neighbours": list(at)})
+
+    return rows.groupBy("log_id", "m").applyInPandas(run, f"log_id {kind}, m int, i long, distance double, neighbour long, distances array<double>, neighbours array<long>")
+
 
-    return rows.groupBy("log_id", "m").applyInPandas(run, f"log_id {kind}, m int, i long, distance double, neighbour long")
+def join_profile(log: DataFrame, other: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
+    """(log_id, i, distances, neighbours) of each window of log among all windows of the log of that id in other, k of them, nearest first."""
+    ship(log.sparkSession)
+    kind = log.schema["log_id"].dataType.simpleString()
+
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=["log_id", "i", "distances", "neighbours"])
+        rows = [np.array(p.sort_values("event_index")["levels"].tolist()), np.array(q.sort_values("_at")["_levels"].tolist())]
+        levels, ids = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        ids = ids.ravel()
+        d, at, _, _ = symbol_profile(ids[: len(p)], symbol_costs(levels, weights), m, k, other=ids[len(p) :])
+        return pd.DataFrame({"log_id": p["log_id"].iloc[0], "i": np.arange(len(d)), "distances": list(d), "neighbours": list(at)})
+
+    left = log.select("log_id", "event_index", "levels")
+    right = other.select(F.col("log_id").alias("_log"), F.col("event_index").alias("_at"), F.col("levels").alias("_levels"))
+    return left.groupBy("log_id").cogroup(right.groupBy("_log")).applyInPandas(run, f"log_id {kind}, i long, distances array<double>, neighbours array<long>")
 
 
 def pan_motifs(pan: DataFrame, top: int = 10, separation: int = 5) -> DataFrame:
@@ -329,15 +467,51 @@ def vector_profile(log: DataFrame, m: int, vector: str = "vector") -> DataFrame:
     return _grouped(log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v")), run, "i long, distances array<double>, neighbours array<long>")
 
 
-def motif_sets(log: DataFrame, low: int, high: int, rho: float = 0.8, most: int | None = None, vector: str = "vector") -> DataFrame:
-    """(log_id, cluster_id, start, end) of variable-length, time-warped motif sets; half-open, cluster_id numbers sets from the best."""
+def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8, most: int | None = None, vector: str = "vector") -> DataFrame:
+    """(log_id, cluster_id, start, end) of variable-length, time-warped motif sets; half-open, cluster_id numbers sets from the best.
+
+    low and high are lengths, or columns that hold those of each log."""
+    low, high = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (low, high))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(p.sort_values("event_index")["v"].tolist(), float)
-        rows = [(p["log_id"].iloc[0], c, a, b) for c, (_, members) in enumerate(time_warped_sets(x, low, high, rho, most)) for a, b in members]
+        p = p.sort_values("event_index")
+        x = np.array(p["v"].tolist(), float)
+        rows = [(p["log_id"].iloc[0], c, a, b) for c, (_, members) in enumerate(time_warped_sets(x, int(p["low"].iloc[0]), int(p["high"].iloc[0]), rho, most)) for a, b in members]
         return pd.DataFrame(rows, columns=["log_id", "cluster_id", "start", "end"])
 
-    return _grouped(log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v")), run, "cluster_id int, start long, end long")
+    rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+    return _grouped(rows, run, "cluster_id int, start long, end long")
+
+
+def vector_motifs(log: DataFrame, m: int, most: int = 10, denominator: int = 1, vector: str = "vector") -> DataFrame:
+    """Motifs of the multi-dimensional profile: (log_id, dimensions, i, j, distance, subspace, matches), one row for each number of dimensions.
+
+    i and j are the best pair of windows over so many dimensions, subspace those in which they are closest, and matches the windows nearest to
+    i in that subspace, i itself first, at most `most`, each outside the exclusion zones of the ones before and no further than the mean of the
+    row's profile less two deviations, or than j."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(p.sort_values("event_index")["v"].tolist(), float)
+        d, at = series_profile(x, m, denominator)
+        rows, zone = [], exclusion(m, denominator)
+        for k in range(len(d)):
+            if not d.shape[1] or not np.isfinite(d[k]).any():
+                continue
+            i = int(np.argmin(d[k]))
+            j = int(at[k, i])
+            each = window_distances(x, m, i)
+            space = np.sort(np.argsort(each[:, j], kind="stable")[: k + 1])
+            near = each[space].mean(axis=0)
+            fine = d[k][np.isfinite(d[k])]
+            limit, found = max(float(fine.mean() - 2 * fine.std()), float(near[j])), [i]
+            for w in np.argsort(near, kind="stable").tolist():
+                if len(found) < most and near[w] <= limit and all(abs(w - f) > zone for f in found):
+                    found.append(w)
+            rows.append((p["log_id"].iloc[0], k + 1, i, j, float(d[k, i]), space.tolist(), found))
+        return pd.DataFrame(rows, columns=["log_id", "dimensions", "i", "j", "distance", "subspace", "matches"])
+
+    rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"))
+    return _grouped(rows, run, "dimensions int, i long, j long, distance double, subspace array<int>, matches array<long>")
 
 
 def cluster_windows(means: DataFrame, eps: float = 1.2) -> DataFrame:

@@ -30,8 +30,8 @@ def discover(
     """Result rows of logs (log_id, event_index, columns): symbols, grammar, density, cores, contexts, reduction, embedding, motif sets,
     alignment to cores, and scores against truth (log_id, gt_id, gt_start, gt_end).
 
-    Logs are independent: processing them together gives what each gives alone, but for the embedding, which is trained on all. The search for
-    motif sets is quadratic in a reduced log, which is one task; everything before it is spread by log and position."""
+    Logs are independent, the lengths that are searched too: processing them together gives what each gives alone, but for the two embeddings
+    (encoding 0 and 1), which are trained on all. The search for motif sets is quadratic in a reduced log, which is one task; everything before it is spread by log and position."""
     log = written(sequence.symbolize(log, columns), "log")
     rules, _ = grammar.re_pair(log)
     dense = written(grammar.density_of(log, rules), "dense")
@@ -40,12 +40,10 @@ def discover(
     reduced = written(grammar.reduce_log(dense, core, margin_factor), "reduced")
     if "case_id" not in reduced.columns:
         reduced = reduced.withColumn("case_id", F.lit(None).cast("string"))
-    length = grammar.motif_length_bounds(core, margin_factor).agg(F.min("l_min").alias("lo"), F.max("l_max").alias("hi")).first()
-    if length.lo is None:
-        found = truth.select("log_id", F.lit(0).alias("cluster_id"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).limit(0)
-    else:
-        low = max(2, int(length.lo))
-        found = motifs.motif_sets(encoded(reduced, columns, encoding), low, max(low, int(length.hi)), rho)
+    length = grammar.motif_length_bounds(core, margin_factor)
+    length = length.select("log_id", F.greatest(F.lit(2), F.floor("l_min").cast("int")).alias("lo"), F.floor("l_max").cast("int").alias("hi"))
+    length = length.withColumn("hi", F.greatest("lo", F.coalesce("hi", F.col("lo"))))
+    found = motifs.motif_sets(encoded(reduced, columns, encoding).join(length, "log_id"), "lo", "hi", rho)
     mapped = written(intervals.map_motifs(found, reduced), "motifs")
     order = Window.partitionBy("log_id").orderBy("orig_start", "orig_end", "cluster_id")
     a = mapped.select("log_id", (F.row_number().over(order) - 1).cast("long").alias("a_id"), F.col("orig_start").alias("a_start"), F.col("orig_end").alias("a_end"))

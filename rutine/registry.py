@@ -637,6 +637,19 @@ def q_matrix_profile(spark, sf_dir):
     return out.where("neighbours[0] >= 0").select("log_id", "i", F.round(F.get("distances", F.lit(0)), 9).alias("distance"))
 
 
+@query("q_join_profile", f"""WITH {LOG}, d AS (SELECT a.log_id, a.event_index AS i, b.event_index AS j, CASE WHEN a.event_type <> b.event_type THEN 2.0 * (1 - (CASE WHEN a.k = b.k THEN 1 ELSE 0 END) / 3) ELSE 0.0 END + CASE WHEN a.k <> b.k THEN 1.0 ELSE 0.0 END AS c FROM log a JOIN log b ON b.log_id = a.log_id + 1 WHERE a.log_id % 2 = 0),
+    w AS (SELECT log_id, i, j, avg(c) OVER p AS m, count(*) OVER p AS n FROM d WINDOW p AS (PARTITION BY log_id, j - i ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+    r AS (SELECT log_id, i, round(m, 9) AS m, row_number() OVER (PARTITION BY log_id, i ORDER BY m) AS n FROM w WHERE n = 8)
+    SELECT log_id, i, max(m) FILTER (n = 1) AS first, max(m) FILTER (n = 2) AS second FROM r GROUP BY log_id, i""")
+def q_join_profile(spark, sf_dir):
+    """Each window of an even log among those of the next log, two neighbours each."""
+    log = event_log(spark, sf_dir).select("log_id", "event_index", F.array(F.xxhash64("event_type"), "k").alias("levels"))  # codes of one log mean nothing in another
+    other = log.where("log_id % 2 = 1").withColumn("log_id", F.col("log_id") - 1)
+    out = motifs.join_profile(log.where("log_id % 2 = 0"), other, features.hierarchy_weights(2), 8, 2)
+    place = lambda i: F.get("distances", F.lit(i))
+    return out.select("log_id", "i", F.round(place(0), 9).alias("first"), F.round(F.when(place(1) != float("inf"), place(1)), 9).alias("second"))
+
+
 @query("q_profile_smallest")
 def q_profile_smallest(spark, sf_dir):
     return motifs.smallest(motifs.matrix_profile(_levels(spark, sf_dir), features.hierarchy_weights(2), 8), 5)
@@ -647,14 +660,22 @@ def q_topk_exclusion(spark, sf_dir):
     return motifs.profile_motifs(_levels(spark, sf_dir), features.hierarchy_weights(2), 8)
 
 
-@query("q_pan_profile")
-def q_pan_profile(spark, sf_dir):
+PAN = " UNION ALL ".join(f"""SELECT log_id, {m} AS m, i, round(min(a), 9) AS distance FROM (SELECT log_id, i, j, avg(c) OVER p AS a, count(*) OVER p AS n FROM d WINDOW p AS (PARTITION BY log_id, j - i ORDER BY i ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING))
+    WHERE n = {m} AND abs(i - j) > {-(-m // 4)} GROUP BY log_id, i""" for m in range(5, 10))
+
+
+def _pan(spark, sf_dir) -> DataFrame:
     return motifs.pan_profile(_levels(spark, sf_dir), features.hierarchy_weights(2), 5, 9)
 
 
+@query("q_pan_profile", f"""WITH {LOG}, d AS (SELECT a.log_id, a.event_index AS i, b.event_index AS j, CASE WHEN a.event_type <> b.event_type THEN 2.0 * (1 - (CASE WHEN a.k = b.k THEN 1 ELSE 0 END) / 3) ELSE 0.0 END + CASE WHEN a.k <> b.k THEN 1.0 ELSE 0.0 END AS c FROM log a JOIN log b ON a.log_id = b.log_id) {PAN}""")
+def q_pan_profile(spark, sf_dir):
+    return _pan(spark, sf_dir).where("neighbour >= 0").select("log_id", "m", "i", F.round("distance", 9).alias("distance"))
+
+
 @query("q_pan_motifs")
 def q_pan_motifs(spark, sf_dir):
-    return motifs.pan_motifs(q_pan_profile(spark, sf_dir))
+    return motifs.pan_motifs(_pan(spark, sf_dir).select("log_id", "m", "i", "distance", "neighbour"))
 
 
 def _label_series(spark, sf_dir) -> DataFrame:
@@ -669,6 +690,11 @@ def q_vector_profile(spark, sf_dir):
     return motifs.vector_profile(_label_series(spark, sf_dir), 6)
 
 
+@query("q_vector_motifs")
+def q_vector_motifs(spark, sf_dir):
+    return motifs.vector_motifs(_label_series(spark, sf_dir), 6)
+
+
 def _numbered(spark, sf_dir) -> DataFrame:
     """Events as short vectors."""
     log = event_log(spark, sf_dir)

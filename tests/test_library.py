@@ -2,12 +2,14 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rutine.functions import scalars
+from rutine.plans import pipeline
 from rutine.operators import evaluation, grammar, intervals, mining, motifs, reports, sequence, synthesis
 from rutine.sources import logs
 
@@ -194,7 +196,7 @@ def test_sub_paths_are_brute_force():
     r = random.Random(8)
     path = np.array([(2, 9), (3, 10), (4, 12), (6, 13), (7, 14), (8, 15), (9, 16)])
     s = np.array([[r.random() for _ in range(20)] for _ in range(20)])
-    got = sorted(zip(*(x.tolist() for x in motifs._covered(path, s, 3, 5))))
+    got = sorted(zip(*(x.tolist() for x in motifs._covered(path, s[path[:, 0], path[:, 1]], 3, 5))))
     want = []
     for flip in (0, 1):
         for m in range(3, 6):
@@ -274,3 +276,60 @@ def test_micro_tasks_and_itemsets(spark):
 def test_p_values():
     assert abs(reports.p_value(0.5, 10) - 0.14111328125) < 1e-9 and reports.p_value(1.0, 5) == 0.0
     assert np.isnan(reports.p_value(0.1, 2))
+
+
+def test_dates_as_another_engine_finds_them(spark):
+    values = ["on 2020/1/5 it", "2020-13-99", "12:30", "jan 3", "31.12.1999", "31.02.1999", "29.2.2000", "29.2.1900", "12/31/99", "1/2/2003", "30/02/2000", "2000-2-29", "1900/2/29", "00-1-1", "x 1/2/2003", ""]
+    got = [x[0] for x in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(scalars.has_date(F.col("v"))).collect()]
+    assert got == [any(re.search(form, v) for form in scalars.DATE_FORMS) for v in values]
+    assert got[0] and got[4] and got[2] and not got[3]
+
+
+def test_names_tuples_and_lookups(spark):
+    df = spark.createDataFrame([("rho06", None, "a"), ("09filtered_xY_z", "nan", "unknown"), ("f1.5", "Nan", " ")], "n string, a string, b string")
+    assert [x[0] for x in df.select(scalars.latex_name(F.col("n"))).collect()] == ["RhoZeroSix", "ZeroNineFilteredXYZ", "FOnePointFive"]
+    assert [tuple(x) for x in df.select(scalars.event_tuple("a", "b"), scalars.value_tuple("a", "b")).collect()] == [("nan*#*a", ["a"]), ("", []), ("Nan", ["Nan"])]
+    known = sequence.dictionary(df.withColumn("at", F.monotonically_increasing_id()).limit(2), ["a"], "at")
+    assert sorted(x.id for x in sequence.lookup(df, known, ["a"]).collect()) == [-1, 0, 1]
+
+
+def test_both_itemset_algorithms_agree(spark):
+    r = random.Random(2)
+    baskets = spark.createDataFrame([([x for x in "abcdef" if r.random() < 0.6],) for _ in range(60)], "tasks array<string>")
+    for most in (None, 2):
+        one, two = ({(tuple(sorted(x["items"])), x.freq) for x in mining.frequent_itemsets(baskets, min_support=0.2, algorithm=a, most=most).collect()} for a in ("fpgrowth", "apriori"))
+        assert one == two and max(len(x[0]) for x in one) == (most or max(len(x[0]) for x in two))
+
+
+def test_rules_of_symbols_in_small_letters(spark):
+    raw = list("abcabcabcxyabc")
+    rules, seq = grammar.re_pair(log_of(spark, raw))
+    assert [x.symbol for x in grammar.expand(seq, rules).orderBy("event_index").collect()] == raw
+    assert not {x.new_symbol for x in rules.collect()} & set(raw)
+
+
+def test_motifs_of_the_vector_profile(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 3))
+    x[40:48, :2] = x[10:18, :2]
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(x.tolist())], "log_id long, event_index long, vector array<double>")
+    got = {y.dimensions: y for y in motifs.vector_motifs(rows, 8).collect()}
+    assert sorted((got[2].i, got[2].j)) == [10, 40] and got[2].subspace == [0, 1] and sorted(got[2].matches) == [10, 40]
+    assert np.allclose(motifs.window_distances(x, 8, 10)[:2, 40], 0)
+
+
+def test_logs_are_discovered_together_as_alone(spark):
+    """Core lengths, and so the lengths that are searched, differ from log to log."""
+    r = random.Random(11)
+    raw = []
+    for routine, times in ((12, 5), (30, 4)):
+        log = []
+        for _ in range(times):
+            log += [f"n{r.randrange(12)}" for _ in range(r.randint(8, 20))] + [f"m{k}" for k in range(routine)]
+        raw.append(log)
+    rows = [(i, k, s, "app") for i, log in enumerate(raw) for k, s in enumerate(log)]
+    truth = spark.createDataFrame([(i, 0, 0, 9) for i in range(2)], "log_id long, gt_id long, gt_start long, gt_end long")
+    found = lambda df: sorted(map(tuple, pipeline.discover(df, truth, ["raw"], ["app"], encoding=2).collect()))
+    df = spark.createDataFrame(rows, "log_id long, event_index long, raw string, app string")
+    alone = [x for i in range(2) for x in found(df.where(F.col("log_id") == i))]
+    assert repr(found(df)) == repr(sorted(alone)) and len(alone) == 2
