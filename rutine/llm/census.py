@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rutine.llm.common import arrow_batches, parts
+from rutine.llm.common import arrow_batches, lean_batches, lean_group, parts
 
 #: Bytes of input for each bucket; a bucket, which one task holds, gets about an eighth of that.
 BUCKET = 256 << 20
@@ -127,8 +127,8 @@ def census(docs: DataFrame, hashes: Callable[[list[str]], tuple[np.ndarray, np.n
             )
 
     schema = f"uid long, bucket int, docs int, counts binary, hashes binary, new binary, again binary, ids array<{kind}>, sigs array<long>"
-    asked = docs.where("text IS NOT NULL").select("id", "text", "sig").mapInArrow(run, schema)
-    answered = asked.groupBy("bucket").applyInArrow(_answers, schema)
-    each = answered.groupBy("uid").applyInArrow(_together, f"id {kind}, sig long, codes binary")
+    asked = docs.where("text IS NOT NULL").select("id", "text", "sig").mapInArrow(lean_batches(run), schema)
+    answered = asked.groupBy("bucket").applyInArrow(lean_group(_answers), schema)
+    each = answered.groupBy("uid").applyInArrow(lean_group(_together), f"id {kind}, sig long, codes binary")
     each = each.groupBy("id", "sig").agg(F.first("codes").alias("codes")).withColumnsRenamed({"id": "_id", "sig": "_sig"})
     return docs.join(each, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sig") == F.col("_sig")), "left").drop("_id", "_sig")

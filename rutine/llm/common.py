@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rutine.plans.shipping import ship
@@ -44,3 +49,37 @@ def free(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def _give_back() -> None:
+    """Return what this process has freed to the system: a Python worker outlives its tasks, and would keep the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
+def lean_batches(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run, a function over batches, giving back what it has freed after each batch and at its end."""
+
+    def lean(batches):
+        for out in run(batches):
+            yield out
+            del out
+            _give_back()
+        _give_back()
+
+    return lean
+
+
+def lean_group(answer: Callable) -> Callable:
+    """answer, a function of a group, giving back what it has freed after each group."""
+
+    @functools.wraps(answer)
+    def lean(group: pa.Table) -> pa.Table:
+        out = answer(group)
+        _give_back()
+        return out
+
+    return lean

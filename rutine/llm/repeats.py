@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.llm.census import census, classes
-from rutine.llm.common import arrow_batches, drop, written
+from rutine.llm.common import arrow_batches, drop, lean_batches, lean_group, written
 from rutine.llm.symbols import BYTES, SLICE, anchors, mix, rolled, words_of_all
 
 #: A gram in more documents than this has its windows exchanged one by one.
@@ -163,9 +163,9 @@ class Shape:
     def ranks(self, rows: np.ndarray) -> np.ndarray:
         """Symbols of packed rows, as small numbers that are equal where symbols are."""
         if not self.words:
-            return rows.astype(np.int64)
+            return rows
         x = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
-        return np.unique(x, return_inverse=True)[1].reshape(x.shape).astype(np.int64)
+        return np.unique(x, return_inverse=True)[1].reshape(x.shape).astype(np.uint32)
 
     @property
     def head(self) -> int:
@@ -347,11 +347,11 @@ def remove_repeats(docs: DataFrame, shape: Shape, split: Callable, resolve: Call
     split(runs) gives rows of RUN of a table (uid, n, docs, rows); resolve(table) answers a bucket of those with (uid, at, bits)."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    found = census(docs, shape.hashes).select("id", "text", "codes").mapInArrow(_gather(shape, digest), WRITTEN)
+    found = census(docs, shape.hashes).select("id", "text", "codes").mapInArrow(lean_batches(_gather(shape, digest)), WRITTEN)
     found = written(found, "runs", "kind")
-    answers = split(found.where("kind = 2").select("uid", "n", "docs", "rows")).groupBy("bucket").applyInArrow(resolve, "uid long, at long, bits binary")
+    answers = split(found.where("kind = 2").select("uid", "n", "docs", "rows")).groupBy("bucket").applyInArrow(lean_group(resolve), "uid long, at long, bits binary")
     answers = written(answers.groupBy("uid").agg(F.collect_list(F.struct("at", "bits")).alias("answers")), "answers")
     drop(found, part="kind=2")
     homes = found.where("kind = 1").select("uid", "ids", "bodies", "entries", "docs").join(answers, "uid", "left").drop("uid")
     fixed = "id long, n long, removed long, spans long, kept binary"
-    return found.where("kind = 0").select("id", "n", "removed", "spans", "kept").unionByName(homes.mapInArrow(_finish(shape, digest), fixed))
+    return found.where("kind = 0").select("id", "n", "removed", "spans", "kept").unionByName(homes.mapInArrow(lean_batches(_finish(shape, digest)), fixed))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rutine.llm.common import table
+from rutine.llm.common import lean_batches, table
 from rutine.llm.repeats import RUN, Shape, common_prefixes, earlier, released, remove_repeats, sorted_run, squeezed
 
 
@@ -131,7 +131,7 @@ def _split(shape: Shape):
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["uid", "bucket", "at", "docs", "lcp", "rests", "sides"])
 
-        return runs.select("uid", "docs", "rows").mapInArrow(run, RUN.replace("rows binary", "lcp binary, rests binary, sides binary"))
+        return runs.select("uid", "docs", "rows").mapInArrow(lean_batches(run), RUN.replace("rows binary", "lcp binary, rests binary, sides binary"))
 
     return split
 
