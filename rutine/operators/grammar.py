@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from rutine.functions.scalars import num_to_letters, row_key
 from rutine.operators.sequence import bigram_table, bigrams, in_log, islands, running_total, within_ranges
 from rutine.plans.shipping import ship
-from rutine.plans.tables import drop, written
+from rutine.plans.tables import drop, together, written
 
 RULES = "log_id, level, rank, left, right, new_symbol, count"
 
@@ -58,16 +58,16 @@ def re_pair(log: DataFrame, column: str = "symbol") -> tuple[DataFrame, DataFram
     are written tables; a level costs a job over what is left of all logs, and there are about as many levels as the logarithm
     of the longest repetition."""
     seq = written(log.select("log_id", F.col("event_index").cast("long").alias("event_index"), F.col(column).alias("symbol")), "sequence")
-    rules, level = None, 1
+    made, level = [], 1
     small = seq.where(F.col("symbol").rlike("^~*[a-z]+$")).agg(F.max(F.length(F.regexp_extract("symbol", "^~*", 0)))).first()[0]
     mark = "" if small is None else "~" * (small + 1)
     while True:
-        new = written(_rules(seq, level, rules, mark), "rules")
+        new = written(_rules(seq, level, together(made) if made else None, mark), "rules")
         if new.isEmpty():
-            return (new if rules is None else rules), seq
+            return together(made or [new]), seq
         old, seq = seq, written(replace_pairs(seq, new), "sequence")
         drop(old)
-        rules = new if rules is None else rules.unionByName(new)
+        made.append(new)
         level += 1
 
 
@@ -75,13 +75,14 @@ def expansions(rules: DataFrame, base: bool = False) -> DataFrame:
     """(log_id, symbol, expansion) of every rule as an array of base symbols; with base, of the base symbols in rules too."""
     names = rules.select("log_id", F.col("new_symbol").alias("symbol"))
     known = rules.select("log_id", F.explode(F.array("left", "right")).alias("symbol")).distinct().join(names, ["log_id", "symbol"], "left_anti")
-    known = written(known.select("log_id", "symbol", F.array("symbol").alias("expansion"), F.lit(0).alias("level")), "expansions")
+    made = [written(known.select("log_id", "symbol", F.array("symbol").alias("expansion"), F.lit(0).alias("level")), "expansions")]
     for level in range(1, (rules.agg(F.max("level")).first()[0] or 0) + 1):
+        known = together(made)
         one = known.select("log_id", F.col("symbol").alias("left"), F.col("expansion").alias("_l"))
         two = known.select("log_id", F.col("symbol").alias("right"), F.col("expansion").alias("_r"))
         new = rules.where(F.col("level") == level).join(one, ["log_id", "left"]).join(two, ["log_id", "right"])
-        known = known.unionByName(written(new.select("log_id", F.col("new_symbol").alias("symbol"), F.concat("_l", "_r").alias("expansion"), "level"), "expansions"))
-    return known.where(F.lit(True) if base else F.col("level") > 0).select("log_id", "symbol", "expansion")
+        made.append(written(new.select("log_id", F.col("new_symbol").alias("symbol"), F.concat("_l", "_r").alias("expansion"), "level"), "expansions"))
+    return together(made).where(F.lit(True) if base else F.col("level") > 0).select("log_id", "symbol", "expansion")
 
 
 def expand(seq: DataFrame, rules: DataFrame) -> DataFrame:
@@ -108,20 +109,29 @@ def rules_with(rules: DataFrame, symbol: str, recursive: bool = False) -> DataFr
 
 def rule_density(log: DataFrame, patterns: DataFrame, column: str = "symbol") -> DataFrame:
     """log with rule_density_count: how many occurrences of patterns (log_id, expansion) cover each event. Overlaps and
-    patterns that are there twice count. Each length is one equi-join of arrays; starts and ends are summed along the log."""
-    lengths = [r[0] for r in patterns.select(F.size("expansion")).distinct().collect()]  # a few lengths, never patterns
-    counted = patterns.groupBy("log_id", "expansion").agg(F.count("*").alias("k"))
+    patterns that are there twice count. Starts and ends are summed along the log.
+
+    Lengths from one power of two to the next are one equi-join of arrays, over the logs that have such patterns and the lengths that each has.
+    Each such join is a job that writes its steps, so no plan grows with the number of lengths, however many logs bring them."""
     log = log.withColumn("event_index", F.col("event_index").cast("long"))
-    steps = None
-    for n in lengths:
-        here = log.select("log_id", "event_index", F.collect_list(column).over(in_log().rowsBetween(0, n - 1)).alias("expansion"))
-        hits = here.join(counted.where(F.size("expansion") == n), ["log_id", "expansion"])
-        part = hits.select("log_id", F.explode(F.array(F.struct(F.col("event_index").alias("event_index"), F.col("k").alias("k")), F.struct((F.col("event_index") + n).alias("event_index"), (-F.col("k")).alias("k")))).alias("s")).select("log_id", "s.*")
-        steps = part if steps is None else steps.unionByName(part)
-    if steps is None:
+    whole = patterns.where(~F.exists("expansion", lambda x: x.isNull())).groupBy("log_id", "expansion").agg(F.count("*").alias("k"))
+    counted = written(whole.withColumn("_n", F.size("expansion")).withColumn("_bits", F.length(F.bin("_n"))), "patterns")
+    longest = sorted(counted.where("_n > 0").groupBy("_bits").agg(F.max("_n")).collect())  # a row for each power of two, never patterns
+    if not longest:
         return log.withColumn("rule_density_count", F.lit(0).cast("long"))
-    steps = steps.groupBy("log_id", "event_index").agg(F.sum("k").alias("_step"))
-    return log.join(steps, ["log_id", "event_index"], "left").withColumn("rule_density_count", running_total(F.coalesce("_step", F.lit(0))).cast("long")).drop("_step")
+    rows, steps = written(log.select("log_id", "event_index", F.array(column).alias("_symbol")), "events"), []
+    for bits, most in longest:
+        some = counted.where(F.col("_bits") == bits)
+        ahead = F.flatten(F.collect_list("_symbol").over(in_log().rowsBetween(0, most - 1)))
+        here = rows.join(some.groupBy("log_id").agg(F.collect_set("_n").alias("_lengths")), "log_id").select("log_id", "event_index", ahead.alias("_ahead"), "_lengths")
+        here = here.select("log_id", "event_index", "_ahead", F.explode("_lengths").alias("_n")).where(F.size("_ahead") >= F.col("_n"))
+        hits = here.select("log_id", "event_index", F.slice("_ahead", 1, F.col("_n")).alias("expansion")).join(some, ["log_id", "expansion"])
+        ends = F.array(F.struct(F.col("event_index").alias("event_index"), F.col("k").alias("k")), F.struct((F.col("event_index") + F.col("_n")).alias("event_index"), (-F.col("k")).alias("k")))
+        part = hits.select("log_id", F.explode(ends).alias("s")).groupBy("log_id", "s.event_index").agg(F.sum("s.k").alias("_step"))
+        steps.append(written(part, "steps"))
+    drop(rows, counted)
+    step = together(steps).groupBy("log_id", "event_index").agg(F.sum("_step").alias("_step"))
+    return log.join(step, ["log_id", "event_index"], "left").withColumn("rule_density_count", running_total(F.coalesce("_step", F.lit(0))).cast("long")).drop("_step")
 
 
 def density_of(log: DataFrame, rules: DataFrame, column: str = "symbol") -> DataFrame:

@@ -51,7 +51,7 @@ def discover(
     final = intervals.final_motifs(intervals.merge_overlaps(intervals.extend_by_anchors(a, b).drop("members")))
     order = Window.partitionBy("log_id").orderBy("start")
     final = written(final.select("log_id", (F.row_number().over(order) - 1).cast("long").alias("motif_id"), F.col("start").alias("motif_start"), F.col("end").alias("motif_end")), "final")
-    scores, _ = evaluation.evaluate_motifs(final, truth, threshold)
+    scores = written(evaluation.evaluate_motifs(final, written(truth, "truth"), threshold)[0], "scores")
     facts = dense.groupBy("log_id").agg(F.count("*").alias("log_length"), F.var_samp("rule_density_count").alias("grammar_variance"))
     facts = facts.join(reduced.groupBy("log_id").agg(F.count("*").alias("filtered_log_length")), "log_id", "left")
     facts = facts.join(core.groupBy("log_id").agg(F.count("*").alias("cores")), "log_id", "left")

@@ -44,6 +44,11 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema made by written(), read as one: a plan is as large with many of them as with one."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[df._rutine_path for df in tables])
+
+
 def drop(*tables: DataFrame, part: str = "") -> None:
     """Remove tables made by written(), or a part of them (column=value), whose readers are done."""
     for df in tables:

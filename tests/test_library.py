@@ -75,6 +75,25 @@ def test_density_of_small_logs(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SHARED), reason="the shared symbol sequences are not here")
+def test_density_of_many_lengths(spark):
+    """Counts are those of a plain search, and no plan grows with the number of lengths, which more logs bring: the driver holds it."""
+    r = random.Random(5)
+    raw = [[r.choice("ABC") for _ in range(90)] for _ in range(2)]
+    raw[1][40] = None
+    spans = [(i, s[a : a + n]) for i, s in enumerate(raw) for n in range(1, 41) for a in (7, 23) if None not in s[a : a + n]]
+    log = spark.createDataFrame([(i, k, x) for i, s in enumerate(raw) for k, x in enumerate(s)], "log_id long, event_index long, symbol string")
+    dense = grammar.rule_density(log, spark.createDataFrame([*spans, (0, [None]), (2, ["A"])], "log_id long, expansion array<string>"))
+    want = {(i, k): 0 for i, s in enumerate(raw) for k in range(len(s))}
+    for i, p in spans:
+        for a in range(91 - len(p)):
+            if raw[i][a : a + len(p)] == p:
+                for k in range(a, a + len(p)):
+                    want[i, k] += 1
+    assert {(x.log_id, x.event_index): x.rule_density_count for x in dense.collect()} == want
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Relation [") == 1
+
+
 def test_golden_numbers(spark):
     log = logs.read_sensor_log(spark, SHARED, "plus")
     assert log.count() == 4646 and log.where("ends_case").count() == 99
