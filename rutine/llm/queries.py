@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Module of each operator, by its number.
-MODULES = {1: "ngram_join", 2: "suffix_dedup", 3: "langid", 4: "bpe_queries", 5: "mixing", 6: "blocknames", 7: "warc", 8: "substring", 9: "secrets", 10: "topk"}
+MODULES = {1: "ngram_join", 2: "suffix_dedup", 3: "langid", 4: "bpe_queries", 5: "mixing", 6: "blocknames", 7: "warc", 8: "substring", 9: "secrets", 10: "topk", 11: "turn_trie", 12: "line_dedup", 13: "spelling"}
 
 
 def _all() -> tuple[dict, dict]:
