@@ -141,7 +141,7 @@ def line_bitmaps(docs: DataFrame, least_docs: int = 3, least_chars: int = 20, ke
     empty table gives an empty one. Texts are read to hash their lines and are not moved: a line is 28 bytes on its way."""
     arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
-    lines = _lines(rows, key, least_chars)
+    lines = written(_lines(rows, key, least_chars), "lines")  # the bounds of ranges are found by a look at all of them
     gone = _dropped(lines, least_docs, parts(docs, RANGE))
     kind = rows.schema["id"].dataType.simpleString()
 
