@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rutine.operators.intervals import greedy_matches, overlap_table
+from rutine.operators.intervals import greedy_matches, overlap_table, overlapping
+from rutine.plans.tables import written
 
 
 def share(a: Column, b: Column) -> Column:
@@ -23,16 +24,24 @@ def evaluate_motifs(motifs: DataFrame, truth: DataFrame, threshold: float = 0.5,
     """(metrics of each log, matches) of motifs and truth as in overlap_table.
 
     A pair may match if its overlap is more than threshold of the truth's length ('ratio'), or at least threshold indices ('absolute'); matches
-    are one-to-one, the largest overlap first. Logs without motifs or without truth have rows too, with zeros."""
-    t = overlap_table(motifs, truth)
+    are one-to-one, the largest overlap first. Only pairs that share an index are made, by bins, unless the threshold lets others match. Logs without motifs or without truth have rows too, with zeros."""
+    if threshold < 0 or (kind != "ratio" and threshold <= 0):  # pairs without an index in common may match
+        t = overlap_table(motifs, truth)
+    else:
+        spans = (motifs.select("log_id", F.col("motif_id").alias("a_id"), F.col("motif_start").alias("a_start"), F.col("motif_end").alias("a_end")), truth.select("log_id", F.col("gt_id").alias("b_id"), F.col("gt_start").alias("b_start"), F.col("gt_end").alias("b_end")))
+        t = overlapping(*spans).select("log_id", F.col("a_id").alias("motif_id"), F.col("b_id").alias("gt_id"), "overlap", (F.col("overlap") / (F.col("b_end") - F.col("b_start") + 1)).alias("overlap_gt_ratio"))
+    t = written(t.select("log_id", "motif_id", "gt_id", "overlap", "overlap_gt_ratio"), "overlaps")
     able = t.where(F.col("overlap_gt_ratio") > threshold if kind == "ratio" else F.col("overlap") >= threshold)
     matches = greedy_matches(able)
     tp = matches.groupBy("log_id").agg(F.count("*").alias("tp"))
     m = motifs.groupBy("log_id").agg(F.count("*").alias("motifs"))
     g = truth.groupBy("log_id").agg(F.count("*").alias("truths"))
-    by_motif = t.groupBy("log_id", "motif_id", "motif_length").agg(F.sum("overlap").alias("o"))
+    # means are over all motifs, and all truths, of logs that have both
+    by_motif = motifs.join(g, "log_id").select("log_id", "motif_id", (F.col("motif_end") - F.col("motif_start") + 1).alias("motif_length"))
+    by_motif = by_motif.join(t.groupBy("log_id", "motif_id").agg(F.sum("overlap").alias("o")), ["log_id", "motif_id"], "left").fillna(0, ["o"])
     over = by_motif.groupBy("log_id").agg(F.avg("o").alias("intersection_abs"), F.avg(F.col("o") / F.col("motif_length")).alias("intersection_ratio"), F.avg(F.col("motif_length") - F.col("o")).alias("over_detection_abs"), F.avg(1 - F.col("o") / F.col("motif_length")).alias("over_detection_ratio"))
-    by_truth = t.groupBy("log_id", "gt_id", "gt_length").agg(F.sum("overlap").alias("o"))
+    by_truth = truth.join(m, "log_id").select("log_id", "gt_id", (F.col("gt_end") - F.col("gt_start") + 1).alias("gt_length"))
+    by_truth = by_truth.join(t.groupBy("log_id", "gt_id").agg(F.sum("overlap").alias("o")), ["log_id", "gt_id"], "left").fillna(0, ["o"])
     under = by_truth.groupBy("log_id").agg(F.avg(F.greatest(F.lit(0), F.col("gt_length") - F.col("o"))).alias("undercount_abs"), F.avg(F.greatest(F.lit(0.0), 1 - F.col("o") / F.col("gt_length"))).alias("undercount_ratio"))
     out = m.join(g, "log_id", "full_outer").join(tp, "log_id", "left").fillna(0, ["motifs", "truths", "tp"])
     out = out.withColumn("fp", F.col("motifs") - F.col("tp")).withColumn("fn", F.col("truths") - F.col("tp"))

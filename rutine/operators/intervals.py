@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rutine.operators.components import component_labels
 from rutine.plans.shipping import ship
+from rutine.plans.tables import written
 
 #: Width of the bins by which a range join is an equi-join.
 BIN = 256
@@ -107,8 +111,12 @@ def best_coverage(truth: DataFrame, starts: DataFrame, window: int, threshold: f
     return pairs.withColumn("_n", best).where((F.col("_n") == 1) & (F.col("coverage") >= threshold)).select("log_id", F.col("a_start").alias("start"), F.col("b_id").alias("gt_id"), "coverage")
 
 
-def greedy_matches(pairs: DataFrame) -> DataFrame:
-    """One-to-one matches of pairs (log_id, motif_id, gt_id, overlap): the largest overlap first, ties to smaller ids. A log is one task."""
+#: Rounds of mutual best pairs before what is left of a log is matched one pair after the other.
+ROUNDS = 12
+
+
+def _one_by_one(pairs: DataFrame) -> DataFrame:
+    """Greedy matches by a loop over the pairs of each log."""
     ship(pairs.sparkSession)
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -121,8 +129,30 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
                 keep.append(i)
         return p.loc[keep]
 
-    some = pairs.select("log_id", "motif_id", "gt_id", "overlap")
-    return some.groupBy("log_id").applyInPandas(run, some.schema)
+    return pairs.groupBy("log_id").applyInPandas(run, pairs.schema)
+
+
+def greedy_matches(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """One-to-one matches of pairs (log_id, motif_id, gt_id, overlap): the largest overlap first, ties to smaller ids.
+
+    A pair that comes first for its motif and for its truth is one that the greedy choice takes; it goes out with all other pairs of both, and so
+    on. Pairs are dealt by motif and by truth, not by log. Rounds are few, but for long chains of ever smaller overlaps: what is
+    left after `rounds` of them is taken one by one, log by log."""
+    left, out = written(pairs.select("log_id", "motif_id", "gt_id", "overlap"), "pairs"), []
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        by_motif, by_truth = Window.partitionBy("log_id", "motif_id"), Window.partitionBy("log_id", "gt_id")
+        # of the pairs of one motif the order is (overlap, truth), of one truth (overlap, motif)
+        first = left.withColumn("_m", F.row_number().over(by_motif.orderBy(F.desc("overlap"), "gt_id"))).withColumn("_g", F.row_number().over(by_truth.orderBy(F.desc("overlap"), "motif_id")))
+        first = first.withColumn("_won", (F.col("_m") == 1) & (F.col("_g") == 1))
+        told = first.withColumn("_done", F.max("_won").over(by_truth)).withColumn("_done", F.col("_done") | F.max("_won").over(by_motif))
+        told = written(told.where("_won OR NOT _done").drop("_m", "_g", "_done"), "matches")
+        out.append(told.where("_won").drop("_won"))
+        left = told.where("NOT _won").drop("_won")
+    else:
+        out.append(_one_by_one(left))
+    return reduce(DataFrame.unionByName, out, left.limit(0))
 
 
 def map_motifs(motifs: DataFrame, reduced: DataFrame, case: str = "case_id") -> DataFrame:
@@ -142,37 +172,21 @@ def extend_by_anchors(motifs: DataFrame, core: DataFrame, most_gap: int = 2) ->
 
     A core that several motifs touch joins neighbours at most most_gap indices apart, in order of their starts, and is absorbed
     by the one with the largest overlap, then smallest start and id; a core that one motif touches is absorbed by it. A
-    group has the bounds of its members and of what they absorbed, and the smallest member's id. Motifs without a core are left out."""
-    ship(motifs.sparkSession)
-    pairs = overlapping(motifs, core).select("log_id", "a_id", "a_start", "a_end", "b_id", "b_start", "b_end", "overlap")
-    kind = pairs.schema["log_id"].dataType.simpleString()
+    group has the bounds of its members and of what they absorbed, and the smallest member's id. Motifs without a core are left out.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, parent = {}, {}, {}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for r in p.itertuples():
-            parent[r.a_id] = r.a_id
-            lo[r.a_id], hi[r.a_id] = r.a_start, r.a_end
-        joins = []
-        for _, group in p.groupby("b_id"):
-            rows = list(group.sort_values(["a_start", "a_id"]).itertuples())
-            win = min(rows, key=lambda r: (-r.overlap, r.a_start, r.a_id))
-            lo[win.a_id], hi[win.a_id] = min(lo[win.a_id], win.b_start), max(hi[win.a_id], win.b_end)
-            joins += [(x.a_id, y.a_id) for x, y in zip(rows, rows[1:], strict=False) if y.a_start - x.a_end - 1 <= most_gap]
-        for x, y in joins:
-            x, y = sorted((find(x), find(y)))
-            parent[y] = x
-        groups: dict = {}
-        for m in sorted(parent):
-            groups.setdefault(find(m), []).append(m)
-        return pd.DataFrame([(p["log_id"].iloc[0], k, v, min(lo[m] for m in v), max(hi[m] for m in v), True) for k, v in groups.items()], columns=["log_id", "id", "members", "start", "end", "flag"])
-
-    return pairs.groupBy("log_id").applyInPandas(run, f"log_id {kind}, id long, members array<long>, start long, end long, flag boolean")
+    Groups are the connected components of what cores join, found by rounds of joins: work is dealt by core and by motif, not by log."""
+    pairs = overlapping(motifs, core).select("log_id", "a_id", "a_start", "a_end", "b_id", "b_start", "b_end", "overlap")
+    pairs = written(pairs, "touching")
+    order = Window.partitionBy("log_id", "b_id").orderBy("a_start", "a_id")
+    win = F.row_number().over(Window.partitionBy("log_id", "b_id").orderBy(F.desc("overlap"), "a_start", "a_id")) == 1
+    told = pairs.withColumns({"_win": win, "_prev": F.lag("a_id").over(order), "_gap": F.col("a_start") - F.lag("a_end").over(order) - 1})
+    bounds = told.groupBy("log_id", "a_id").agg(
+        F.least(F.min("a_start"), F.min(F.when(F.col("_win"), F.col("b_start")))).alias("lo"), F.greatest(F.max("a_end"), F.max(F.when(F.col("_win"), F.col("b_end")))).alias("hi")
+    )
+    joined = F.when(F.col("_gap") <= most_gap, F.col("_prev"))
+    labels = component_labels(told.select("log_id", F.col("a_id").alias("a"), F.coalesce(joined, F.col("a_id")).alias("b")), ["log_id"])
+    out = bounds.join(labels.withColumnRenamed("id", "a_id"), ["log_id", "a_id"]).groupBy("log_id", F.col("label").alias("id"))
+    return out.agg(F.sort_array(F.collect_list("a_id")).alias("members"), F.min("lo").alias("start"), F.max("hi").alias("end")).withColumn("flag", F.lit(True))
 
 
 def final_motifs(spans: DataFrame, least: int = 5) -> DataFrame:

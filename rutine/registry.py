@@ -421,14 +421,28 @@ def q_merge_overlaps(spark, sf_dir):
     return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
-@query("q_anchor_extend")
+ANCHORS = "RECURSIVE " + OVERLAPS + """, hit AS (SELECT * FROM pairs WHERE overlap > 0),
+    won AS (SELECT log_id, motif_id, gt_start, gt_end FROM (SELECT *, row_number() OVER (PARTITION BY log_id, gt_id ORDER BY overlap DESC, motif_start, motif_id) AS n FROM hit) WHERE n = 1),
+    bounds AS (SELECT h.log_id, h.motif_id, least(min(motif_start), min(w.gt_start)) AS lo, greatest(max(motif_end), max(w.gt_end)) AS hi FROM hit h LEFT JOIN won w ON w.log_id = h.log_id AND w.motif_id = h.motif_id GROUP BY h.log_id, h.motif_id),
+    links AS (SELECT log_id, motif_id AS a, lag(motif_id) OVER w AS b, motif_start - lag(motif_end) OVER w - 1 AS gap FROM hit WINDOW w AS (PARTITION BY log_id, gt_id ORDER BY motif_start, motif_id)),
+    both_ways AS (SELECT log_id, a, b FROM links WHERE gap <= 2 UNION SELECT log_id, b, a FROM links WHERE gap <= 2),
+    reach(log_id, a, b) AS (SELECT log_id, motif_id, motif_id FROM bounds UNION SELECT r.log_id, r.a, l.b FROM reach r JOIN both_ways l ON l.log_id = r.log_id AND l.a = r.b),
+    named AS (SELECT log_id, a AS motif_id, min(b) AS id FROM reach GROUP BY log_id, a),
+    anchored AS (SELECT log_id, id, string_agg(motif_id, ',' ORDER BY motif_id) AS members, min(lo) AS s, max(hi) AS e FROM named JOIN bounds USING (log_id, motif_id) GROUP BY log_id, id)"""
+
+
+@query("q_anchor_extend", f"""WITH {ANCHORS} SELECT log_id, id, members, s AS "start", e AS "end", true AS flag FROM anchored""")
 def q_anchor_extend(spark, sf_dir):
-    return intervals.extend_by_anchors(*_ab(spark, sf_dir))
+    out = intervals.extend_by_anchors(*_ab(spark, sf_dir))
+    return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
-@query("q_final_motifs")
+@query("q_final_motifs", f"""WITH {ANCHORS}, n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY log_id ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM anchored),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY log_id ORDER BY s, e, id) AS run FROM n), m AS (SELECT log_id, min(s) AS s, max(e) AS e, string_agg(id, ',' ORDER BY id) AS members FROM g GROUP BY log_id, run)
+    SELECT log_id, s AS "start", e AS "end", members, true AS flag, e - s + 1 AS length FROM m WHERE e - s + 1 >= 5""")
 def q_final_motifs(spark, sf_dir):
-    return intervals.final_motifs(intervals.merge_overlaps(intervals.extend_by_anchors(*_ab(spark, sf_dir)).drop("members")))
+    out = intervals.final_motifs(intervals.merge_overlaps(intervals.extend_by_anchors(*_ab(spark, sf_dir)).drop("members")))
+    return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
 BAND = "a AS (SELECT event_id AS pos, event_id * 7 % 5000 AS num FROM events WHERE event_type = 'purchase'), b AS (SELECT event_id AS pos, event_id * 11 % 5000 AS num FROM events WHERE event_type = 'error')"
@@ -461,7 +475,17 @@ def q_coverage_best(spark, sf_dir):
 # evaluation
 
 
-@query("q_eval_metrics")
+@query("q_eval_metrics", f"""WITH RECURSIVE {OVERLAPS}, able AS (SELECT log_id, motif_id, gt_id, row_number() OVER (PARTITION BY log_id ORDER BY overlap DESC, motif_id, gt_id) AS n FROM pairs WHERE overlap / gt_length > 0.5),
+    walk(log_id, n, ms, gs) AS (SELECT DISTINCT log_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM able
+        UNION ALL SELECT w.log_id, w.n + 1, CASE WHEN list_contains(ms, motif_id) OR list_contains(gs, gt_id) THEN ms ELSE list_append(ms, motif_id) END,
+               CASE WHEN list_contains(ms, motif_id) OR list_contains(gs, gt_id) THEN gs ELSE list_append(gs, gt_id) END FROM walk w JOIN able a ON a.log_id = w.log_id AND a.n = w.n + 1),
+    tp AS (SELECT log_id, max(len(ms)) AS tp FROM walk GROUP BY log_id), m AS (SELECT log_id, count(*) AS motifs FROM motifs GROUP BY log_id), g AS (SELECT log_id, count(*) AS truths FROM truth GROUP BY log_id),
+    om AS (SELECT log_id, motif_id, motif_length AS l, sum(overlap) AS o FROM pairs GROUP BY ALL), og AS (SELECT log_id, gt_id, gt_length AS l, sum(overlap) AS o FROM pairs GROUP BY ALL),
+    a AS (SELECT log_id, avg(o) AS intersection_abs, avg(o / l) AS intersection_ratio, avg(l - o) AS over_detection_abs, avg(1 - o / l) AS over_detection_ratio FROM om GROUP BY log_id),
+    b AS (SELECT log_id, avg(greatest(0, l - o)) AS undercount_abs, avg(greatest(0, 1 - o / l)) AS undercount_ratio FROM og GROUP BY log_id),
+    s AS (SELECT log_id, coalesce(motifs, 0) AS motifs, coalesce(truths, 0) AS truths, coalesce(tp, 0) AS tp, coalesce(motifs, 0) - coalesce(tp, 0) AS fp, coalesce(truths, 0) - coalesce(tp, 0) AS fn FROM m FULL JOIN g USING (log_id) LEFT JOIN tp USING (log_id)),
+    p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS "precision", CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM s)
+    SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0 END AS f1 FROM p LEFT JOIN a USING (log_id) LEFT JOIN b USING (log_id)""")
 def q_eval_metrics(spark, sf_dir):
     return evaluation.evaluate_motifs(type_motifs(spark, sf_dir), block_truth(spark, sf_dir), 0.5)[0]
 
