@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.operators.features import standardized
+from rutine.operators.scans import numbered
+from rutine.operators.warped import DIGITS, TILE, apart, long_paths, paths_of, scale_of
 from rutine.plans.shipping import ship
+from rutine.plans.tables import written
 
 
 def exclusion(m: int, denominator: int = 4) -> int:
@@ -148,39 +151,22 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int |
     """Motif sets of variable length in a series (places, dimensions): [(representative, members)], half-open, best first.
 
     Similarities of places are kept where they exceed the rho-quantile. Warping paths are grown along the similarity matrix by
-    local alignment: steps (1,1), (1,2) and (2,1), gains above the threshold and losses below it; each path pairs two segments. Representatives are
+    local alignment: steps (1,1), (1,2) and (2,1), gains above the threshold and losses below it; each path pairs two segments. Of paths that meet, or run
+    side by side, the better one stays whole. Representatives are
     all segments of low to high places; the members of one are read off the sub-paths within it. A set's worth is the harmonic mean of its
     coverage and of its mean similarity. Sets are taken greedily, without overlap beyond the given share: all of them, or the first `most`."""
     n = len(x)
     if n < 2 * low:
         return []
     alike = Similarities(x)
-    tau = alike.quantile(rho)
-    back, value, flat = _aligned(alike, tau, low)
-    steps, half = ((1, 1), (1, 2), (2, 1)), low // 2
-    paths, used = [], np.zeros((n, n), bool)
-    flat = flat[np.lexsort((flat, -value))]
-    for at in range(0, len(flat), 4096):  # cells that earlier paths have taken are skipped many at a time
-        some = flat[at : at + 4096]
-        for start in some[~used.ravel()[some]].tolist():
-            i, j = divmod(start, n)
-            if used[i, j]:
-                continue
-            path = [(i, j)]
-            while back[i, j]:
-                a, b = steps[back[i, j] - 1]
-                i, j = i - a, j - b
-                if used[i, j]:
-                    break
-                path.append((i, j))
-            for a, b in path:
-                used[max(0, a - half) : a + half + 1, max(0, b - half) : b + half + 1] = True
-            path.reverse()
-            if len(path) >= low:
-                paths.append(np.array(path, np.int32))
+    return sets_of_paths(paths_of(alike.row, n, low, alike.quantile(rho)), n, low, high, most, overlap)
+
+
+def sets_of_paths(paths: list[tuple[np.ndarray, np.ndarray]], n: int, low: int, high: int, most: int | None = None, overlap: float = 0.0) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """Motif sets of a series of n places from its paths (cells, similarities)."""
     if not paths:
         return []
-    covers = zip(*(_covered(path, alike.pairs(path[:, 0], path[:, 1]), low, high) for path in paths))
+    covers = zip(*(_covered(path, fits, low, high) for path, fits in paths))
     return _taken_sets(*map(np.concatenate, covers), n, most, overlap)
 
 
@@ -194,8 +180,7 @@ class Similarities:
     def __init__(self, x: np.ndarray):
         self.distinct, self.at, self.count = np.unique(x, axis=0, return_inverse=True, return_counts=True)
         self.at = self.at.ravel()
-        width = max(float(x.std()), 1e-12) * math.sqrt(x.shape[1])
-        self.scale = -1 / (2 * width * width)
+        self.scale = scale_of(float(x.std()), x.shape[1])
         self.table = np.concatenate(list(self._blocks())) if len(self.distinct) <= self.TABLE else None
 
     def _blocks(self, rows: int = 256):
@@ -209,20 +194,13 @@ class Similarities:
             d *= d
             out += d
         out *= self.scale
-        return np.exp(out, out=out)
+        return np.round(np.exp(out, out=out), DIGITS)
 
     def row(self, i: int) -> np.ndarray:
         """Similarities of place i to all places."""
         one = self.table[self.at[i]] if self.table is not None else self._between(self.distinct[self.at[i]][None])[0]
         return one[self.at]
 
-    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i))
-        for k in range(self.distinct.shape[1]):
-            d = self.distinct[self.at[i], k] - self.distinct[self.at[j], k]
-            out += d * d
-        return np.exp(out * self.scale)
-
     def quantile(self, q: float) -> float:
         """The quantile, interpolated, of the similarities of all pairs of different places: two passes, the second over one narrow range of values."""
         n = len(self.at)
@@ -244,7 +222,7 @@ class Similarities:
         rank = np.cumsum(weights[order]) + (below[low - 1] if low else 0)
         a, b = (float(values[order[np.searchsorted(rank, e, side="right")]]) for e in ends)
         part = q * (n * (n - 1) // 2 - 1) - ends[0]
-        return a + (b - a) * part
+        return round(a + (b - a) * part, DIGITS)
 
     def _weighted(self):
         """(first row, similarities of some distinct vectors to all, how many pairs of places have each): each pair of vectors once."""
@@ -258,31 +236,6 @@ class Similarities:
             at += len(value)
 
 
-def _aligned(alike: Similarities, tau: float, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(steps back, worth and place of each cell above zero) of the local alignment of a series with itself, low places off the diagonal or more.
-
-    A row follows from the two before it, so rows are worked out whole. Of equal ways in, the last of the steps (1,1), (1,2), (2,1) counts."""
-    n = len(alike.at)
-    back, values, places = np.zeros((n, n), np.int8), [], []
-    one, two = np.zeros(n + 2), np.zeros(n + 2)  # the two rows before, behind two zeros
-    for i in range(n - low):
-        j = slice(i + low, n)
-        s = alike.row(i)[j]
-        gain = np.where(s >= tau, s, -0.5)
-        way, worth = np.ones(len(s), np.int8), one[i + low + 1 : n + 1]
-        for k, other in ((2, one[i + low : n]), (3, two[i + low + 1 : n + 1])):
-            better = other >= worth
-            worth, way = np.where(better, other, worth), np.where(better, np.int8(k), way)
-        new = worth + gain
-        on = np.flatnonzero(new > 0)
-        two, one = one, np.zeros(n + 2)
-        one[i + low + 2 + on] = new[on]
-        back[i, i + low + on] = np.where(worth[on] > 0, way[on], 0)
-        values.append(new[on])
-        places.append(i * n + i + low + on)
-    return back, np.concatenate(values) if values else np.zeros(0), np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
-
-
 def _covered(path: np.ndarray, fits: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
     """(start, end, member start, member end, mean similarity) of all representatives of low to high places that a path relates to a member.
 
@@ -467,20 +420,43 @@ def vector_profile(log: DataFrame, m: int, vector: str = "vector") -> DataFrame:
     return _grouped(log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v")), run, "i long, distances array<double>, neighbours array<long>")
 
 
-def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8, most: int | None = None, vector: str = "vector") -> DataFrame:
+def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8, most: int | None = None, vector: str = "vector", tile: int = TILE) -> DataFrame:
     """(log_id, cluster_id, start, end) of variable-length, time-warped motif sets; half-open, cluster_id numbers sets from the best.
 
-    low and high are lengths, or columns that hold those of each log."""
+    low and high are lengths, or columns that hold those of each log. A log of at most `tile` places is one task; the similarities of a longer one are worked out by tiles
+    of that size, dealt over tasks, and only its paths come together. Both give the same."""
     low, high = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (low, high))
+    rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"), low.cast("int").alias("low"), high.cast("int").alias("high"))
+    rows = written(rows, "series")
+    kind = rows.schema["log_id"].dataType.simpleString()
+    schema, columns = "cluster_id int, start long, end long", ["log_id", "cluster_id", "start", "end"]
+    ship(log.sparkSession)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def whole(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("event_index")
         x = np.array(p["v"].tolist(), float)
-        rows = [(p["log_id"].iloc[0], c, a, b) for c, (_, members) in enumerate(time_warped_sets(x, int(p["low"].iloc[0]), int(p["high"].iloc[0]), rho, most)) for a, b in members]
-        return pd.DataFrame(rows, columns=["log_id", "cluster_id", "start", "end"])
-
-    rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"), low.cast("int").alias("low"), high.cast("int").alias("high"))
-    return _grouped(rows, run, "cluster_id int, start long, end long")
+        found = time_warped_sets(x, int(p["low"].iloc[0]), int(p["high"].iloc[0]), rho, most)
+        return pd.DataFrame([(p["log_id"].iloc[0], c, a, b) for c, (_, members) in enumerate(found) for a, b in members], columns=columns)
+
+    def tiled(p: pd.DataFrame) -> pd.DataFrame:
+        n, low, high = (int(p[c].iloc[0]) for c in ("size", "low", "high"))
+        paths = []
+        for r in p.sort_values(["worth", "head"], ascending=[False, True]).itertuples():
+            at = np.array(r.places, np.int64)
+            paths.append((np.stack([at // n, at % n], axis=1).astype(np.int32), np.array(r.fits)))
+        found = sets_of_paths(apart(paths, low), n, low, high, most)
+        return pd.DataFrame([(p["log_id"].iloc[0], c, a, b) for c, (_, members) in enumerate(found) for a, b in members], columns=columns)
+
+    facts = rows.groupBy("log_id").agg(F.count("*").alias("_n"), F.min("low").alias("low"), F.min("high").alias("high"))
+    facts = written(facts, "lengths")
+    long = facts.where(F.col("_n") > tile).drop("_n")
+    short = rows.join(facts.where(F.col("_n") <= tile).select("log_id"), "log_id", "left_semi")
+    out = short.groupBy("log_id").applyInPandas(whole, f"log_id {kind}, {schema}")
+    if long.isEmpty():
+        return out
+    series = numbered(rows.join(long.select("log_id"), "log_id", "left_semi").select("log_id", "event_index", "v"), ["log_id"], ["event_index"], "at")
+    paths = long_paths(written(series.select("log_id", "at", "v"), "series"), long.select("log_id", "low"), rho, tile)
+    return out.unionByName(paths.join(long, "log_id").groupBy("log_id").applyInPandas(tiled, f"log_id {kind}, {schema}"))
 
 
 def vector_motifs(log: DataFrame, m: int, most: int = 10, denominator: int = 1, vector: str = "vector") -> DataFrame:
