@@ -181,6 +181,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     root = convs.agg(F.min("conv").alias("rep"), F.count("*").alias("n"), F.max("length").alias("deepest")).first()
     prefixes = _prefixes(convs, turns, root.deepest or 0)
     nodes = prefixes.where("depth > 0").groupBy("depth", "names").agg(F.min("conv").alias("rep"), F.count("*").alias("n"), F.max("length").alias("deepest"))
+    nodes = written(nodes, "nodes")  # by itself, so that the join of a node that most conversations pass can be split
     members = prefixes.where("depth > 0").join(nodes, ["depth", "names"]).drop("names")
     at_root = [F.lit(root[x]).cast("long").alias(x) for x in ("rep", "n", "deepest")]
     members = members.unionByName(prefixes.where("depth = 0").select("conv", "length", "depth", "size", *at_root))
