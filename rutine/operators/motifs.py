@@ -1,4 +1,4 @@
-"""Motif search in the series of one log: matrix profiles, pan-profiles, time-warped motif sets. A log is one task."""
+"""Motif search in the series of one log: matrix profiles, pan-profiles, time-warped motif sets. Long logs are many tasks."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.operators.features import standardized
+from rutine.operators.bands import banded, in_order, pairs_of, spans
 from rutine.operators.scans import numbered
 from rutine.operators.warped import DIGITS, TILE, apart, long_paths, paths_of, scale_of
 from rutine.plans.shipping import ship
@@ -43,14 +44,21 @@ def symbol_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other
     """(distances, neighbours, nearest on the left, on the right) of each window of length m; k columns, nearest first.
 
     Within one series, windows closer than the exclusion zone are no neighbours. inf and -1 stand for none."""
+    p, at, _, beside = band_profile(ids, costs, m, k, other, denominator)
+    return p, at, beside[:, 0], beside[:, 1]
+
+
+def band_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other: np.ndarray | None = None, denominator: int = 4, band: int = 0, of: int = 1):
+    """(distances, neighbours, nearest distance and neighbour on the left and on the right) over one of `of` bands of diagonals."""
     b = ids if other is None else other
     n = max(0, len(ids) - m + 1)
     p, at = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
     side = np.full((n, 2), np.inf), np.full((n, 2), -1, np.int64)
 
     def offer(rows, d, place):
+        less = np.zeros(len(d), bool)
         for c in range(k):
-            less = d < p[rows, c]
+            less |= d < p[rows, c]  # what has made room goes before all that is no nearer
             if not less.any():
                 continue
             old_d, old_at = p[rows, c].copy(), at[rows, c].copy()
@@ -63,6 +71,10 @@ def symbol_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other
 
     first = exclusion(m, denominator) + 1
     span = range(first, len(b) - m + 1) if other is None else range(-(len(ids) - m), len(b) - m + 1)
+    if of > 1:
+        d = np.array(span)
+        start, stop = spans(np.minimum(len(ids) - np.maximum(0, -d), len(b) - np.maximum(0, d)) - m + 1, of)[band]
+        span = span[start:stop]
     for i, j, d in diagonal_means(ids, b, costs, m, span):
         left, right = np.arange(i, i + len(d)), np.arange(j, j + len(d))
         offer(left, d, right)
@@ -70,7 +82,7 @@ def symbol_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other
         if other is None:
             offer(right, d, left)
             beside(right, d, left, 0)
-    return p, at, side[1][:, 0], side[1][:, 1]
+    return p, at, *side
 
 
 def series_profile(x: np.ndarray, m: int, denominator: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -317,19 +329,31 @@ def _grouped(df: DataFrame, run, schema: str) -> DataFrame:
 
 
 def _symbols(p: pd.DataFrame, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.array(p.sort_values("event_index")["levels"].tolist())
-    levels, ids = np.unique(rows, axis=0, return_inverse=True)
+    return _coded(p.sort_values("event_index")["levels"].tolist(), weights)
+
+
+def _coded(levels: list, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    levels, ids = np.unique(np.array(levels), axis=0, return_inverse=True)
     return ids.ravel(), symbol_costs(levels, weights)
 
 
-def matrix_profile(log: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
-    """(log_id, i, distances, neighbours, left, right) of each window of length m of logs with `levels`."""
+def _profiles(work: DataFrame, weights: list[float]) -> DataFrame:
+    """Profiles of work (log_id, a, b, m, k): windows of length m of the levels a among those of b, or, where b is null, of a itself."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        d, at, left, right = symbol_profile(*_symbols(p, weights), m, k)
-        return pd.DataFrame({"log_id": p["log_id"].iloc[0], "i": np.arange(len(d)), "distances": list(d), "neighbours": list(at), "left": left, "right": right})
+    def part(row, band, bands):
+        a, b = row["a"], row["b"]
+        ids, costs = _coded(a + (b or []), weights)
+        return band_profile(ids[: len(a)], costs, row["m"], row["k"], None if b is None else ids[len(a) :], band=band, of=bands)
+
+    alone, n = F.col("b").isNull(), F.size("a")
+    return banded(work.withColumn("alone", alone).withColumn("pairs", pairs_of(n, F.when(alone, n).otherwise(F.size("b")), F.col("m")) / F.when(alone, 2).otherwise(1)), part)
 
-    return _grouped(log.select("log_id", "event_index", "levels"), run, "i long, distances array<double>, neighbours array<long>, left long, right long")
+
+def matrix_profile(log: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
+    """(log_id, i, distances, neighbours, left, right) of each window of length m of logs with `levels`. A long log's diagonals are dealt over tasks."""
+    none = F.lit(None).cast(log.select(F.array("levels")).schema[0].dataType)
+    work = in_order(log, "levels", "a").select("log_id", "a", none.alias("b"), F.lit(m).alias("m"), F.lit(k).alias("k"))
+    return _profiles(work, weights).drop("m")
 
 
 def smallest(profile: DataFrame, n: int = 10) -> DataFrame:
@@ -345,47 +369,29 @@ def profile_motifs(log: DataFrame, weights: list[float], m: int, top: int = 5) -
     """The best motifs of each log by its profile, with exclusion zones: (log_id, rank, i, j, distance)."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        d, at, _, _ = symbol_profile(*_symbols(p, weights), m)
-        rows = [(p["log_id"].iloc[0], r + 1, *x) for r, x in enumerate(top_motifs(d[:, 0], at[:, 0], top, m))] if len(d) else []
-        return pd.DataFrame(rows, columns=["log_id", "rank", "i", "j", "distance"])
+        p = p.sort_values("i")
+        found = top_motifs(p["distance"].to_numpy(), p["neighbour"].to_numpy(), top, m)
+        return pd.DataFrame([(p["log_id"].iloc[0], r + 1, *x) for r, x in enumerate(found)], columns=["log_id", "rank", "i", "j", "distance"])
 
-    return _grouped(log.select("log_id", "event_index", "levels"), run, "rank int, i long, j long, distance double")
+    profile = matrix_profile(log, weights, m).select("log_id", "i", F.get("distances", F.lit(0)).alias("distance"), F.get("neighbours", F.lit(0)).alias("neighbour"))
+    return _grouped(profile, run, "rank int, i long, j long, distance double")
 
 
 def pan_profile(log: DataFrame, weights: list[float], low: int, high: int, step: int = 1, k: int = 1, most: int | None = None) -> DataFrame:
-    """(log_id, m, i, distance, neighbour, distances, neighbours) for every length from low to high, k neighbours each. Each (log, length) is a task of its own.
+    """(log_id, m, i, distance, neighbour, distances, neighbours) for every length from low to high, k neighbours each. Each (log, length) is a task of its own, or several.
 
     `most` is an anytime budget: so many lengths, in an order that halves what lies between; all if it is null."""
-    ship(log.sparkSession)
-    kind = log.schema["log_id"].dataType.simpleString()
     lengths = balanced_lengths(low, high, step)[:most]
-    rows = log.select("log_id", "event_index", "levels", F.explode(F.array(*map(F.lit, lengths))).alias("m"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        m = int(p["m"].iloc[0])
-        d, at, _, _ = symbol_profile(*_symbols(p, weights), m, k)
-        return pd.DataFrame({"log_id": p["log_id"].iloc[0], "m": m, "i": np.arange(len(d)), "distance": d[:, 0], "neighbour": at[:, 0], "distances": list(d), "neighbours": list(at)})
-
-    return rows.groupBy("log_id", "m").applyInPandas(run, f"log_id {kind}, m int, i long, distance double, neighbour long, distances array<double>, neighbours array<long>")
+    none = F.lit(None).cast(log.select(F.array("levels")).schema[0].dataType)
+    work = in_order(log, "levels", "a").select("log_id", "a", none.alias("b"), F.explode(F.array(*map(F.lit, lengths))).alias("m"), F.lit(k).alias("k"))
+    out = _profiles(work, weights)
+    return out.select("log_id", "m", "i", F.get("distances", F.lit(0)).alias("distance"), F.get("neighbours", F.lit(0)).alias("neighbour"), "distances", "neighbours")
 
 
 def join_profile(log: DataFrame, other: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
     """(log_id, i, distances, neighbours) of each window of log among all windows of the log of that id in other, k of them, nearest first."""
-    ship(log.sparkSession)
-    kind = log.schema["log_id"].dataType.simpleString()
-
-    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame(columns=["log_id", "i", "distances", "neighbours"])
-        rows = [np.array(p.sort_values("event_index")["levels"].tolist()), np.array(q.sort_values("_at")["_levels"].tolist())]
-        levels, ids = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        ids = ids.ravel()
-        d, at, _, _ = symbol_profile(ids[: len(p)], symbol_costs(levels, weights), m, k, other=ids[len(p) :])
-        return pd.DataFrame({"log_id": p["log_id"].iloc[0], "i": np.arange(len(d)), "distances": list(d), "neighbours": list(at)})
-
-    left = log.select("log_id", "event_index", "levels")
-    right = other.select(F.col("log_id").alias("_log"), F.col("event_index").alias("_at"), F.col("levels").alias("_levels"))
-    return left.groupBy("log_id").cogroup(right.groupBy("_log")).applyInPandas(run, f"log_id {kind}, i long, distances array<double>, neighbours array<long>")
+    work = in_order(log, "levels", "a").join(in_order(other, "levels", "b"), "log_id").withColumns({"m": F.lit(m), "k": F.lit(k)})
+    return _profiles(work, weights).select("log_id", "i", "distances", "neighbours")
 
 
 def pan_motifs(pan: DataFrame, top: int = 10, separation: int = 5) -> DataFrame:
