@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,9 @@ def symbol_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other
     return p, at, beside[:, 0], beside[:, 1]
 
 
-def band_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other: np.ndarray | None = None, denominator: int = 4, band: int = 0, of: int = 1):
-    """(distances, neighbours, nearest distance and neighbour on the left and on the right) over one of `of` bands of diagonals."""
+def band_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other: np.ndarray | None = None, denominator: int = 4, band: int = 0, of: int = 1, share: int = 0, shares: int = 1, seed: int = 7):
+    """(distances, neighbours, nearest distance and neighbour on the left and on the right) over one of `of` bands of diagonals: of all
+    of them, or of one of `shares` seeded shares, in which diagonals of the whole matrix lie scattered."""
     b = ids if other is None else other
     n = max(0, len(ids) - m + 1)
     p, at = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
@@ -71,8 +73,10 @@ def band_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other:
 
     first = exclusion(m, denominator) + 1
     span = range(first, len(b) - m + 1) if other is None else range(-(len(ids) - m), len(b) - m + 1)
+    if shares > 1:
+        span = np.sort(np.random.default_rng(seed).permutation(np.array(span, np.int64))[share::shares]).tolist()
     if of > 1:
-        d = np.array(span)
+        d = np.array(span, np.int64)
         start, stop = spans(np.minimum(len(ids) - np.maximum(0, -d), len(b) - np.maximum(0, d)) - m + 1, of)[band]
         span = span[start:stop]
     for i, j, d in diagonal_means(ids, b, costs, m, span):
@@ -337,23 +341,46 @@ def _coded(levels: list, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
     return ids.ravel(), symbol_costs(levels, weights)
 
 
-def _profiles(work: DataFrame, weights: list[float]) -> DataFrame:
+def _profiles(work: DataFrame, weights: list[float], share: int = 0, shares: int = 1, seed: int = 7) -> DataFrame:
     """Profiles of work (log_id, a, b, m, k): windows of length m of the levels a among those of b, or, where b is null, of a itself."""
 
     def part(row, band, bands):
         a, b = row["a"], row["b"]
         ids, costs = _coded(a + (b or []), weights)
-        return band_profile(ids[: len(a)], costs, row["m"], row["k"], None if b is None else ids[len(a) :], band=band, of=bands)
+        return band_profile(ids[: len(a)], costs, row["m"], row["k"], None if b is None else ids[len(a) :], band=band, of=bands, share=share, shares=shares, seed=seed)
 
     alone, n = F.col("b").isNull(), F.size("a")
-    return banded(work.withColumn("alone", alone).withColumn("pairs", pairs_of(n, F.when(alone, n).otherwise(F.size("b")), F.col("m")) / F.when(alone, 2).otherwise(1)), part)
+    return banded(work.withColumn("alone", alone).withColumn("pairs", pairs_of(n, F.when(alone, n).otherwise(F.size("b")), F.col("m")) / F.when(alone, 2 * shares).otherwise(shares)), part)
+
+
+def _of_itself(log: DataFrame, m, k: int) -> DataFrame:
+    """Work of profiles of logs among themselves, for the length or lengths m."""
+    none = F.lit(None).cast(log.select(F.array("levels")).schema[0].dataType)
+    return in_order(log, "levels", "a").select("log_id", "a", none.alias("b"), m.alias("m"), F.lit(k).alias("k"))
+
+
+def anytime_profile(log: DataFrame, weights: list[float], m: int, k: int = 1, shares: int = 16, seed: int = 7, most: int | None = None, seconds: float | None = None, state: DataFrame | None = None, done: int = 0) -> tuple[DataFrame, int]:
+    """(profile, shares done): (log_id, i, distances, neighbours) as matrix_profile() has them, by shares of the diagonals, until `most` more are done or the time is up.
+
+    Diagonals are dealt to shares in a seeded order. What is known is a written table: give it and the number of shares back to go on, in this session or a later one. Before all shares are
+    done the distances are upper bounds, which only fall; after the last one the profile is exact. At least one share is done in each call."""
+    began, work, ended = time.monotonic(), _of_itself(log, F.lit(m), k), shares if most is None else min(shares, done + most)
+    while done < ended:
+        new = _profiles(work, weights, done, shares, seed).select("log_id", "i", "distances", "neighbours")
+        if state is not None:
+            offset = lambda at: at - F.col("i")
+            entry = lambda d, at: F.struct(d.alias("d"), F.when(at < 0, F.lit(1 << 62)).otherwise(2 * F.abs(offset(at)) + (offset(at) < 0).cast("long")).alias("order"), at.alias("at"))
+            new = new.unionByName(state).withColumn("_all", F.zip_with("distances", "neighbours", entry)).groupBy("log_id", "i").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_all"))), 1, k).alias("_all"))
+            new = new.select("log_id", "i", F.col("_all.d").alias("distances"), F.col("_all.at").alias("neighbours"))
+        state, done = written(new, "anytime"), done + 1
+        if seconds is not None and time.monotonic() - began > seconds:
+            break
+    return state, done
 
 
 def matrix_profile(log: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
     """(log_id, i, distances, neighbours, left, right) of each window of length m of logs with `levels`. A long log's diagonals are dealt over tasks."""
-    none = F.lit(None).cast(log.select(F.array("levels")).schema[0].dataType)
-    work = in_order(log, "levels", "a").select("log_id", "a", none.alias("b"), F.lit(m).alias("m"), F.lit(k).alias("k"))
-    return _profiles(work, weights).drop("m")
+    return _profiles(_of_itself(log, F.lit(m), k), weights).drop("m")
 
 
 def smallest(profile: DataFrame, n: int = 10) -> DataFrame:
@@ -380,12 +407,34 @@ def profile_motifs(log: DataFrame, weights: list[float], m: int, top: int = 5) -
 def pan_profile(log: DataFrame, weights: list[float], low: int, high: int, step: int = 1, k: int = 1, most: int | None = None) -> DataFrame:
     """(log_id, m, i, distance, neighbour, distances, neighbours) for every length from low to high, k neighbours each. Each (log, length) is a task of its own, or several.
 
-    `most` is an anytime budget: so many lengths, in an order that halves what lies between; all if it is null."""
+    `most` is a budget: so many lengths, in an order that halves what lies between; all if it is null."""
     lengths = balanced_lengths(low, high, step)[:most]
-    none = F.lit(None).cast(log.select(F.array("levels")).schema[0].dataType)
-    work = in_order(log, "levels", "a").select("log_id", "a", none.alias("b"), F.explode(F.array(*map(F.lit, lengths))).alias("m"), F.lit(k).alias("k"))
-    out = _profiles(work, weights)
-    return out.select("log_id", "m", "i", F.get("distances", F.lit(0)).alias("distance"), F.get("neighbours", F.lit(0)).alias("neighbour"), "distances", "neighbours")
+    return _pan(_profiles(_of_itself(log, F.explode(F.array(*map(F.lit, lengths))), k), weights))
+
+
+def _pan(profiles: DataFrame) -> DataFrame:
+    return profiles.select("log_id", "m", "i", F.get("distances", F.lit(0)).alias("distance"), F.get("neighbours", F.lit(0)).alias("neighbour"), "distances", "neighbours")
+
+
+def anytime_pan(log: DataFrame, weights: list[float], low: int, high: int, step: int = 1, k: int = 1, most: int | None = None, seconds: float | None = None, done: dict[int, DataFrame] | None = None) -> dict[int, DataFrame]:
+    """{length: rows as pan_profile() has them}, each a written table, in the order of balanced_lengths(), until `most` more lengths are done or the time is up.
+
+    Give the result back as `done` to go on. together(list(result.values())) reads all of it; at least one length is done in each call, if one is left."""
+    began, out = time.monotonic(), dict(done or {})
+    for m in [m for m in balanced_lengths(low, high, step) if m not in out][:most]:
+        out[m] = written(_pan(_profiles(_of_itself(log, F.lit(m), k), weights)), "pan")
+        if seconds is not None and time.monotonic() - began > seconds:
+            break
+    return out
+
+
+def refined(found: DataFrame, pan: DataFrame, delta: int = 2) -> DataFrame:
+    """Motifs (log_id, m, i, j, distance, score) moved to the best of the starts within delta places of their own: the nearest pair there by the
+    pan-profile, ties to the smaller move, then to the left. rho is 1 - distance² / (2 m)."""
+    near = found.withColumn("_i", F.explode(F.sequence(F.col("i") - delta, F.col("i") + delta)))
+    rows = pan.select("log_id", "m", F.col("i").alias("_i"), F.col("neighbour").alias("_j"), F.col("distance").alias("_d")).where("neighbour >= 0")
+    best = near.join(rows, ["log_id", "m", "_i"]).groupBy("log_id", "m", "i", "j", "score").agg(F.min(F.struct("_d", F.abs(F.col("_i") - F.col("i")).alias("_move"), "_i", "_j")).alias("b"))
+    return best.select("log_id", "m", F.col("b._i").alias("i"), F.col("b._j").alias("j"), F.col("b._d").alias("distance"), "score", (1 - F.col("b._d") * F.col("b._d") / (2 * F.col("m"))).alias("rho"))
 
 
 def join_profile(log: DataFrame, other: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
