@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rutine.functions.scalars import num_to_letters, row_key
+from rutine.operators.scans import BLOCK, beside, running
 from rutine.operators.sequence import bigram_table, bigrams, in_log, islands, running_total, within_ranges
 from rutine.plans.shipping import ship
 from rutine.plans.tables import drop, together, written
@@ -15,10 +16,10 @@ from rutine.plans.tables import drop, together, written
 RULES = "log_id, level, rank, left, right, new_symbol, count"
 
 
-def _rules(seq: DataFrame, level: int, before: DataFrame | None, mark: str) -> DataFrame:
+def _rules(seq: DataFrame, level: int, before: DataFrame | None, mark: str, long: bool = False) -> DataFrame:
     """The pairs of this level, most frequent first and then earliest; names go on where earlier levels ended."""
     order = Window.partitionBy("log_id").orderBy(F.desc("count"), "first_pos")
-    pairs = bigram_table(seq, "symbol", positions=False).where("count >= 2").withColumn("rank", F.row_number().over(order))
+    pairs = bigram_table(seq, "symbol", positions=False, long=long).where("count >= 2").withColumn("rank", F.row_number().over(order))
     if before is None:
         pairs = pairs.withColumn("_past", F.lit(0))
     else:
@@ -27,30 +28,46 @@ def _rules(seq: DataFrame, level: int, before: DataFrame | None, mark: str) -> D
     return pairs.select("log_id", F.lit(level).alias("level"), "rank", "left", "right", name.alias("new_symbol"), "count")
 
 
-def replace_pairs(seq: DataFrame, rules: DataFrame) -> DataFrame:
+def replace_pairs(seq: DataFrame, rules: DataFrame, long: bool = False) -> DataFrame:
     """One level: rules are applied by rank, left to right, without overlap, in a closed form.
 
     An edge stands for a pair of neighbours; edges of a rule are candidates, ordered by (rank, position). One that comes before both
-    of its neighbours is applied. From there on every second edge is, as far as its neighbours keep coming earlier on that side."""
-    edges = bigrams(seq, "symbol").join(rules.select("log_id", "left", "right", "rank", "new_symbol"), ["log_id", "left", "right"], "left")
+    of its neighbours is applied. From there on every second edge is, as far as its neighbours keep coming earlier on that side.
+    With `long` the rows of a log are dealt in blocks, the nearest such edges being carried from block to block."""
+    edges = bigrams(seq, "symbol", long).join(rules.select("log_id", "left", "right", "rank", "new_symbol"), ["log_id", "left", "right"], "left")
     own = F.when(F.col("rank").isNotNull(), F.struct("rank", "event_index"))
-    edges = edges.withColumn("_own", own).withColumn("_l", F.lag("_own").over(in_log())).withColumn("_r", F.lead("_own").over(in_log()))
-    l_first, r_first = F.coalesce(F.col("_l") < F.col("_own"), F.lit(False)), F.coalesce(F.col("_r") < F.col("_own"), F.lit(False))
-    lowest = F.when(F.col("_own").isNotNull() & ~l_first & ~r_first, F.col("event_index"))
-    edges = edges.withColumns({"_lf": l_first, "_rf": r_first, "_low": lowest})
-    edges = edges.withColumn("_L", F.last("_low", ignorenulls=True).over(in_log().rowsBetween(Window.unboundedPreceding, 0)))
-    edges = edges.withColumn("_R", F.first("_low", ignorenulls=True).over(in_log().rowsBetween(0, Window.unboundedFollowing)))
+    edges, order, mine = edges.withColumn("_pair", own), in_log(), F.lit(True)
+    if long:
+        edges, order = beside(written(edges, "edges"), ["log_id"], "event_index", 1, 1)
+        mine = F.col("_own")
+    edges = edges.withColumn("_l", F.lag("_pair").over(order)).withColumn("_r", F.lead("_pair").over(order))
+    l_first, r_first = F.coalesce(F.col("_l") < F.col("_pair"), F.lit(False)), F.coalesce(F.col("_r") < F.col("_pair"), F.lit(False))
+    lowest = F.when(F.col("_pair").isNotNull() & ~l_first & ~r_first, F.col("event_index"))
+    edges = edges.withColumns({"_lf": l_first, "_rf": r_first, "_low": lowest}).where(mine)
+    if long:
+        edges = written(edges.select("log_id", "event_index", "new_symbol", "_pair", "_lf", "_rf", "_low", (-F.col("event_index")).alias("_back")), "edges")
+        edges = running(edges, ["log_id"], "event_index", {"_L": ("last", F.col("_low"))})
+        edges = running(edges, ["log_id"], "_back", {"_R": ("last", F.col("_low"))})
+    else:
+        edges = edges.withColumn("_L", F.last("_low", ignorenulls=True).over(in_log().rowsBetween(Window.unboundedPreceding, 0)))
+        edges = edges.withColumn("_R", F.first("_low", ignorenulls=True).over(in_log().rowsBetween(0, Window.unboundedFollowing)))
     even_l, even_r = (F.col("event_index") - F.col("_L")) % 2 == 0, (F.col("_R") - F.col("event_index")) % 2 == 0
     chosen = F.col("_low").isNotNull() | ((F.col("_lf") | F.col("_rf")) & (~F.col("_lf") | even_l) & (~F.col("_rf") | even_r))
-    chosen = edges.where(F.col("_own").isNotNull() & F.coalesce(chosen, F.lit(False))).select("log_id", "event_index", "new_symbol")
+    chosen = edges.where(F.col("_pair").isNotNull() & F.coalesce(chosen, F.lit(False))).select("log_id", "event_index", "new_symbol")
+    if long:  # the place behind an applied pair goes, and a place moves by the pairs applied before it
+        chosen = written(chosen, "chosen")
+        gone = chosen.select("log_id", (F.col("event_index") + 1).alias("event_index"), F.lit(True).alias("_gone"))
+        rows = seq.join(chosen, ["log_id", "event_index"], "left").join(gone, ["log_id", "event_index"], "left")
+        rows = running(written(rows, "rows"), ["log_id"], "event_index", {"_moved": ("count", F.col("_gone"))}).where("_gone IS NULL")
+        return rows.select(*[F.coalesce("new_symbol", "symbol").alias(c) if c == "symbol" else (F.col(c) - F.col("_moved")).alias(c) if c == "event_index" else F.col(c) for c in seq.columns])
     rows = seq.join(chosen, ["log_id", "event_index"], "left")
     rows = rows.withColumn("_gone", F.lag("new_symbol").over(in_log()).isNotNull()).where("NOT _gone")
     rows = rows.withColumn("symbol", F.coalesce("new_symbol", "symbol")).drop("new_symbol", "_gone")
     return rows.withColumn("event_index", F.row_number().over(in_log()) - F.lit(1).cast("long"))
 
 
-def re_pair(log: DataFrame, column: str = "symbol") -> tuple[DataFrame, DataFrame]:
-    """(rules, encoded sequences) of all logs at once, level by level until no pair occurs twice.
+def re_pair(log: DataFrame, column: str = "symbol", long: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rules, encoded sequences) of all logs at once, level by level until no pair occurs twice. `long` deals the rows of each log in blocks.
 
     Rules are named a, b, ...; where symbols of the column may be called so, all names get a mark in front that no symbol has.
 
@@ -62,10 +79,10 @@ def re_pair(log: DataFrame, column: str = "symbol") -> tuple[DataFrame, DataFram
     small = seq.where(F.col("symbol").rlike("^~*[a-z]+$")).agg(F.max(F.length(F.regexp_extract("symbol", "^~*", 0)))).first()[0]
     mark = "" if small is None else "~" * (small + 1)
     while True:
-        new = written(_rules(seq, level, together(made) if made else None, mark), "rules")
+        new = written(_rules(seq, level, together(made) if made else None, mark, long), "rules")
         if new.isEmpty():
             return together(made or [new]), seq
-        old, seq = seq, written(replace_pairs(seq, new), "sequence")
+        old, seq = seq, written(replace_pairs(seq, new, long), "sequence")
         drop(old)
         made.append(new)
         level += 1
@@ -107,12 +124,13 @@ def rules_with(rules: DataFrame, symbol: str, recursive: bool = False) -> DataFr
     return found
 
 
-def rule_density(log: DataFrame, patterns: DataFrame, column: str = "symbol") -> DataFrame:
+def rule_density(log: DataFrame, patterns: DataFrame, column: str = "symbol", long: bool = False) -> DataFrame:
     """log with rule_density_count: how many occurrences of patterns (log_id, expansion) cover each event. Overlaps and
     patterns that are there twice count. Starts and ends are summed along the log.
 
     Lengths from one power of two to the next are one equi-join of arrays, over the logs that have such patterns and the lengths that each has.
-    Each such join is a job that writes its steps, so no plan grows with the number of lengths, however many logs bring them."""
+    Each such join is a job that writes its steps, so no plan grows with the number of lengths, however many logs bring them. `long` deals the
+    rows of each log in blocks, whose counts are carried on."""
     log = log.withColumn("event_index", F.col("event_index").cast("long"))
     whole = patterns.where(~F.exists("expansion", lambda x: x.isNull())).groupBy("log_id", "expansion").agg(F.count("*").alias("k"))
     counted = written(whole.withColumn("_n", F.size("expansion")).withColumn("_bits", F.length(F.bin("_n"))), "patterns")
@@ -122,8 +140,10 @@ def rule_density(log: DataFrame, patterns: DataFrame, column: str = "symbol") ->
     rows, steps = written(log.select("log_id", "event_index", F.array(column).alias("_symbol")), "events"), []
     for bits, most in longest:
         some = counted.where(F.col("_bits") == bits)
-        ahead = F.flatten(F.collect_list("_symbol").over(in_log().rowsBetween(0, most - 1)))
-        here = rows.join(some.groupBy("log_id").agg(F.collect_set("_n").alias("_lengths")), "log_id").select("log_id", "event_index", ahead.alias("_ahead"), "_lengths")
+        here, order = beside(rows, ["log_id"], "event_index", 0, most - 1, max(BLOCK, most)) if long else (rows.withColumn("_own", F.lit(True)), in_log())
+        ahead = F.flatten(F.collect_list("_symbol").over(order.rowsBetween(0, most - 1)))
+        here = here.select("log_id", "event_index", ahead.alias("_ahead"), "_own").where("_own") if long else here.withColumn("_ahead", ahead)
+        here = here.join(some.groupBy("log_id").agg(F.collect_set("_n").alias("_lengths")), "log_id").select("log_id", "event_index", "_ahead", "_lengths")
         here = here.select("log_id", "event_index", "_ahead", F.explode("_lengths").alias("_n")).where(F.size("_ahead") >= F.col("_n"))
         hits = here.select("log_id", "event_index", F.slice("_ahead", 1, F.col("_n")).alias("expansion")).join(some, ["log_id", "expansion"])
         ends = F.array(F.struct(F.col("event_index").alias("event_index"), F.col("k").alias("k")), F.struct((F.col("event_index") + F.col("_n")).alias("event_index"), (-F.col("k")).alias("k")))
@@ -131,12 +151,16 @@ def rule_density(log: DataFrame, patterns: DataFrame, column: str = "symbol") ->
         steps.append(written(part, "steps"))
     drop(rows, counted)
     step = together(steps).groupBy("log_id", "event_index").agg(F.sum("_step").alias("_step"))
-    return log.join(step, ["log_id", "event_index"], "left").withColumn("rule_density_count", running_total(F.coalesce("_step", F.lit(0))).cast("long")).drop("_step")
+    out = log.join(step, ["log_id", "event_index"], "left")
+    if long:
+        out = running(written(out, "steps"), ["log_id"], "event_index", {"rule_density_count": ("sum", F.coalesce("_step", F.lit(0)))})
+        return out.withColumn("rule_density_count", F.col("rule_density_count").cast("long")).drop("_step")
+    return out.withColumn("rule_density_count", running_total(F.coalesce("_step", F.lit(0))).cast("long")).drop("_step")
 
 
-def density_of(log: DataFrame, rules: DataFrame, column: str = "symbol") -> DataFrame:
+def density_of(log: DataFrame, rules: DataFrame, column: str = "symbol", long: bool = False) -> DataFrame:
     """Rule density of a log by its own grammar; base symbols that take part in rules count like rules of length 1."""
-    return rule_density(log, expansions(rules, base=True), column)
+    return rule_density(log, expansions(rules, base=True), column, long)
 
 
 def cutoffs(log: DataFrame, method: str = "percentile", value: float = 0.9, column: str = "rule_density_count") -> DataFrame:
@@ -151,10 +175,10 @@ def cutoffs(log: DataFrame, method: str = "percentile", value: float = 0.9, colu
     return log.groupBy("log_id").agg(how[method].cast("double").alias("cutoff"))
 
 
-def cores(log: DataFrame, method: str = "percentile", value: float = 0.9, merge_gap: int | None = None, column: str = "rule_density_count") -> DataFrame:
+def cores(log: DataFrame, method: str = "percentile", value: float = 0.9, merge_gap: int | None = None, column: str = "rule_density_count", long: bool = False) -> DataFrame:
     """Runs of events at or above the cutoff: (log_id, core_id, start_index, end_index, length). No such event: no core."""
     dense = log.join(cutoffs(log, method, value, column), "log_id").where(F.col(column) >= F.col("cutoff"))
-    found = islands(dense.select("log_id", "event_index"), merge_gap)
+    found = islands(dense.select("log_id", "event_index"), merge_gap, long)
     return found.withColumn("core_id", F.row_number().over(Window.partitionBy("log_id").orderBy("start_index")) - 1)
 
 
@@ -215,12 +239,12 @@ def path_walk(log: DataFrame, core: DataFrame, columns: list[str], share: float
     return core.join(found, ["log_id", "core_id"])
 
 
-def reduce_log(log: DataFrame, core: DataFrame, margin_factor: float = 2.0, lower: str = "lower_pattern_switch", upper: str = "upper_pattern_switch") -> DataFrame:
+def reduce_log(log: DataFrame, core: DataFrame, margin_factor: float = 2.0, lower: str = "lower_pattern_switch", upper: str = "upper_pattern_switch", long: bool = False) -> DataFrame:
     """Events around cores: bounds are widened by margin_factor times their distance; the last event of a log is never kept."""
     ends = log.groupBy("log_id").agg(F.max("event_index").alias("_last"))
     margin = (F.col(upper) - F.col(lower)) * margin_factor
     ranges = core.join(ends, "log_id").select("log_id", F.ceil(F.greatest(F.lit(0.0), F.col(lower) - margin)).cast("long").alias("lo"), F.ceil(F.least(F.col(upper) + margin, F.col("_last").cast("double"))).cast("long").alias("hi"))
-    return within_ranges(log, ranges)
+    return within_ranges(log, ranges, long)
 
 
 def motif_length_bounds(core: DataFrame, margin_factor: float = 2.0, lower: str = "lower_pattern_switch", upper: str = "upper_pattern_switch") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rutine.operators.components import component_labels
+from rutine.operators.scans import numbered, running
 from rutine.plans.shipping import ship
 from rutine.plans.tables import written
 
@@ -67,13 +68,17 @@ def analyze_overlaps(motifs: DataFrame, core: DataFrame) -> tuple[DataFrame, Dat
     return m, c
 
 
-def merge_overlaps(spans: DataFrame, first_columns: tuple[str, ...] = ()) -> DataFrame:
+def merge_overlaps(spans: DataFrame, first_columns: tuple[str, ...] = (), long: bool = False) -> DataFrame:
     """Intervals (log_id, id, start, end, flag) that share an index become one: members, an or of flags, and first_columns of the first.
 
-    Intervals that only touch, one ending before the other starts, stay apart."""
-    order = Window.partitionBy("log_id").orderBy("start", "end", "id")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("_new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    Intervals that only touch, one ending before the other starts, stay apart. `long` deals the intervals of each log in blocks."""
+    if long:
+        told = running(numbered(spans, ["log_id"], ["start", "end", "id"], "_at"), ["log_id"], "_at", {"_reach": ("max", F.col("end"))}, itself=False)
+        runs = running(told.withColumn("_new", F.coalesce(F.col("start") > F.col("_reach"), F.lit(True)).cast("long")), ["log_id"], "_at", {"_run": ("sum", F.col("_new"))})
+    else:
+        order = Window.partitionBy("log_id").orderBy("start", "end", "id")
+        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        runs = spans.withColumn("_new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
     firsts = [F.min_by(c, F.struct("start", "end", "id")).alias(c) for c in first_columns]
     out = runs.groupBy("log_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_set("id")).alias("members"), F.max("flag").alias("flag"), *firsts)
     return out.withColumn("length", F.expr("end - start + 1")).drop("_run")

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from rutine.plans.tables import written
 
@@ -76,3 +76,21 @@ def running(df: DataFrame, keys: list[str], at: str, values: dict[str, tuple[str
     out = near.join(carried, _same(near, carried, keys) & (near["_block"] == carried["__block"]))
     done = {name: _with_carry(kind, F.col(f"_far_{name}"), F.col(f"_near_{name}")) for name, (kind, _) in values.items()}
     return out.select(*df.columns, *[c.alias(name) for name, c in done.items()])
+
+
+#: Rows of a log from which on it is worth dealing it in blocks.
+LONG = 1 << 20
+
+
+def has_long(df: DataFrame, key: str = "log_id", least: int = LONG) -> bool:
+    """Whether some key has so many rows that it should be dealt in blocks."""
+    return not df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).isEmpty()
+
+
+def beside(df: DataFrame, keys: list[str], at: str, before: int, after: int, block: int = BLOCK) -> tuple[DataFrame, WindowSpec]:
+    """(rows, window): df dealt in blocks with the rows up to `before` places before and `after` places after each block, and a window in order of `at` over a block.
+
+    Places are distinct integers without gaps. Functions over frames that reach no further are right in rows with _own, which are those of df."""
+    blocks = F.sequence(F.floor((F.col(at) - after) / block), F.floor((F.col(at) + before) / block))
+    rows = df.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == F.floor(F.col(at) / block))
+    return rows, Window.partitionBy(*keys, "_block").orderBy(at)

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from rutine.functions.scalars import num_to_letters, row_key
+from rutine.operators.scans import BLOCK, beside, numbered, running
 
 
 def in_log(*more: str) -> WindowSpec:
     return Window.partitionBy("log_id", *more).orderBy("event_index")
 
 
-def reindex(log: DataFrame, name: str = "event_index") -> DataFrame:
-    """Positions 0, 1, ... of what is left of each log."""
+def reindex(log: DataFrame, name: str = "event_index", long: bool = False) -> DataFrame:
+    """Positions 0, 1, ... of what is left of each log.
+
+    Here and below, `long` deals the rows of each log in blocks, so that no log is one task. It gives the same, and costs some jobs more."""
+    if long:
+        return numbered(log, ["log_id"], ["event_index"], "_at").withColumn(name, F.col("_at")).drop("_at")
     return log.withColumn(name, F.row_number().over(in_log()) - F.lit(1).cast("long"))
 
 
@@ -59,24 +64,33 @@ def lookup(df: DataFrame, known: DataFrame, columns: list[str], name: str = "id"
     return df.join(other, on, "left").select(*df.columns, F.coalesce("_id", F.lit(absent).cast("long")).alias(name))
 
 
-def bigrams(log: DataFrame, column: str = "symbol") -> DataFrame:
+def bigrams(log: DataFrame, column: str = "symbol", long: bool = False) -> DataFrame:
     """Every adjacent pair: (log_id, event_index, left, right). Overlapping pairs all count."""
-    pairs = log.select("log_id", "event_index", F.col(column).alias("left"), F.lead(column).over(in_log()).alias("right"), F.lead("event_index").over(in_log()).alias("_next"))
-    return pairs.where("_next IS NOT NULL").drop("_next")
+    rows, order, own = log.select("log_id", "event_index", column), in_log(), F.lit(True)
+    if long:
+        rows, order = beside(numbered(rows, ["log_id"], ["event_index"], "_at"), ["log_id"], "_at", 0, 1)
+        own = F.col("_own")
+    pairs = rows.select("log_id", "event_index", F.col(column).alias("left"), F.lead(column).over(order).alias("right"), F.lead("event_index").over(order).alias("_next"), own.alias("_own"))
+    return pairs.where("_next IS NOT NULL AND _own").drop("_next", "_own")
 
 
-def bigram_table(log: DataFrame, column: str = "symbol", positions: bool = True) -> DataFrame:
+def bigram_table(log: DataFrame, column: str = "symbol", positions: bool = True, long: bool = False) -> DataFrame:
     """Counts of adjacent pairs, with their first position and, on demand, all of them; most frequent first, then earliest."""
     what = [F.count("*").alias("count"), F.min("event_index").alias("first_pos")]
     if positions:
         what.append(F.sort_array(F.collect_list("event_index")).alias("positions"))
-    return bigrams(log, column).groupBy("log_id", "left", "right").agg(*what)
+    return bigrams(log, column, long).groupBy("log_id", "left", "right").agg(*what)
 
 
-def islands(rows: DataFrame, merge_gap: int | None = None) -> DataFrame:
+def islands(rows: DataFrame, merge_gap: int | None = None, long: bool = False) -> DataFrame:
     """Runs of consecutive event_index: (log_id, start_index, end_index, length), length counting the rows that are there.
 
     With merge_gap, runs whose distance from end to start is at most that become one."""
+    if long:  # a run starts where the row before is too far; runs are numbered by a running count
+        at, far = F.col("event_index"), max(1, merge_gap or 1)
+        told = running(rows.select("log_id", "event_index"), ["log_id"], "event_index", {"_before": ("last", at)}, itself=False)
+        told = running(told.withColumn("_new", F.when(at - F.col("_before") <= far, 0).otherwise(1)), ["log_id"], "event_index", {"_run": ("sum", F.col("_new"))})
+        return told.groupBy("log_id", "_run").agg(F.min("event_index").alias("start_index"), F.max("event_index").alias("end_index"), F.count("*").alias("length")).drop("_run")
     run = F.col("event_index") - F.row_number().over(in_log())
     out = rows.select("log_id", "event_index").withColumn("_run", run).groupBy("log_id", "_run").agg(F.min("event_index").alias("start_index"), F.max("event_index").alias("end_index"), F.count("*").alias("length")).drop("_run")
     if merge_gap is None:
@@ -87,23 +101,27 @@ def islands(rows: DataFrame, merge_gap: int | None = None) -> DataFrame:
     return out.groupBy("log_id", "_run").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"), F.sum("length").alias("length")).drop("_run")
 
 
-def rolling_clipped_mean(value: Column, n: int, most: float = 3600.0) -> Column:
+def rolling_clipped_mean(value: Column, n: int, most: float = 3600.0, order: WindowSpec | None = None) -> Column:
     """Mean of the last n values, each clipped to [0, most]; null until there are n rows."""
-    rows = in_log().rowsBetween(-(n - 1), 0)
+    rows = (order or in_log()).rowsBetween(-(n - 1), 0)
     clipped = F.least(F.greatest(value, F.lit(0.0)), F.lit(float(most)))
     return F.when(F.count(F.lit(1)).over(rows) == n, F.avg(clipped).over(rows))
 
 
-def time_gaps(log: DataFrame, ts: str = "ts", gap: float = 3600.0, n: int = 100) -> DataFrame:
+def time_gaps(log: DataFrame, ts: str = "ts", gap: float = 3600.0, n: int = 100, long: bool = False) -> DataFrame:
     """log with gap_seconds to the next row, modulo a day, and two flags: more than `gap` in all; more than the rolling mean.
 
     The last row has a gap of 0. Where the rolling mean is not there yet the flag is false."""
+    rows, order, columns = log, in_log(), log.columns
+    if long:
+        rows, order = beside(numbered(log, ["log_id"], ["event_index"], "_at"), ["log_id"], "_at", n, 1, max(n, BLOCK))
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    micros = F.lead(at).over(in_log()) - at
-    out = log.withColumn("_total", F.coalesce(micros / 1e6, F.lit(0.0)))
+    micros = F.lead(at).over(order) - at
+    out = rows.withColumn("_total", F.coalesce(micros / 1e6, F.lit(0.0)))
     out = out.withColumn("gap_static", F.col("_total") > gap).withColumn("gap_seconds", F.pmod(F.floor("_total"), F.lit(86400)))
-    out = out.withColumn("gap_mean", rolling_clipped_mean(F.col("gap_seconds").cast("double"), n))
-    return out.withColumn("gap_dynamic", F.coalesce(F.col("gap_mean") < F.col("gap_seconds"), F.lit(False))).drop("_total")
+    out = out.withColumn("gap_mean", rolling_clipped_mean(F.col("gap_seconds").cast("double"), n, order=order))
+    out = out.withColumn("gap_dynamic", F.coalesce(F.col("gap_mean") < F.col("gap_seconds"), F.lit(False)))
+    return (out.where("_own") if long else out).select(*columns, "gap_static", "gap_seconds", "gap_mean", "gap_dynamic")
 
 
 def break_window(log: DataFrame, ts: str = "ts", threshold: float = 950.0, percentile: float = 0.75) -> DataFrame:
@@ -170,15 +188,21 @@ def identifier_positions(log: DataFrame, column: str) -> DataFrame:
     return log.where(F.col(column).isNotNull()).groupBy("log_id", column).agg(F.sort_array(F.collect_list("event_index")).alias("positions"))
 
 
-def within_ranges(log: DataFrame, ranges: DataFrame) -> DataFrame:
+def within_ranges(log: DataFrame, ranges: DataFrame, long: bool = False) -> DataFrame:
     """Rows of the union of half-open ranges (log_id, lo, hi), with original_index, reindexed from 0. Ranges are merged first."""
-    order = Window.partitionBy("log_id").orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    merged = ranges.where("hi > lo").withColumn("_new", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int"))
-    merged = merged.withColumn("_run", F.sum("_new").over(order)).groupBy("log_id", "_run").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+    spans = ranges.where("hi > lo")
+    if long:
+        spans = numbered(spans.select("log_id", "lo", "hi"), ["log_id"], ["lo", "hi"], "_at")
+        told = running(spans, ["log_id"], "_at", {"_reach": ("max", F.col("hi"))}, itself=False)
+        told = running(told.withColumn("_new", F.coalesce(F.col("lo") > F.col("_reach"), F.lit(True)).cast("long")), ["log_id"], "_at", {"_run": ("sum", F.col("_new"))})
+    else:
+        order = Window.partitionBy("log_id").orderBy("lo", "hi")
+        reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        told = spans.withColumn("_new", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    merged = told.groupBy("log_id", "_run").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
     at = merged.select("log_id", F.explode(F.sequence("_lo", F.col("_hi") - 1)).alias("event_index"))
     kept = log.join(at, ["log_id", "event_index"])
-    return reindex(kept.withColumn("original_index", F.col("event_index")))
+    return reindex(kept.withColumn("original_index", F.col("event_index")), long=long)
 
 
 def union_logs(*logs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rutine.operators import evaluation, features, grammar, intervals, motifs, sequence
+from rutine.operators.scans import has_long
 from rutine.plans.tables import written
 
 
@@ -31,13 +32,15 @@ def discover(
     alignment to cores, and scores against truth (log_id, gt_id, gt_start, gt_end).
 
     Logs are independent, the lengths that are searched too: processing them together gives what each gives alone, but for the two embeddings
-    (encoding 0 and 1), which are trained on all. The search for motif sets is quadratic in a reduced log, which is one task; everything before it is spread by log and position."""
+    (encoding 0 and 1), which are trained on all. Grammar, density, cores and reduction of logs of a million events and more are dealt in blocks, similarities of long reduced logs in
+    tiles; symbols, switches and walks along paths are still one task for each log."""
     log = written(sequence.symbolize(log, columns), "log")
-    rules, _ = grammar.re_pair(log)
-    dense = written(grammar.density_of(log, rules), "dense")
-    core = grammar.app_switches(dense, grammar.cores(dense, "percentile", percentile), app)
+    long = has_long(log)
+    rules, _ = grammar.re_pair(log, long=long)
+    dense = written(grammar.density_of(log, rules, long=long), "dense")
+    core = grammar.app_switches(dense, grammar.cores(dense, "percentile", percentile, long=long), app)
     core = written(grammar.path_walk(dense, core, app, share), "cores")
-    reduced = written(grammar.reduce_log(dense, core, margin_factor), "reduced")
+    reduced = written(grammar.reduce_log(dense, core, margin_factor, long=long), "reduced")
     if "case_id" not in reduced.columns:
         reduced = reduced.withColumn("case_id", F.lit(None).cast("string"))
     length = grammar.motif_length_bounds(core, margin_factor)
@@ -48,7 +51,7 @@ def discover(
     order = Window.partitionBy("log_id").orderBy("orig_start", "orig_end", "cluster_id")
     a = mapped.select("log_id", (F.row_number().over(order) - 1).cast("long").alias("a_id"), F.col("orig_start").alias("a_start"), F.col("orig_end").alias("a_end"))
     b = core.select("log_id", F.col("core_id").cast("long").alias("b_id"), F.col("start_index").alias("b_start"), F.col("end_index").alias("b_end"))
-    final = intervals.final_motifs(intervals.merge_overlaps(intervals.extend_by_anchors(a, b).drop("members")))
+    final = intervals.final_motifs(intervals.merge_overlaps(intervals.extend_by_anchors(a, b).drop("members"), long=long))
     order = Window.partitionBy("log_id").orderBy("start")
     final = written(final.select("log_id", (F.row_number().over(order) - 1).cast("long").alias("motif_id"), F.col("start").alias("motif_start"), F.col("end").alias("motif_end")), "final")
     scores = written(evaluation.evaluate_motifs(final, written(truth, "truth"), threshold)[0], "scores")
