@@ -22,6 +22,8 @@ from rutine.llm.common import arrow_batches, table, written
 KINDS = ("assign", "access", "hex", "owned")
 #: A value under more owners than this is a copied example.
 MOST_OWNERS = 2
+#: A value of few owners that is in more repositories than this is shared among them.
+MOST_REPOSITORIES = 3
 #: Bits a character, over the value's own characters, below which a value does not look live.
 LEAST_BITS = 3.0
 
@@ -63,12 +65,14 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def find_secrets(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", most_owners: int = MOST_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """Findings of every text: returns (id, found), one row for each row of docs.
 
-    found is an array of (start, kind, end, value_hash, live, owners, repositories) by start and kind. A null text is an
-    empty one and has none. A null owner or repository counts as one of its own. Candidates
-    of the added kind stay only where at most most_owners owners have the value. Texts are read once and never shuffled; what
+    found is an array of (start, kind, end, value_hash, live, owners, repositories, verdict) by start and kind. A value under more than most_owners owners is
+    'copied', an example that is handed around; one of few owners but in more than most_repositories repositories is 'shared' within them; all
+    others are 'specific' to their owner. Both counts are over the whole corpus, and base findings are judged as well; they stay whatever the verdict, candidates
+    of the added kind only where it isn't 'copied'. A null text is an empty one and has none; a very long one is scanned whole. A null owner or repository counts as one of its own, and
+    a repository is one of its owner's: rows that repeat both count once. An empty table gives an empty one, and other columns are ignored. Texts are read once and never shuffled; what
     is counted is one row for each finding, first within a (value, owner, repository), so that a value copied into a third of
     all rows meets as counts only."""
     arrow_batches(docs.sparkSession)
@@ -90,8 +94,9 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, id_col: str
     by_owner = once.groupBy("value", "owner").agg(F.count("*").alias("repos"))
     spread = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     spread = written(spread, "spread")
-    judged = each.withColumn("value", F.col("f.value")).join(spread, "value").where(f"f.kind < 3 OR owners <= {int(most_owners)}")
-    facts = F.struct("f.start", "f.kind", "f.end", F.col("value").alias("value_hash"), "f.live", "owners", F.col("repos").alias("repositories"))
+    verdict = F.when(F.col("owners") > most_owners, "copied").when(F.col("repos") > most_repositories, "shared").otherwise("specific")
+    judged = each.withColumn("value", F.col("f.value")).join(spread, "value").withColumn("verdict", verdict).where("f.kind < 3 OR verdict <> 'copied'")
+    facts = F.struct("f.start", "f.kind", "f.end", F.col("value").alias("value_hash"), "f.live", "owners", F.col("repos").alias("repositories"), "verdict")
     judged = judged.groupBy("key").agg(F.array_sort(F.collect_list(facts)).alias("found"))
     out = scanned.select("key", "id").join(judged, "key", "left")
     none = F.array().cast(judged.schema["found"].dataType)
@@ -110,8 +115,10 @@ def op9_ownership(spark, sf_dir: str) -> DataFrame:
     out = find_secrets(docs, F.col("source"), F.col("doc_id"))
     base = F.filter("found", lambda x: x["kind"] < 3)
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
-    copied = F.size(F.filter("found", lambda x: x["owners"] > MOST_OWNERS)).cast("long")
+    told = lambda v: F.size(F.filter("found", lambda x: x["verdict"] == v)).cast("long")
+    live = F.size(F.filter("found", lambda x: x["live"] & (x["verdict"] == "specific"))).cast("long")
     return out.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"), copied.alias("n_copied"), count(3).alias("n_owned"),
+        F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("found")).alias("spans"),
+        told("copied").alias("n_copied"), told("shared").alias("n_shared"), told("specific").alias("n_specific"), live.alias("n_live"), count(3).alias("n_owned"),
     )
