@@ -36,7 +36,8 @@ def embed_sequence(log: DataFrame, columns: list[str], size: int = 32, window: i
     rows = log.withColumn("_word", row_key(*columns))
     order = F.array_sort(F.collect_list(F.struct("event_index", "_word")))
     sentences = rows.groupBy("log_id").agg(F.transform(order, lambda x: x["_word"]).alias("_words"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, numPartitions=1, maxSentenceLength=10_000, inputCol="_words", outputCol="_vector").fit(sentences)
+    longest = sentences.agg(F.max(F.size("_words"))).first()[0] or 1  # no log is cut into several sentences
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, numPartitions=1, maxSentenceLength=max(1000, longest), inputCol="_words", outputCol="_vector").fit(sentences)
     from pyspark.ml.functions import vector_to_array
 
     words = model.getVectors().select(F.col("word").alias("_word"), vector_to_array("vector").alias("_vector"))

@@ -22,16 +22,22 @@ def type_counts(events: DataFrame, width: str = "10 minutes", slide: str | None
     return w.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "count")
 
 
-def app_runs(events: DataFrame, app: str = "event_type", key: str = "log_id", index: str = "event_index") -> DataFrame:
+def app_runs(events: DataFrame, app: str = "event_type", key: str = "log_id", index: str = "event_index", ts: str | None = None, late: str = "10 minutes", idle_ms: int = 3_600_000) -> DataFrame:
     """(key, app, start_index, end_index, length) of finished runs of one application, events of a key coming in order.
 
-    The state of a key is its open run; it is put out when the application changes."""
+    The state of a key is its open run; it is put out when the application changes. With ts, a key that has had no event for idle_ms of event time
+    is over once the watermark, `late` behind the latest event, has passed that: its last run is put out and its state goes. Without
+    ts states stay for as long as the stream runs."""
     kind = dict(events.dtypes)[key]
     out = f"{key} {kind}, app string, start_index long, end_index long, length long"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_ = state.get if state.exists else None
-        done = []
+        done, latest = [], 0
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k[0], *open_)], columns=[key, "app", "start_index", "end_index", "length"])
+            return
         for batch in batches:
             for name, i in batch.sort_values(index)[[app, index]].itertuples(index=False):
                 if open_ is None or open_[0] != name:
@@ -40,8 +46,14 @@ def app_runs(events: DataFrame, app: str = "event_type", key: str = "log_id", in
                     open_ = (name, int(i), int(i), 1)
                 else:
                     open_ = (name, open_[1], int(i), open_[3] + 1)
+            if ts is not None:
+                latest = max(latest, int(batch[ts].max().timestamp() * 1000))
         if open_ is not None:
             state.update(open_)
+            if ts is not None:
+                state.setTimeoutTimestamp(max(latest + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=[key, "app", "start_index", "end_index", "length"])
 
-    return events.groupBy(key).applyInPandasWithState(run, out, "app string, start_index long, end_index long, length long", "append", GroupStateTimeout.NoTimeout)
+    rows = events if ts is None else events.withWatermark(ts, late)
+    timeout = GroupStateTimeout.NoTimeout if ts is None else GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy(key).applyInPandasWithState(run, out, "app string, start_index long, end_index long, length long", "append", timeout)
