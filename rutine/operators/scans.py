@@ -19,7 +19,7 @@ BLOCK = 1 << 14
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Keys are equal; nulls equal nulls. Those of right have a leading underscore."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys])
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys], F.lit(True))
 
 
 def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "plac
 
     Rows are dealt by ranges of (keys, order), so that a key's rows may lie in many parts, sorted and written; a part's rows know their place in the
     part, and a row for each (key, part) tells how many came before. Nulls in keys are a key. Rows that agree in keys and order are
-    numbered in any order. Columns named _part or _in would clash."""
+    numbered in any order. Without keys all rows are one sequence: only a row for each part meets in one task. Columns named _part or _in would clash."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_in", F.monotonically_increasing_id())
     rows = written(sorted_, "ranged").withColumn("_part", F.shiftright("_in", 33))

@@ -52,9 +52,9 @@ def hierarchy_ids(log: DataFrame, columns: list[str], name: str = "hierarchy_id"
 
 
 def dictionary(df: DataFrame, columns: list[str], order: str, name: str = "id") -> DataFrame:
-    """Distinct combinations of columns numbered from 0 by their first appearance in the order: (columns, name)."""
+    """Distinct combinations of columns numbered from 0 by their first appearance in the order: (columns, name). Numbers are given part by part, not by one task."""
     first = df.groupBy(*columns).agg(F.min(order).alias("_first"))
-    return first.withColumn(name, (F.row_number().over(Window.orderBy("_first", *columns)) - 1).cast("long")).drop("_first")
+    return numbered(first, [], ["_first", *columns], name).drop("_first")
 
 
 def lookup(df: DataFrame, known: DataFrame, columns: list[str], name: str = "id", absent: int | None = -1) -> DataFrame:

@@ -65,3 +65,11 @@ def test_long_logs_give_what_short_ones_give(spark, blocks_of_four):
     spans = log.select("log_id", F.col("event_index").alias("id"), (F.col("event_index") * 3 % 50).alias("start"), (F.col("event_index") * 3 % 50 + F.col("event_index") % 4).alias("end"), (F.col("event_index") % 2 == 0).alias("flag"))
     assert as_rows(intervals.merge_overlaps(spans)) == as_rows(intervals.merge_overlaps(spans, long=True))
     assert scans.has_long(log, least=60) and not scans.has_long(log, least=61)
+
+
+def test_dictionary_of_many_parts(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice([None, "a", "b", "c"]), r.randrange(40)) for i in range(2000)]
+    got = sequence.dictionary(spark.createDataFrame(rows, "at long, a string, b int").repartition(5), ["a", "b"], "at").collect()
+    want = {k: n for n, k in enumerate(dict.fromkeys((a, b) for _, a, b in rows))}
+    assert {(x.a, x.b): x.id for x in got} == want
