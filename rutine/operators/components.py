@@ -32,3 +32,24 @@ def component_labels(edges: DataFrame, keys: list[str]) -> DataFrame:
         drop(old, large)
         told = _digest(links, keys)
     return alone.join(links.withColumnsRenamed({"a": "id", "b": "_label"}), [*keys, "id"], "left").select(*keys, "id", F.coalesce("_label", "id").alias("label"))
+
+
+def joining_edges(edges: DataFrame, keys: list[str], rank: list[str]) -> DataFrame:
+    """Those of edges (keys, a, b, rank) that join two components when edges are added in order of their ranks, distinct within keys: the first spanning forest.
+
+    In each round every component takes its first edge to another one, so rounds are a logarithm of the largest component."""
+    edges = written(edges.where("a <> b"), "edges")
+    chosen, labels = edges.limit(0), None
+    while True:
+        out = edges.withColumns({"_la": F.col("a"), "_lb": F.col("b")})
+        if labels is not None:
+            for end in ("a", "b"):
+                known = labels.select(*keys, F.col("id").alias(end), F.col("label").alias("_known"))
+                out = out.join(known, [*keys, end], "left").withColumn(f"_l{end}", F.coalesce("_known", end)).drop("_known")
+        out = written(out.where("_la <> _lb"), "between")
+        if out.isEmpty():
+            return chosen
+        best = out.select(*keys, F.explode(F.array("_la", "_lb")).alias("_part"), F.struct(*rank).alias("_rank")).groupBy(*keys, "_part").agg(F.min("_rank").alias("_rank"))
+        best = best.select(*keys, *[F.col(f"_rank.{r}").alias(r) for r in rank]).distinct()
+        chosen = written(chosen.unionByName(edges.join(best, [*keys, *rank], "left_semi")).distinct(), "forest")
+        labels = component_labels(chosen.select(*keys, "a", "b"), keys)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rutine.operators.components import component_labels
+from rutine.operators.components import component_labels, joining_edges
 from rutine.operators.scans import numbered, running
 from rutine.plans.shipping import ship
 from rutine.plans.tables import written
@@ -194,6 +194,24 @@ def extend_by_anchors(motifs: DataFrame, core: DataFrame, most_gap: int = 2) ->
     return out.agg(F.sort_array(F.collect_list("a_id")).alias("members"), F.min("lo").alias("start"), F.max("hi").alias("end")).withColumn("flag", F.lit(True))
 
 
+def anchor_decisions(motifs: DataFrame, core: DataFrame, most_gap: int = 2) -> DataFrame:
+    """Cores (b_*) with extension_decision, what extend_by_anchors() does with each, as text; cores come in order of their ids.
+
+    A core that joins neighbours tells of those that no earlier core has joined already; the texts are fixed values."""
+    pairs = written(overlapping(motifs, core).select("log_id", "a_id", "a_start", "a_end", "b_id", "overlap"), "touching")
+    mine = Window.partitionBy("log_id", "b_id")
+    order = mine.orderBy("a_start", "a_id")
+    told = pairs.withColumns({"_at": F.row_number().over(order), "_prev": F.lag("a_id").over(order), "_gap": F.col("a_start") - F.lag("a_end").over(order) - 1})
+    edges = told.where(F.col("_gap") <= most_gap).select("log_id", F.col("_prev").alias("a"), F.col("a_id").alias("b"), "b_id", "_at", "_gap")
+    merged = joining_edges(edges, ["log_id"], ["b_id", "_at"])
+    texts = merged.groupBy("log_id", "b_id").agg(F.sort_array(F.collect_list(F.struct("_at", F.format_string("Merged %d & %d (Gap %d)", "a", "b", "_gap").alias("t")))).alias("_t"))
+    each = told.groupBy("log_id", "b_id").agg(F.count("*").alias("_n"), F.min("_gap").alias("_near"), F.min(F.struct((-F.col("overlap")).alias("o"), "a_start", "a_id")).alias("_win"))
+    out = core.join(each, ["log_id", "b_id"], "left").join(texts, ["log_id", "b_id"], "left")
+    text = F.when(F.col("_n").isNull(), "No Overlap").when(F.col("_n") == 1, F.format_string("Extended Motif %d", "_win.a_id"))
+    text = text.when(F.col("_near") <= most_gap, F.coalesce(F.array_join("_t.t", "; "), F.lit(""))).otherwise(F.format_string("Gap > 2. Winner: %d", "_win.a_id"))
+    return out.select(*core.columns, text.alias("extension_decision"))
+
+
 def final_motifs(spans: DataFrame, least: int = 5) -> DataFrame:
     """Motifs that match a core and are long enough."""
     return spans.where(F.col("flag") & (F.expr("end - start + 1") >= least))

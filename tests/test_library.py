@@ -169,6 +169,30 @@ def test_anchors_are_the_plain_loops(spark):
     assert intervals.extend_by_anchors(spark.createDataFrame(a, "log_id long, a_id long, a_start long, a_end long"), spark.createDataFrame([], "log_id long, b_id long, b_start long, b_end long")).count() == 0
 
 
+def test_anchor_decisions_are_the_plain_loops(spark):
+    r = random.Random(17)
+    a, b, want = [], [], {}
+    for log in range(6):
+        motifs = [(i, s, s + r.randrange(0, 6)) for i, s in enumerate(r.sample(range(60), 25))]
+        cores = [(i, s, s + r.randrange(0, 14)) for i, s in enumerate(r.choices(range(70), k=20))]
+        a += [(log, *m) for m in motifs]
+        b += [(log, *c) for c in cores]
+        group = {m[0]: m[0] for m in motifs}
+        for c in cores:
+            mine = sorted((m for m in motifs if m[1] <= c[2] and c[1] <= m[2]), key=lambda m: (m[1], m[0]))
+            said, near = [], False
+            for x, y in zip(mine, mine[1:], strict=False):
+                if y[1] - x[2] - 1 <= 2:
+                    near = True
+                    if group[x[0]] != group[y[0]]:
+                        said.append(f"Merged {x[0]} & {y[0]} (Gap {y[1] - x[2] - 1})")
+                        group = {k: group[x[0]] if g == group[y[0]] else g for k, g in group.items()}
+            win = min(mine, key=lambda m: (-(min(m[2], c[2]) - max(m[1], c[1]) + 1), m[1], m[0]), default=None)
+            want[(log, c[0])] = "No Overlap" if not mine else f"Extended Motif {mine[0][0]}" if len(mine) == 1 else "; ".join(said) if near else f"Gap > 2. Winner: {win[0]}"
+    got = intervals.anchor_decisions(spark.createDataFrame(a, "log_id long, a_id long, a_start long, a_end long"), spark.createDataFrame(b, "log_id long, b_id long, b_start long, b_end long"))
+    assert {(x.log_id, x.b_id): x.extension_decision for x in got.collect()} == want and len(set(want.values())) > 10
+
+
 def test_components_of_long_paths(spark):
     edges = [(k, i, i + 1) for k in ("p", "q") for i in range(200) if i % (50 if k == "p" else 67)] + [("p", 999, 999)]
     got = {(x.k, x.id): x.label for x in component_labels(spark.createDataFrame(edges, "k string, a long, b long"), ["k"]).collect()}
