@@ -94,7 +94,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     Shorter words may lose all of their bigrams to one edit, and are left out.
 
-    Each word sends some seven keys as the shorter of a pair or one of equal length, and as many as the longer one. Keys are 64-bit hashes:
+    Each word sends about six keys as the shorter of a pair or one of equal length, and as many as the longer one. Keys are 64-bit hashes:
     candidates are compared themselves."""
     spark = words.sparkSession
     arrow_batches(spark)
