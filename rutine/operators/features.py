@@ -124,11 +124,12 @@ def group_distances(groups: DataFrame, weights: list[float]) -> DataFrame:
     return pairs.groupBy("log_id", "g1", "g2").agg(F.avg(hierarchy_distance(F.col("_a"), F.col("_b"), weights)).alias("distance"))
 
 
-def standardized(df: DataFrame, vector: str = "vector") -> DataFrame:
-    """df with `scaled`: each dimension less its mean, over its population deviation; a constant dimension is 0."""
-    each = df.select(F.posexplode(vector).alias("_at", "_x")).groupBy("_at").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
-    facts = each.agg(F.array_sort(F.collect_list(F.struct("_at", "m", "s"))).alias("_facts"))
+def standardized(df: DataFrame, vector: str = "vector", keys: list[str] | None = None) -> DataFrame:
+    """df with `scaled`: each dimension less its mean, over its population deviation, among the rows of the same keys (all rows without keys); a
+    constant dimension is 0. Rows with a null key are left out."""
+    by = keys or []
+    each = df.select(*by, F.posexplode(vector).alias("_at", "_x")).groupBy(*by, "_at").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"))
+    facts = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "m", "s"))).alias("_facts"))
     scaled = F.zip_with(vector, "_facts", lambda x, f: F.when(f["s"] > 0, (x - f["m"]) / f["s"]).otherwise(F.lit(0.0)))
-    return df.crossJoin(F.broadcast(facts)).withColumn("scaled", scaled).drop("_facts")  # one row
-
-
+    both = df.join(facts, by) if by else df.crossJoin(F.broadcast(facts))  # one row
+    return both.withColumn("scaled", scaled).drop("_facts")

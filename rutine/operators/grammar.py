@@ -182,17 +182,23 @@ def cores(log: DataFrame, method: str = "percentile", value: float = 0.9, merge_
     return found.withColumn("core_id", F.row_number().over(Window.partitionBy("log_id").orderBy("start_index")) - 1)
 
 
-def app_switches(log: DataFrame, core: DataFrame, columns: list[str]) -> DataFrame:
+def app_switches(log: DataFrame, core: DataFrame, columns: list[str], long: bool = False) -> DataFrame:
     """Cores with lower_app_switch and upper_app_switch, from the runs of equal application rows at their ends.
 
     A bound is the core's own if it is the first (last) row of its run, else one inside of the run's first (last) row."""
     rows = log.select("log_id", "event_index", row_key(*columns).alias("_key"))
-    new = F.coalesce(F.col("_key") != F.lag("_key").over(in_log()), F.lit(True))
-    end = F.coalesce(F.col("_key") != F.lead("_key").over(in_log()), F.lit(True))
-    rows = rows.withColumn("_first", F.last(F.when(new, F.col("event_index")), ignorenulls=True).over(in_log().rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_last", F.first(F.when(end, F.col("event_index")), ignorenulls=True).over(in_log().rowsBetween(0, Window.unboundedFollowing)))
-    low = rows.select("log_id", F.col("event_index").alias("start_index"), "_first")
-    high = rows.select("log_id", F.col("event_index").alias("end_index"), "_last")
+    rows, order = beside(rows, ["log_id"], "event_index", 1, 1) if long else (rows.withColumn("_own", F.lit(True)), in_log())
+    new = F.coalesce(F.col("_key") != F.lag("_key").over(order), F.lit(True))
+    end = F.coalesce(F.col("_key") != F.lead("_key").over(order), F.lit(True))
+    rows = rows.withColumns({"_new": F.when(new, F.col("event_index")), "_end": F.when(end, F.col("event_index"))}).where("_own").select("log_id", "event_index", "_new", "_end")
+    if long:
+        rows = written(rows, "ends")
+        low = running(rows, ["log_id"], "event_index", {"_first": ("last", F.col("_new"))}).select("log_id", F.col("event_index").alias("start_index"), "_first")
+        back = rows.withColumn("_back", -F.col("event_index"))
+        high = running(back, ["log_id"], "_back", {"_last": ("last", F.col("_end"))}).select("log_id", F.col("event_index").alias("end_index"), "_last")
+    else:
+        low = rows.select("log_id", F.col("event_index").alias("start_index"), F.last("_new", ignorenulls=True).over(in_log().rowsBetween(Window.unboundedPreceding, 0)).alias("_first"))
+        high = rows.select("log_id", F.col("event_index").alias("end_index"), F.first("_end", ignorenulls=True).over(in_log().rowsBetween(0, Window.unboundedFollowing)).alias("_last"))
     out = core.join(low, ["log_id", "start_index"]).join(high, ["log_id", "end_index"])
     lower = F.when(F.col("_first") == F.col("start_index"), F.col("start_index")).otherwise(F.col("_first") + 1)
     upper = F.when(F.col("_last") == F.col("end_index"), F.col("end_index")).otherwise(F.col("_last") - 1)
@@ -215,14 +221,91 @@ def _walk(keys: list, places: list[int], step: int, least: float) -> list[int]:
     return survived
 
 
-def path_walk(log: DataFrame, core: DataFrame, columns: list[str], share: float = 0.8) -> DataFrame:
+#: A prime below 2^31, and a base for each of the two hashes of a path.
+PRIME = (1 << 31) - 1
+BASES = (1_000_003, 69_069_069)
+
+
+def _power(base: int, n: Column, bits: int) -> Column:
+    """base to the power of n, less than 2^bits, modulo PRIME."""
+    out = F.lit(1).cast("long")
+    for b in range(bits):
+        out = F.pmod(out * F.when(F.shiftright(n, b).bitwiseAND(1) == 1, F.lit(pow(base, 1 << b, PRIME))).otherwise(F.lit(1)), F.lit(PRIME))
+    return out
+
+
+def _block(start: str, end: str, at: Column, bits: int) -> Column:
+    """The name of the keys after place `at`, up to where the sums `end` are taken; it does not tell where they lie."""
+    parts = [F.pmod(F.pmod(F.col(f"{end}.s{i}") - F.col(f"{start}.s{i}"), F.lit(PRIME)) * _power(pow(b, -1, PRIME), at, bits), F.lit(PRIME)) for i, b in enumerate(BASES)]
+    return F.shiftleft(parts[0], 31) + parts[1]
+
+
+def _steps(keys: DataFrame, places: DataFrame, share: float) -> DataFrame:
+    """(log_id, core_id, steps): how many keys after its place (log_id, core_id, at) each core shares with at least `share`, over one half, of the log's cores.
+
+    Of more than half there is but one group, and that of a longer path is part of that of a shorter one. So the depth of each log is found bit by bit, the
+    highest first; each core then goes as far as its path equals that of a core which went all the way, again bit by bit. Two
+    stretches of keys are compared by sums up to their ends, of two polynomials modulo PRIME."""
+    longest = keys.agg(F.max("event_index")).first()[0] or 0
+    bits = max(1, (int(longest) + 1).bit_length())
+    terms = {f"t{i}": F.pmod(F.pmod(F.xxhash64("key", F.lit(i)), F.lit(PRIME)) * _power(b, F.col("event_index"), bits), F.lit(PRIME)) for i, b in enumerate(BASES)}
+    terms = written(keys.select("log_id", "event_index", *[c.alias(n) for n, c in terms.items()]), "terms")
+    sums = running(terms, ["log_id"], "event_index", {f"s{i}": ("sum", F.col(f"t{i}")) for i in range(len(BASES))})
+    sums = written(sums.select("log_id", F.col("event_index").alias("_to"), F.struct(*[f"s{i}" for i in range(len(BASES))]).alias("_sum")), "sums")
+    drop(terms)
+
+    def look(rows: DataFrame, at: Column, name: str) -> DataFrame:
+        return rows.withColumn("_to", at.cast("long")).join(sums, ["log_id", "_to"], "left").drop("_to").withColumnRenamed("_sum", name)
+
+    start = written(look(places, F.col("at"), "_s"), "starts")
+    least = written(places.groupBy("log_id").agg((F.lit(share) * F.count("*")).alias("_least")), "least")
+    state = start.withColumn("d", F.lit(0).cast("long"))
+    for k in reversed(range(bits)):  # the path of the largest group, and who is on it
+        tried = look(state, F.col("at") + F.col("d") + (1 << k), "_e").withColumn("_name", _block("_s", "_e", F.col("at") + F.col("d"), bits))
+        best = tried.where("_name IS NOT NULL").groupBy("log_id", "_name").agg(F.count("*").alias("_n")).join(least, "log_id")
+        best = best.where("_n >= _least").select("log_id", F.col("_name").alias("_best"))
+        tried = tried.join(best, "log_id", "left").where("_best IS NULL OR _name = _best")
+        on = F.col("_best").isNotNull()
+        tried = tried.select("log_id", "core_id", "at", F.when(on, F.col("_e")).otherwise(F.col("_s")).alias("_s"), (F.col("d") + F.when(on, 1 << k).otherwise(0)).alias("d"))
+        old, state = state, written(tried, "paths")
+        if hasattr(old, "_rutine_path"):
+            drop(old)
+    lead = state.groupBy("log_id").agg(F.min("at").alias("_lead"), F.max("d").alias("_depth"))
+    rows = start.join(lead, "log_id").select("log_id", "core_id", "at", "_s", "_lead", "_depth", F.lit(0).cast("long").alias("steps"))
+    rows = written(look(rows, F.col("_lead"), "_t"), "walks")
+    for k in reversed(range(bits)):  # how far each is on that path
+        here = F.col("steps") + (1 << k)
+        tried = look(look(rows, F.when(here <= F.col("_depth"), F.col("at") + here), "_e"), F.when(here <= F.col("_depth"), F.col("_lead") + here), "_f")
+        same = F.coalesce(_block("_s", "_e", F.col("at") + F.col("steps"), bits) == _block("_t", "_f", F.col("_lead") + F.col("steps"), bits), F.lit(False))
+        tried = tried.withColumn("_same", same)
+        tried = tried.select("log_id", "core_id", "at", F.when(F.col("_same"), F.col("_e")).otherwise(F.col("_s")).alias("_s"), "_lead", "_depth",
+                             F.when(F.col("_same"), here).otherwise(F.col("steps")).alias("steps"), F.when(F.col("_same"), F.col("_f")).otherwise(F.col("_t")).alias("_t"))
+        old, rows = rows, written(tried, "walks")
+        drop(old)
+    drop(start, sums, least, state)
+    return rows.select("log_id", "core_id", "steps")
+
+
+def path_walk(log: DataFrame, core: DataFrame, columns: list[str], share: float = 0.8, long: bool = False) -> DataFrame:
     """Cores with lower_pattern_switch and upper_pattern_switch: how far the applications before (after) them are those of
-    at least `share` of the log's cores too. Starts are the cores' lower and upper application switches, if they are there."""
-    ship(log.sparkSession)
+    at least `share` of the log's cores too. Starts are the cores' lower and upper application switches, if they are there.
+
+    With `long` and a share over one half the rows of a log are dealt, and paths are compared by hashes of 62 bits; places are
+    0, 1, ... without gaps. A smaller share allows several groups, which may meet again: that walk goes step by step, a log being one task."""
     lo = "lower_app_switch" if "lower_app_switch" in core.columns else "start_index"
     hi = "upper_app_switch" if "upper_app_switch" in core.columns else "end_index"
     keys = log.select("log_id", "event_index", row_key(*columns).alias("key"))
     kind = log.schema["log_id"].dataType.simpleString()
+    if long and share > 0.5:
+        keys, core = written(keys, "keys"), written(core, "cores")
+        ends = keys.groupBy("log_id").agg(F.max("event_index").alias("_end"))
+        back = keys.join(ends, "log_id").select("log_id", (F.col("_end") - F.col("event_index")).alias("event_index"), "key")
+        at = core.join(ends, "log_id").select("log_id", "core_id", (F.col("_end") - F.col(lo)).cast("long").alias("at"))
+        down = _steps(back, at, share).withColumnRenamed("steps", "_down")
+        up = _steps(keys, core.select("log_id", "core_id", F.col(hi).cast("long").alias("at")), share).withColumnRenamed("steps", "_up")
+        out = core.join(down, ["log_id", "core_id"]).join(up, ["log_id", "core_id"])
+        return out.withColumn("lower_pattern_switch", F.col(lo) - F.col("_down")).withColumn("upper_pattern_switch", F.col(hi) + F.col("_up")).drop("_down", "_up")
+    ship(log.sparkSession)
     places = core.select(F.col("log_id").alias("_log"), "core_id", F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
 
     def run(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rutine.operators.features import standardized
 from rutine.operators.bands import banded, in_order, pairs_of, spans
 from rutine.operators.scans import numbered
 from rutine.operators.warped import DIGITS, TILE, apart, long_paths, paths_of, scale_of
@@ -543,28 +542,3 @@ def vector_motifs(log: DataFrame, m: int, most: int = 10, denominator: int = 1,
 
     rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"))
     return _grouped(rows, run, "dimensions int, i long, j long, distance double, subspace array<int>, matches array<long>")
-
-
-def cluster_windows(means: DataFrame, eps: float = 1.2) -> DataFrame:
-    """Windows (log_id, window_start, mean) with `cluster`: connected by distances of at most eps of standardised means; -1 for loners.
-
-    Clusters are numbered by their first window. This is density clustering with two points as the least."""
-    scaled = standardized(means, "mean")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("window_start").reset_index(drop=True)
-        x = np.array(p["scaled"].tolist(), float)
-        near = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)) <= eps
-        label, number = np.full(len(x), -1), 0
-        for i in range(len(x)):
-            if label[i] < 0 and near[i].sum() > 1:
-                todo = [i]
-                while todo:
-                    j = todo.pop()
-                    if label[j] < 0:
-                        label[j] = number
-                        todo += np.flatnonzero(near[j]).tolist()
-                number += 1
-        return pd.DataFrame({"log_id": p["log_id"], "window_start": p["window_start"], "cluster": label})
-
-    return _grouped(scaled.select("log_id", "window_start", "scaled"), run, "window_start long, cluster int")

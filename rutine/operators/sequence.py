@@ -23,12 +23,15 @@ def reindex(log: DataFrame, name: str = "event_index", long: bool = False) -> Da
     return log.withColumn(name, F.row_number().over(in_log()) - F.lit(1).cast("long"))
 
 
-def symbolize(log: DataFrame, columns: list[str]) -> DataFrame:
+def symbolize(log: DataFrame, columns: list[str], long: bool = False) -> DataFrame:
     """log with symbol_code, the rank of its key among the log's sorted distinct keys, symbol, that code in letters, and `count`,
     how often the key occurs with a value in the first column. Ranks are taken over distinct keys, which the log is joined with."""
     keyed = log.withColumn("_key", row_key(*columns))
     keys = keyed.groupBy("log_id", "_key").agg(F.count(columns[0]).alias("count"))
-    ranks = keys.withColumn("symbol_code", F.row_number().over(Window.partitionBy("log_id").orderBy("_key")) - 1)
+    if long:
+        ranks = numbered(keys, ["log_id"], ["_key"], "symbol_code").withColumn("symbol_code", F.col("symbol_code").cast("int"))
+    else:
+        ranks = keys.withColumn("symbol_code", F.row_number().over(Window.partitionBy("log_id").orderBy("_key")) - 1)
     ranks = ranks.withColumn("symbol", num_to_letters(F.col("symbol_code")))
     return keyed.join(ranks, ["log_id", "_key"]).drop("_key")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rutine.functions import scalars
-from rutine.operators import evaluation, features, grammar, intervals, mining, motifs, reports, sequence, synthesis
+from rutine.operators import clusters, evaluation, features, grammar, intervals, mining, motifs, reports, sequence, synthesis
 from rutine.plans.pipeline import discover, variance_study
 from rutine.plans.tables import written
 from rutine.sources import logs
@@ -354,7 +354,12 @@ def q_app_switch(spark, sf_dir):
     return _switched(spark, sf_dir)[1].select("log_id", "core_id", "start_index", "end_index", "lower_app_switch", "upper_app_switch")
 
 
-@query("q_path_walk")
+@query("q_path_walk", f"""WITH RECURSIVE {SWITCH}, all_cores AS (SELECT log_id, count(*) AS n FROM sw GROUP BY log_id),
+    w(log_id, core_id, step, p, d) AS (SELECT log_id, core_id, unnest([-1, 1]), unnest([lower_app_switch, upper_app_switch]), 0 FROM sw
+      UNION ALL SELECT log_id, core_id, step, p, d FROM (
+        SELECT w.log_id, w.core_id, w.step, w.p + w.step AS p, w.d + 1 AS d, count(*) OVER (PARTITION BY w.log_id, w.step, coalesce(l.event_type, 'nan')) >= CAST(0.3 AS DOUBLE) * a.n AS enough
+        FROM w JOIN all_cores a ON a.log_id = w.log_id JOIN log l ON l.log_id = w.log_id AND l.event_index = w.p + w.step) WHERE enough)
+    SELECT log_id, core_id, min(p) FILTER (step = -1) AS lower_pattern_switch, max(p) FILTER (step = 1) AS upper_pattern_switch FROM w GROUP BY log_id, core_id""")
 def q_path_walk(spark, sf_dir):
     log, core = _switched(spark, sf_dir)
     return grammar.path_walk(log, core, ["event_type"], 0.3).select("log_id", "core_id", "lower_pattern_switch", "upper_pattern_switch")
@@ -747,10 +752,20 @@ def q_cooccurrence_code(spark, sf_dir):
     return features.encode_cooccurrence_columns(event_log(spark, sf_dir), ["event_type", "k"], 2).select("log_id", "event_index", "code")
 
 
-@query("q_motif_cluster")
+TYPE_MEANS = ", ".join(f"avg(CAST(event_type = '{t}' AS DOUBLE)) AS m{i}" for i, t in enumerate(("click", "error", "purchase", "signup", "view"))) + ", avg(CAST(k AS DOUBLE) / 2) AS m5"
+TYPE_SCALED = ", ".join(f"CASE WHEN stddev_pop(m{i}) OVER l > 0 THEN (m{i} - avg(m{i}) OVER l) / stddev_pop(m{i}) OVER l ELSE 0 END AS m{i}" for i in range(6))
+
+
+@query("q_motif_cluster", f"""WITH RECURSIVE {WINDOWS}, means AS (SELECT log_id, s, {TYPE_MEANS} FROM kept JOIN log USING (log_id) WHERE event_index BETWEEN s AND s + 9 GROUP BY log_id, s HAVING count(*) = 10),
+    z AS (SELECT log_id, s, {TYPE_SCALED} FROM means WINDOW l AS (PARTITION BY log_id)),
+    near AS (SELECT a.log_id, a.s AS a, b.s AS b FROM z a JOIN z b ON a.log_id = b.log_id AND a.s <> b.s AND sqrt({" + ".join(f"(a.m{i} - b.m{i}) * (a.m{i} - b.m{i})" for i in range(6))}) <= 1.2),
+    reach(log_id, id, root) AS (SELECT log_id, s, s FROM z UNION SELECT r.log_id, n.b, r.root FROM reach r JOIN near n ON n.log_id = r.log_id AND n.a = r.id),
+    parts AS (SELECT log_id, id, min(root) AS label FROM reach GROUP BY log_id, id),
+    named AS (SELECT log_id, label, row_number() OVER (PARTITION BY log_id ORDER BY label) - 1 AS c FROM parts GROUP BY log_id, label HAVING count(*) > 1)
+    SELECT log_id, id AS window_start, CAST(coalesce(c, -1) AS INTEGER) AS cluster FROM parts LEFT JOIN named USING (log_id, label)""")
 def q_motif_cluster(spark, sf_dir):
     log = _numbered(spark, sf_dir)
-    return motifs.cluster_windows(sequence.window_means(log, _starts(log), 10))
+    return clusters.cluster_windows(sequence.window_means(log, _starts(log), 10))
 
 
 # micro-tasks
