@@ -4,6 +4,8 @@ events stand in for interaction logs, one log for each user; islands of an event
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +13,8 @@ from pyspark.sql.window import Window
 from rutine.functions import scalars
 from rutine.operators import clusters, evaluation, features, grammar, intervals, mining, motifs, reports, sequence, synthesis
 from rutine.plans.pipeline import discover, variance_study
-from rutine.plans.tables import written
-from rutine.sources import logs
+from rutine.plans.tables import shared_dir, written
+from rutine.sources import datasets, logs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -196,6 +198,33 @@ def q_resume_antijoin(spark, sf_dir):
     return run.unionByName(over, allowMissingColumns=True)
 
 
+@query("q_folder_budget", """WITH p AS (SELECT *, user_id % 8 AS part FROM events), n AS (SELECT part, sum(count(*)) OVER (ORDER BY part) AS total FROM p GROUP BY part),
+    kept AS (SELECT part FROM n WHERE total <= (SELECT count(*) * 6 // 10 FROM events))
+    SELECT row_number() OVER (ORDER BY part, event_id) - 1 AS event_index, CAST(event_id AS VARCHAR) AS event_id, event_type, CASE WHEN part % 2 = 1 THEN CAST(user_id AS VARCHAR) END AS user_id FROM p JOIN kept USING (part)""")
+def q_folder_budget(spark, sf_dir):
+    """Events written as a folder of CSV files with two headers, and read back up to before the file that would exceed six tenths of all rows."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("part", F.format_string("%02d", F.col("user_id") % 8))
+    path = f"{shared_dir(spark)}/rutine-folder-{uuid.uuid4().hex}"
+    for odd, columns in ((0, ["event_id", "event_type"]), (1, ["event_id", "event_type", "user_id"])):
+        some = events.where(F.col("user_id") % 2 == odd).select("part", *columns)
+        some.repartition("part").sortWithinPartitions("part", F.col("event_id")).write.mode("append").partitionBy("part").option("header", True).csv(path)
+    most = events.count() * 6 // 10
+    return logs.read_folder(spark, f"{path}/part=*", most).select("event_index", "event_id", "event_type", "user_id")
+
+
+@query("q_epoch_truth", f"""WITH {LOG}, ends AS (SELECT log_id, max(event_index) AS n FROM log GROUP BY log_id), starts AS (SELECT log_id, unnest(range(0, n + 1, 12)) AS s FROM ends),
+    seq AS (SELECT s.log_id, row_number() OVER (PARTITION BY s.log_id ORDER BY s) - 1 AS caseid, a.ts AS t0, b.ts AS t1 FROM starts s JOIN log a ON a.log_id = s.log_id AND a.event_index = s LEFT JOIN log b ON b.log_id = s.log_id AND b.event_index = s + 5),
+    f AS (SELECT log_id, ts, min(event_index) AS p FROM log GROUP BY log_id, ts)
+    SELECT seq.log_id, caseid, x.p AS start_index, y.p - x.p + 1 AS length, y.p AS end_index FROM seq LEFT JOIN f x ON x.log_id = seq.log_id AND x.ts = t0 LEFT JOIN f y ON y.log_id = seq.log_id AND y.ts = t1""")
+def q_epoch_truth(spark, sf_dir):
+    log = event_log(spark, sf_dir).withColumnRenamed("ts", "epoch")
+    at = log.select("log_id", "event_index", "epoch")
+    rows = _starts(log, 12).join(at.withColumnsRenamed({"event_index": "start_index", "epoch": "initepoch"}), ["log_id", "start_index"])
+    ends = at.select("log_id", (F.col("event_index") - 5).alias("start_index"), F.col("epoch").alias("endepoch"))
+    rows = rows.join(ends, ["log_id", "start_index"], "left")
+    return datasets.truth_by_epoch(log, rows, ["start_index"]).select("log_id", "caseid", "start_index", "length", "end_index")
+
+
 @query("q_pattern_text", f"""WITH {LOG}, spans AS (SELECT log_id, unnest(range(0, max(event_index) + 1, 12)) AS s FROM log GROUP BY log_id),
     w AS (SELECT log_id, s, string_agg(event_type, ' -1 ' ORDER BY event_index) || ' -1 -2' AS line FROM spans JOIN log USING (log_id) WHERE event_index BETWEEN s AND s + 2 GROUP BY log_id, s)
     SELECT log_id, line, min(s) AS first_index FROM w GROUP BY log_id, line""")

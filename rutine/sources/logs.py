@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rutine.functions.scalars import numbers, split_element_action
+from rutine.operators.scans import numbered, running
+from rutine.plans.tables import written
 
 #: How a source's ground truth tells its end from start and length.
 END_RULES = {"after": "start_index + length", "last": "start_index + length - 1"}
@@ -34,21 +36,40 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
     return in_file_order(df.withColumn("_log", name), "_log").drop("_log")
 
 
-def read_folder(spark: SparkSession, path: str, most_rows: int = 100_000, sep: str = ",", pattern: str = "*.csv") -> DataFrame:
-    """The CSV files of a folder as one log, in the order of their names, up to before the file that would exceed most_rows."""
-    files = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").orderBy("path").collect()]
-    out, total = None, 0
-    for i, f in enumerate(files):
-        part = plain_names(spark.read.csv(f, header=True, sep=sep, nullValue=""))
-        n = part.count()
-        if total + n > most_rows:
-            break
-        total += n
-        part = part.withColumn("_file", F.lit(i))
+def folder_files(spark: SparkSession, path: str, most_rows: int, pattern: str = "*.csv") -> DataFrame:
+    """(file, header, rows, before) of a folder's files in the order of their names, up to before the one with which there would be more than most_rows.
+
+    One scan of the folder as text gives each file's first line and its number of lines that are not blank; the running sum over files is dealt in blocks."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").where("trim(value) <> ''")
+    lines = lines.withColumn("_at", F.struct("file_block_start", F.monotonically_increasing_id().alias("_id")))
+    files = lines.groupBy(F.col("file_path").alias("file")).agg(F.min_by("value", "_at").alias("header"), (F.count("*") - 1).alias("rows"))
+    files = written(numbered(files, [], ["file"], "_place"), "files")
+    files = running(files, [], "_place", {"_all": ("sum", F.col("rows"))})
+    over = files.where(F.col("_all") > most_rows).agg(F.min("_place").alias("_over"))  # one row
+    files = files.crossJoin(F.broadcast(over)).where("_over IS NULL OR _place < _over")
+    return files.select("file", "header", "rows", (F.col("_all") - F.col("rows")).alias("before"))
+
+
+def read_folder(spark: SparkSession, path: str, most_rows: int = 100_000, sep: str = ",", pattern: str = "*.csv", long: bool = False) -> DataFrame:
+    """The CSV files of a folder as one log, in the order of their names, up to before the file that would exceed most_rows.
+
+    Files may have different headers: those of one header are read by one scan, and missing columns are null. The driver holds the
+    names of the files, as Spark does of any folder that it reads, and a schema for each header. `long` deals the numbering. A row is a line."""
+    layouts = folder_files(spark, path, most_rows, pattern).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.get("files", F.lit(0))).collect()
+    out = None
+    for layout in layouts:
+        part = spark.read.csv(layout.files, header=True, sep=sep, nullValue="")
+        part = plain_names(part.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no file of {path} fits into {most_rows} rows")
-    return in_file_order(out.withColumn("_log", F.lit(path)), "_log").drop("_log", "_file")
+    out = out.withColumn("_row", F.monotonically_increasing_id()).withColumn("log_id", F.lit(path))
+    order = ["_file", "_block", "_row"]
+    if long:
+        out = numbered(out, ["log_id"], order, "event_index")
+    else:
+        out = out.withColumn("event_index", F.row_number().over(Window.partitionBy("log_id").orderBy(*order)) - F.lit(1).cast("long"))
+    return out.drop(*order)
 
 
 def read_sensor_log(spark: SparkSession, path: str, log_id: str | None = None) -> DataFrame:
