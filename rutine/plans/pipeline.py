@@ -32,14 +32,14 @@ def discover(
     alignment to cores, and scores against truth (log_id, gt_id, gt_start, gt_end).
 
     Logs are independent, the lengths that are searched too: processing them together gives what each gives alone, but for the two embeddings
-    (encoding 0 and 1), which are trained on all. Everything before the search is dealt in blocks where a log has a million events or more (walks along paths only
-    for a share over one half), similarities of long reduced logs in tiles."""
+    (encoding 0 and 1), which are trained on all. Everything before the search but the walks along paths, one task for each log, is dealt in blocks where a log has a
+    million events or more, similarities of long reduced logs in tiles."""
     long = has_long(log)
     log = written(sequence.symbolize(log, columns, long), "log")
     rules, _ = grammar.re_pair(log, long=long)
     dense = written(grammar.density_of(log, rules, long=long), "dense")
     core = grammar.app_switches(dense, grammar.cores(dense, "percentile", percentile, long=long), app, long)
-    core = written(grammar.path_walk(dense, core, app, share, long), "cores")
+    core = written(grammar.path_walk(dense, core, app, share), "cores")
     reduced = written(grammar.reduce_log(dense, core, margin_factor, long=long), "reduced")
     if "case_id" not in reduced.columns:
         reduced = reduced.withColumn("case_id", F.lit(None).cast("string"))
