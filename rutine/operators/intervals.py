@@ -85,12 +85,15 @@ def merge_overlaps(spans: DataFrame, first_columns: tuple[str, ...] = (), long:
 
 
 def band_first(a: DataFrame, b: DataFrame, n: int) -> DataFrame:
-    """For each number of a (pos, num) the first of b (pos, num) within n: (a_pos, a_num, b_num, accuracy), accuracy being the distance."""
-    x = a.select(F.col("pos").alias("a_pos"), F.col("num").alias("a_num")).withColumn("_bin", F.explode(F.sequence(F.floor((F.col("a_num") - n) / (n + 1)), F.floor((F.col("a_num") + n) / (n + 1)))))
-    y = b.select(F.col("pos").alias("b_pos"), F.col("num").alias("b_num")).withColumn("_bin", F.floor(F.col("b_num") / (n + 1)))
-    pairs = x.join(y, "_bin").where(F.abs(F.col("a_num") - F.col("b_num")) <= n)
-    best = F.row_number().over(Window.partitionBy("a_pos").orderBy("b_pos"))
-    return pairs.withColumn("_n", best).where("_n = 1").select("a_pos", "a_num", "b_num", F.abs(F.col("a_num") - F.col("b_num")).alias("accuracy"))
+    """For each number of a (pos, num) the first of b (pos, num) within n: (a_pos, a_num, b_num, accuracy), accuracy being the distance.
+
+    Only distinct numbers meet, those of b with their first place, so rows that share a number are never multiplied with each other."""
+    x = a.select(F.col("num").alias("a_num")).distinct().withColumn("_bin", F.explode(F.sequence(F.floor((F.col("a_num") - n) / (n + 1)), F.floor((F.col("a_num") + n) / (n + 1)))))
+    y = b.groupBy(F.col("num").alias("b_num")).agg(F.min(F.struct("pos"))["pos"].alias("b_pos")).withColumn("_bin", F.floor(F.col("b_num") / (n + 1)))
+    near = x.join(y, "_bin").where(F.abs(F.col("a_num") - F.col("b_num")) <= n).groupBy("a_num").agg(F.min(F.struct("b_pos", "b_num")).alias("_b"))
+    rows = a.select(F.col("pos").alias("a_pos"), F.col("num").alias("a_num")).join(near, "a_num")
+    best = rows.groupBy("a_pos").agg(F.min(F.struct("_b", "a_num")).alias("_m")).select("a_pos", "_m.a_num", F.col("_m._b.b_num").alias("b_num"))
+    return best.withColumn("accuracy", F.abs(F.col("a_num") - F.col("b_num")))
 
 
 def band_score(found: DataFrame, spots: DataFrame, window: int, tolerance: int | None = None) -> DataFrame:
