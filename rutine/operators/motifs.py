@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +89,45 @@ def band_profile(ids: np.ndarray, costs: np.ndarray, m: int, k: int = 1, other:
     return p, at, *side
 
 
+#: Places of a series whose diagonals are one array.
+SHORT = 512
+
+
+def short_profiles(ids: np.ndarray, costs: np.ndarray, lengths: list[int], k: int = 1, denominator: int = 4):
+    """(length, what band_profile() gives) of a short series within itself, for each length: all diagonals at once, with the same sums in the same order."""
+    n, low = len(ids), min(lengths)
+    first = min(exclusion(m, denominator) for m in lengths) + 1
+    d = np.arange(first, max(first, n - low + 1))[:, None]
+    if len(d):
+        j = np.arange(n)[None, :] + d
+        cells = np.where(j < n, costs[ids[None, :], ids[np.minimum(j, n - 1)]], 0.0)
+        sums = np.concatenate([np.zeros((len(d), 1)), np.cumsum(cells, axis=1)], axis=1)
+    for m in lengths:
+        w = max(0, n - m + 1)
+        skip = exclusion(m, denominator) + 1 - first
+        some = d[skip : max(skip, n - m + 1 - first)]
+        if not len(some):
+            yield m, (np.full((w, k), np.inf), np.full((w, k), -1, np.int64), np.full((w, 2), np.inf), np.full((w, 2), -1, np.int64))
+            continue
+        s, i = sums[skip : skip + len(some)], np.arange(w)[None, :]
+        ahead = np.where(i + some < w, (s[:, m:] - s[:, :-m]) / m, np.inf)
+        behind = np.where(i >= some, np.take_along_axis(ahead, np.maximum(i - some, 0), axis=1), np.inf)
+        best = [x.argmin(axis=0) for x in (behind, ahead)]
+        near = np.stack([x[b, i[0]] for x, b in zip((behind, ahead), best, strict=True)], axis=1)
+        step = some[:, 0]
+        beside = np.where(np.isfinite(near), np.stack([i[0] - step[best[0]], i[0] + step[best[1]]], axis=1), -1)
+        if k == 1:  # of equal ones the smaller step, then the one ahead
+            left = (near[:, 0] < near[:, 1]) | ((near[:, 0] == near[:, 1]) & (best[0] < best[1]))
+            yield m, (np.where(left, near[:, 0], near[:, 1])[:, None], np.where(left, beside[:, 0], beside[:, 1])[:, None], near, beside)
+            continue
+        both = np.stack([ahead, behind], axis=1).reshape(-1, w)
+        order = np.argsort(both, axis=0, kind="stable")[:k]
+        p, at = np.full((k, w), np.inf), np.full((k, w), -1, np.int64)
+        p[: len(order)] = np.take_along_axis(both, order, axis=0)
+        at[: len(order)] = i + np.where(order % 2 == 0, 1, -1) * step[order // 2]
+        yield m, (p.T, np.where(np.isfinite(p), at, -1).T, near, beside)
+
+
 def series_profile(x: np.ndarray, m: int, denominator: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Distances and neighbours by the k-dimensional matrix profile: x is (places, dimensions), both results (dimensions, windows).
 
@@ -331,6 +371,18 @@ def _grouped(df: DataFrame, run, schema: str) -> DataFrame:
     return df.groupBy("log_id").applyInPandas(run, f"log_id {kind}, {schema}")
 
 
+def _kind(df: DataFrame) -> str:
+    ship(df.sparkSession)
+    return df.schema["log_id"].dataType.simpleString()
+
+
+def _rows(p: pa.Table, kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    """Rows of one log as a table, with the log's id in front."""
+    ids = p.column("log_id").combine_chunks()
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.table({"log_id": ids.take(pa.array([0] * len(rows), pa.int64())), **{n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)}})
+
+
 def _symbols(p: pd.DataFrame, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
     return _coded(p.sort_values("event_index")["levels"].tolist(), weights)
 
@@ -340,22 +392,41 @@ def _coded(levels: list, weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
     return ids.ravel(), symbol_costs(levels, weights)
 
 
+def _levels_of(list_) -> np.ndarray:
+    """An Arrow list of lists of equal size as an array (places, levels)."""
+    inner = list_.values
+    flat = inner.flatten()
+    plain = len(inner) and not flat.null_count and (pa.types.is_integer(flat.type) or pa.types.is_floating(flat.type))
+    return flat.to_numpy().reshape(len(inner), -1) if plain else np.array(list_.as_py())
+
+
 def _profiles(work: DataFrame, weights: list[float], share: int = 0, shares: int = 1, seed: int = 7) -> DataFrame:
-    """Profiles of work (log_id, a, b, m, k): windows of length m of the levels a among those of b, or, where b is null, of a itself."""
+    """Profiles of work (log_id, a, b, m, k): windows of the lengths in the array m of the levels a among those of b, or, where b is null, of a itself."""
 
     def part(row, band, bands):
         a, b = row["a"], row["b"]
         ids, costs = _coded(a + (b or []), weights)
         return band_profile(ids[: len(a)], costs, row["m"], row["k"], None if b is None else ids[len(a) :], band=band, of=bands, share=share, shares=shares, seed=seed)
 
+    def whole(row):
+        a, b, k, lengths = _levels_of(row["a"]), row["b"], row["k"].as_py(), row["m"].as_py()
+        if not len(a) or (b.is_valid and not len(b)):
+            return
+        ids, costs = _coded(np.concatenate([a, _levels_of(b)]) if b.is_valid else a, weights)
+        if not b.is_valid and shares == 1 and len(ids) <= SHORT:
+            yield from short_profiles(ids, costs, lengths, k)
+            return
+        for m in lengths:
+            yield m, band_profile(ids[: len(a)], costs, m, k, ids[len(a) :] if b.is_valid else None, share=share, shares=shares, seed=seed)
+
     alone, n = F.col("b").isNull(), F.size("a")
-    return banded(work.withColumn("alone", alone).withColumn("pairs", pairs_of(n, F.when(alone, n).otherwise(F.size("b")), F.col("m")) / F.when(alone, 2 * shares).otherwise(shares)), part)
+    return banded(work.withColumn("alone", alone).withColumn("pairs", pairs_of(n, F.when(alone, n).otherwise(F.size("b")), F.array_min("m")) / F.when(alone, 2 * shares).otherwise(shares)), (part, whole))
 
 
-def _of_itself(log: DataFrame, m, k: int) -> DataFrame:
-    """Work of profiles of logs among themselves, for the length or lengths m."""
+def _of_itself(log: DataFrame, lengths: list[int], k: int) -> DataFrame:
+    """Work of profiles of logs among themselves, for some lengths."""
     none = F.lit(None).cast(log.select(F.array("levels")).schema[0].dataType)
-    return in_order(log, "levels", "a").select("log_id", "a", none.alias("b"), m.alias("m"), F.lit(k).alias("k"))
+    return in_order(log, "levels", "a").select("log_id", "a", none.alias("b"), F.array(*map(F.lit, lengths)).alias("m"), F.lit(k).alias("k"))
 
 
 def anytime_profile(log: DataFrame, weights: list[float], m: int, k: int = 1, shares: int = 16, seed: int = 7, most: int | None = None, seconds: float | None = None, state: DataFrame | None = None, done: int = 0) -> tuple[DataFrame, int]:
@@ -363,7 +434,7 @@ def anytime_profile(log: DataFrame, weights: list[float], m: int, k: int = 1, sh
 
     Diagonals are dealt to shares in a seeded order. What is known is a written table: give it and the number of shares back to go on, in this session or a later one. Before all shares are
     done the distances are upper bounds, which only fall; after the last one the profile is exact. At least one share is done in each call."""
-    began, work, ended = time.monotonic(), _of_itself(log, F.lit(m), k), shares if most is None else min(shares, done + most)
+    began, work, ended = time.monotonic(), _of_itself(log, [m], k), shares if most is None else min(shares, done + most)
     while done < ended:
         new = _profiles(work, weights, done, shares, seed).select("log_id", "i", "distances", "neighbours")
         if state is not None:
@@ -379,7 +450,7 @@ def anytime_profile(log: DataFrame, weights: list[float], m: int, k: int = 1, sh
 
 def matrix_profile(log: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
     """(log_id, i, distances, neighbours, left, right) of each window of length m of logs with `levels`. A long log's diagonals are dealt over tasks."""
-    return _profiles(_of_itself(log, F.lit(m), k), weights).drop("m")
+    return _profiles(_of_itself(log, [m], k), weights).drop("m")
 
 
 def smallest(profile: DataFrame, n: int = 10) -> DataFrame:
@@ -394,13 +465,14 @@ def smallest(profile: DataFrame, n: int = 10) -> DataFrame:
 def profile_motifs(log: DataFrame, weights: list[float], m: int, top: int = 5) -> DataFrame:
     """The best motifs of each log by its profile, with exclusion zones: (log_id, rank, i, j, distance)."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("i")
-        found = top_motifs(p["distance"].to_numpy(), p["neighbour"].to_numpy(), top, m)
-        return pd.DataFrame([(p["log_id"].iloc[0], r + 1, *x) for r, x in enumerate(found)], columns=["log_id", "rank", "i", "j", "distance"])
+    def run(p: pa.Table) -> pa.Table:
+        i, d, at = (p.column(c).to_numpy() for c in ("i", "distance", "neighbour"))
+        order = np.argsort(i)
+        found = top_motifs(d[order], at[order], top, m)
+        return _rows(p, {"rank": pa.int32(), "i": pa.int64(), "j": pa.int64(), "distance": pa.float64()}, [(r + 1, *x) for r, x in enumerate(found)])
 
     profile = matrix_profile(log, weights, m).select("log_id", "i", F.get("distances", F.lit(0)).alias("distance"), F.get("neighbours", F.lit(0)).alias("neighbour"))
-    return _grouped(profile, run, "rank int, i long, j long, distance double")
+    return profile.groupBy("log_id").applyInArrow(run, f"log_id {_kind(profile)}, rank int, i long, j long, distance double")
 
 
 def pan_profile(log: DataFrame, weights: list[float], low: int, high: int, step: int = 1, k: int = 1, most: int | None = None) -> DataFrame:
@@ -408,7 +480,7 @@ def pan_profile(log: DataFrame, weights: list[float], low: int, high: int, step:
 
     `most` is a budget: so many lengths, in an order that halves what lies between; all if it is null."""
     lengths = balanced_lengths(low, high, step)[:most]
-    return _pan(_profiles(_of_itself(log, F.explode(F.array(*map(F.lit, lengths))), k), weights))
+    return _pan(_profiles(_of_itself(log, lengths, k), weights))
 
 
 def _pan(profiles: DataFrame) -> DataFrame:
@@ -421,7 +493,7 @@ def anytime_pan(log: DataFrame, weights: list[float], low: int, high: int, step:
     Give the result back as `done` to go on. together(list(result.values())) reads all of it; at least one length is done in each call, if one is left."""
     began, out = time.monotonic(), dict(done or {})
     for m in [m for m in balanced_lengths(low, high, step) if m not in out][:most]:
-        out[m] = written(_pan(_profiles(_of_itself(log, F.lit(m), k), weights)), "pan")
+        out[m] = written(_pan(_profiles(_of_itself(log, [m], k), weights)), "pan")
         if seconds is not None and time.monotonic() - began > seconds:
             break
     return out
@@ -438,18 +510,21 @@ def refined(found: DataFrame, pan: DataFrame, delta: int = 2) -> DataFrame:
 
 def join_profile(log: DataFrame, other: DataFrame, weights: list[float], m: int, k: int = 1) -> DataFrame:
     """(log_id, i, distances, neighbours) of each window of log among all windows of the log of that id in other, k of them, nearest first."""
-    work = in_order(log, "levels", "a").join(in_order(other, "levels", "b"), "log_id").withColumns({"m": F.lit(m), "k": F.lit(k)})
+    work = in_order(log, "levels", "a").join(in_order(other, "levels", "b"), "log_id").withColumns({"m": F.array(F.lit(m)), "k": F.lit(k)})
     return _profiles(work, weights).select("log_id", "i", "distances", "neighbours")
 
 
 def pan_motifs(pan: DataFrame, top: int = 10, separation: int = 5) -> DataFrame:
     """The best motifs over all lengths of a pan-profile: (log_id, m, i, j, distance, score), scores standardised within a length."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
+    def run(p: pa.Table) -> pa.Table:
+        lengths, i, dist, near = (p.column(c).to_numpy() for c in ("m", "i", "distance", "neighbour"))
+        order = np.lexsort((i, lengths))
+        lengths, dist, near = lengths[order], dist[order], near[order]
+        cuts = np.flatnonzero(np.diff(lengths, prepend=lengths[0] - 1))
         found = []
-        for m, rows in p.groupby("m"):
-            rows = rows.sort_values("i")
-            d, at = rows["distance"].to_numpy(), rows["neighbour"].to_numpy()
+        for a, b in zip(cuts, [*cuts[1:], len(lengths)], strict=True):
+            m, d, at = int(lengths[a]), dist[a:b], near[a:b]
             fine = np.isfinite(d)
             if not fine.any():
                 continue
@@ -457,11 +532,12 @@ def pan_motifs(pan: DataFrame, top: int = 10, separation: int = 5) -> DataFrame:
             rank[np.argsort(d, kind="stable")] = np.arange(len(d))
             score = 1 - rank / max(1, len(d) - 1)
             z = (score - score[fine].mean()) / (score[fine].std() or 1)
-            found += [{"m": int(m), "i": i, "j": j, "distance": x, "score": float(z[i])} for i, j, x in top_motifs(d, at, top, max(10, int(m)))]
-        rows = [(p["log_id"].iloc[0], c["m"], c["i"], c["j"], c["distance"], c["score"]) for c in distinct_motifs(found, separation)[:top]]
-        return pd.DataFrame(rows, columns=["log_id", "m", "i", "j", "distance", "score"])
+            found += [{"m": m, "i": i, "j": j, "distance": x, "score": float(z[i])} for i, j, x in top_motifs(d, at, top, max(10, m))]
+        rows = [(c["m"], c["i"], c["j"], c["distance"], c["score"]) for c in distinct_motifs(found, separation)[:top]]
+        return _rows(p, {"m": pa.int32(), "i": pa.int64(), "j": pa.int64(), "distance": pa.float64(), "score": pa.float64()}, rows)
 
-    return _grouped(pan, run, "m int, i long, j long, distance double, score double")
+    pan = pan.select("log_id", "m", "i", "distance", "neighbour")
+    return pan.groupBy("log_id").applyInArrow(run, f"log_id {_kind(pan)}, m int, i long, j long, distance double, score double")
 
 
 def vector_profile(log: DataFrame, m: int, vector: str = "vector") -> DataFrame:
