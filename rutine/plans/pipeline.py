@@ -56,9 +56,9 @@ def discover(
     final = written(final.select("log_id", (F.row_number().over(order) - 1).cast("long").alias("motif_id"), F.col("start").alias("motif_start"), F.col("end").alias("motif_end")), "final")
     scores = written(evaluation.evaluate_motifs(final, written(truth, "truth"), threshold)[0], "scores")
     facts = dense.groupBy("log_id").agg(F.count("*").alias("log_length"), F.var_samp("rule_density_count").alias("grammar_variance"))
-    facts = facts.join(reduced.groupBy("log_id").agg(F.count("*").alias("filtered_log_length")), "log_id", "left")
-    facts = facts.join(core.groupBy("log_id").agg(F.count("*").alias("cores")), "log_id", "left")
-    return facts.join(scores, "log_id", "left")
+    facts = facts.join(reduced.groupBy("log_id").agg(F.count("*").alias("filtered_log_length")).hint("merge"), "log_id", "left")
+    facts = facts.join(core.groupBy("log_id").agg(F.count("*").alias("cores")).hint("merge"), "log_id", "left")
+    return facts.join(scores.hint("merge"), "log_id", "left")
 
 
 def variance_study(log: DataFrame, columns: list[str]) -> DataFrame:
@@ -67,4 +67,4 @@ def variance_study(log: DataFrame, columns: list[str]) -> DataFrame:
     rules, _ = grammar.re_pair(log)
     dense = grammar.density_of(log, rules)
     n = rules.groupBy("log_id").agg(F.count("*").alias("rules"), F.max("level").alias("levels"))
-    return dense.groupBy("log_id").agg(F.count("*").alias("log_length"), F.var_samp("rule_density_count").alias("grammar_variance")).join(n, "log_id", "left").fillna(0, ["rules", "levels"])
+    return dense.groupBy("log_id").agg(F.count("*").alias("log_length"), F.var_samp("rule_density_count").alias("grammar_variance")).join(n.hint("merge"), "log_id", "left").fillna(0, ["rules", "levels"])

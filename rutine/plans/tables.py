@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark broadcasts what is small as a file, and packed files are many times larger as rows, all of which pass the driver. What written() writes broadcasts no more than this.
+BROADCAST, MOST = "spark.sql.autoBroadcastJoinThreshold", 256 << 10
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def _bytes(told: str) -> int:
+    """A size as Spark writes it, 10485760b or 256k."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", told.strip().lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,12 +42,14 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     when the JVM ends, or by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rutine-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
+    before = {CLEANUP: spark.conf.get(CLEANUP, "false"), BROADCAST: spark.conf.get(BROADCAST)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BROADCAST, str(min(MOST, _bytes(before[BROADCAST]))))
     try:
         df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
