@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rutine.functions.scalars import numbers, split_element_action
-from rutine.operators.scans import numbered, running
+from rutine.operators.scans import LONG, numbered, running
 from rutine.plans.tables import written
 
 #: How a source's ground truth tells its end from start and length.
@@ -50,12 +50,13 @@ def folder_files(spark: SparkSession, path: str, most_rows: int, pattern: str =
     return files.select("file", "header", "rows", (F.col("_all") - F.col("rows")).alias("before"))
 
 
-def read_folder(spark: SparkSession, path: str, most_rows: int = 100_000, sep: str = ",", pattern: str = "*.csv", long: bool = False) -> DataFrame:
+def read_folder(spark: SparkSession, path: str, most_rows: int = 100_000, sep: str = ",", pattern: str = "*.csv", long: bool | None = None) -> DataFrame:
     """The CSV files of a folder as one log, in the order of their names, up to before the file that would exceed most_rows.
 
     Files may have different headers: those of one header are read by one scan, and missing columns are null. The driver holds the
-    names of the files, as Spark does of any folder that it reads, and a schema for each header. `long` deals the numbering. A row is a line."""
-    layouts = folder_files(spark, path, most_rows, pattern).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.get("files", F.lit(0))).collect()
+    names of the files, as Spark does of any folder that it reads, and a schema for each header. `long` deals the numbering, which is done where there are a million
+    rows or more, unless told. A row is a line."""
+    layouts = folder_files(spark, path, most_rows, pattern).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"), F.sum("rows").alias("rows")).orderBy(F.get("files", F.lit(0))).collect()
     out = None
     for layout in layouts:
         part = spark.read.csv(layout.files, header=True, sep=sep, nullValue="")
@@ -65,7 +66,7 @@ def read_folder(spark: SparkSession, path: str, most_rows: int = 100_000, sep: s
         raise ValueError(f"no file of {path} fits into {most_rows} rows")
     out = out.withColumn("_row", F.monotonically_increasing_id()).withColumn("log_id", F.lit(path))
     order = ["_file", "_block", "_row"]
-    if long:
+    if sum(layout.rows for layout in layouts) >= LONG if long is None else long:
         out = numbered(out, ["log_id"], order, "event_index")
     else:
         out = out.withColumn("event_index", F.row_number().over(Window.partitionBy("log_id").orderBy(*order)) - F.lit(1).cast("long"))
