@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rutine.functions.scalars import num_to_letters, row_key
+from rutine.operators.bands import in_order
 from rutine.operators.scans import BLOCK, beside, running
 from rutine.operators.sequence import bigram_table, bigrams, in_log, islands, running_total, within_ranges
 from rutine.plans.shipping import ship
@@ -151,7 +152,7 @@ def rule_density(log: DataFrame, patterns: DataFrame, column: str = "symbol", lo
         steps.append(written(part, "steps"))
     drop(rows, counted)
     step = together(steps).groupBy("log_id", "event_index").agg(F.sum("_step").alias("_step"))
-    out = log.join(step, ["log_id", "event_index"], "left")
+    out = log.join(step.hint("merge"), ["log_id", "event_index"], "left")
     if long:
         out = running(written(out, "steps"), ["log_id"], "event_index", {"rule_density_count": ("sum", F.coalesce("_step", F.lit(0)))})
         return out.withColumn("rule_density_count", F.col("rule_density_count").cast("long")).drop("_step")
@@ -306,19 +307,24 @@ def path_walk(log: DataFrame, core: DataFrame, columns: list[str], share: float
         out = core.join(down, ["log_id", "core_id"]).join(up, ["log_id", "core_id"])
         return out.withColumn("lower_pattern_switch", F.col(lo) - F.col("_down")).withColumn("upper_pattern_switch", F.col(hi) + F.col("_up")).drop("_down", "_up")
     ship(log.sparkSession)
-    places = core.select(F.col("log_id").alias("_log"), "core_id", F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
-
-    def run(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        names = ["log_id", "core_id", "lower_pattern_switch", "upper_pattern_switch"]
-        if not len(some):
-            return pd.DataFrame(columns=names)
-        key = rows.sort_values("event_index")["key"].tolist()
-        some = some.sort_values("core_id")
-        down = _walk(key, some["lo"].tolist(), -1, share * len(some))
-        up = _walk(key, some["hi"].tolist(), 1, share * len(some))
-        return pd.DataFrame({"log_id": some["_log"], "core_id": some["core_id"], names[2]: some["lo"] - down, names[3]: some["hi"] + up})
-
-    found = keys.groupBy("log_id").cogroup(places.groupBy("_log")).applyInPandas(run, f"log_id {kind}, core_id int, lower_pattern_switch long, upper_pattern_switch long")
+    at = F.struct("core_id", F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi"))
+    places = core.groupBy("log_id").agg(F.array_sort(F.collect_list(at)).alias("places"))
+    walks = in_order(keys, "key", "keys").join(places.hint("merge"), "log_id").select("log_id", "keys", "places.core_id", "places.lo", "places.hi")
+
+    def run(batches):
+        for b in batches:
+            ids, told = [], ([], [], [])
+            for r in range(b.num_rows):
+                key, core_id, low, high = (b.column(x)[r].as_py() for x in range(1, 5))
+                down, up = _walk(key, low, -1, share * len(core_id)), _walk(key, high, 1, share * len(core_id))
+                ids += [r] * len(core_id)
+                for out, values in zip(told, (core_id, [x - d for x, d in zip(low, down, strict=True)], [x + d for x, d in zip(high, up, strict=True)]), strict=True):
+                    out += values
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(ids, pa.int64())), *(pa.array(x, t) for x, t in zip(told, (pa.int32(), pa.int64(), pa.int64()), strict=True))], names=["log_id", "core_id", "lower_pattern_switch", "upper_pattern_switch"]
+            )
+
+    found = walks.mapInArrow(run, f"log_id {kind}, core_id int, lower_pattern_switch long, upper_pattern_switch long")
     return core.join(found, ["log_id", "core_id"])
 
 
