@@ -214,7 +214,7 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int |
     if n < 2 * low:
         return []
     alike = Similarities(x)
-    return sets_of_paths(paths_of(alike.row, n, low, alike.quantile(rho)), n, low, high, most, overlap)
+    return sets_of_paths(paths_of(alike.row, n, low, alike.quantile(rho), alike.cells), n, low, high, most, overlap)
 
 
 def sets_of_paths(paths: list[tuple[np.ndarray, np.ndarray]], n: int, low: int, high: int, most: int | None = None, overlap: float = 0.0) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
@@ -256,6 +256,12 @@ class Similarities:
         one = self.table[self.at[i]] if self.table is not None else self._between(self.distinct[self.at[i]][None])[0]
         return one[self.at]
 
+    def cells(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Similarities of the places i to the places j, one by one."""
+        if self.table is not None:
+            return self.table[self.at[i], self.at[j]]
+        return np.array([self.row(a)[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+
     def quantile(self, q: float) -> float:
         """The quantile, interpolated, of the similarities of all pairs of different places: two passes, the second over one narrow range of values."""
         n = len(self.at)
@@ -291,6 +297,10 @@ class Similarities:
             at += len(value)
 
 
+#: Representatives that are looked up at once.
+COVERED = 1 << 20
+
+
 def _covered(path: np.ndarray, fits: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
     """(start, end, member start, member end, mean similarity) of all representatives of low to high places that a path relates to a member.
 
@@ -298,11 +308,18 @@ def _covered(path: np.ndarray, fits: np.ndarray, low: int, high: int) -> tuple[n
     out = [(np.empty(0, path.dtype),) * 4 + (np.empty(0),)]
     sums = np.concatenate([[0.0], np.cumsum(fits)])  # of the similarities along the path
     for a, b in (path.T, path.T[::-1]):
-        for m in range(low, min(high, int(a[-1] - a[0]) + 1) + 1):
-            u = np.arange(a[0], a[-1] - m + 2, dtype=path.dtype)
-            i, j = np.searchsorted(a, u), np.searchsorted(a, u + m) - 1
+        size = int(a[-1] - a[0]) + 1
+        if size < low:
+            continue
+        lengths = np.arange(low, min(high, size) + 1, dtype=path.dtype)
+        at = np.searchsorted(a, np.arange(a[0], a[-1] + 2, dtype=path.dtype))  # where the path reaches a place
+        for some in np.array_split(lengths, -(-len(lengths) * size // COVERED)):
+            u, m = np.arange(size, dtype=path.dtype)[None, :], some[:, None]
+            which, u = np.nonzero(u + m <= size)
+            m = some[which]
+            i, j = at[u], at[u + m] - 1
             fine = i <= j
-            u, i, j = u[fine], i[fine], j[fine]
+            u, m, i, j = u[fine].astype(path.dtype) + a[0], m[fine], i[fine], j[fine]
             out.append((u, u + m, b[i], b[j] + 1, (sums[j + 1] - sums[i]) / (j + 1 - i)))
     return tuple(np.concatenate(x) for x in zip(*out))
 

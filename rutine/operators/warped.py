@@ -119,7 +119,17 @@ def pieces(best: np.ndarray, head: np.ndarray, i0: int, j0: int, n: int, low: in
 def apart(paths: list[tuple[np.ndarray, np.ndarray]], low: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Paths (cells, similarities), best first, each cut where, from its head on, it comes within low // 2 places of a better one that stayed; those of fewer than low cells go."""
     half, out, grid = low // 2, [], {}
-    side = half + 1
+    side, n = half + 1, max((int(cells.max()) + 1 for cells, _ in paths), default=0)
+    if n <= TILE:  # so few places that what is near is an array
+        near, around = np.zeros((n, n), bool), np.arange(-half, half + 1)
+        for cells, fits in paths:
+            hits = np.flatnonzero(near[cells[:, 0], cells[:, 1]])
+            start = int(hits[-1]) + 1 if len(hits) else 0
+            if len(cells) - start >= low:
+                out.append((cells[start:], fits[start:]))
+                i, j = (np.clip(c[:, None] + around, 0, n - 1) for c in cells[start:].T)
+                near[i[:, :, None], j[:, None, :]] = True
+        return out
     for cells, fits in paths:
         start = 0
         for at in range(len(cells) - 1, -1, -1):
@@ -135,15 +145,16 @@ def apart(paths: list[tuple[np.ndarray, np.ndarray]], low: int) -> list[tuple[np
     return out
 
 
-def paths_of(sim, n: int, low: int, tau: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All paths of a series that is one tile, best first: (cells, similarities)."""
+def paths_of(sim, n: int, low: int, tau: float, cell=None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All paths of a series that is one tile, best first: (cells, similarities). cell(i, j), if given, are the similarities of many cells at once."""
+    cell = cell or (lambda i, j: np.array([sim(a)[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)]))
     w, back = aligned(sim, n, n, 0, 0, low, tau)
     best, head, _ = headed(w, back, 0, 0, n)
     heads, worth, places = pieces(best, head, 0, 0, n, low)
     out = []
     for k in np.lexsort((heads, -np.array(worth))).tolist() if heads else []:
         cells = np.stack([places[k] // n, places[k] % n], axis=1).astype(np.int32)
-        out.append((cells, np.array([sim(i)[j] for i, j in cells.tolist()])))
+        out.append((cells, cell(cells[:, 0], cells[:, 1])))
     return apart(out, low)
 
 
