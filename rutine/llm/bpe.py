@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rutine.llm.common import arrow_batches
+from rutine.llm.common import arrow_batches, lean_batches
 
 #: Pieces above this many characters are encoded anew each time.
 CACHED_CHARS = 64
@@ -247,4 +247,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean_batches(run), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)

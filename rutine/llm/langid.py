@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rutine.llm.common import arrow_batches, table
+from rutine.llm.common import arrow_batches, lean_batches, table
 
 #: Bytes after which the states start anew.
 BLOCK = 128
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*out, pa.array(runs, run_type)] if spans else out, names=["id", "lang_pred", "score", "runs"][: 3 + spans])
 
     schema = f"id {kind}, lang_pred string, score double" + ", runs array<struct<start:int,end:int,lang:string>>" * spans
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean_batches(run), schema).withColumnRenamed("id", id_col)
 
 
 def with_language(docs: DataFrame, net: Network, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -266,7 +266,7 @@ def with_language(docs: DataFrame, net: Network, text_col: str = "text", names:
             lang, score = zip(*best, strict=True) if best else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=kinds.names)
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(lean_batches(run), kinds)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.llm.census import census
-from rutine.llm.common import arrow_batches, drop, table, written
+from rutine.llm.common import arrow_batches, drop, lean_batches, table, written
 from rutine.llm.components import components
 from rutine.llm.symbols import distinct_by_owner, grams, mix, words_of_all
 
@@ -199,12 +199,12 @@ def similar_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     arrow_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted = census(rows, lambda texts: gram_sets(texts, words)).select("id", "text", "codes")
-    found = written(counted.mapInArrow(_sets(words, percent), SETS), "sets")
+    found = written(counted.mapInArrow(lean_batches(_sets(words, percent)), SETS), "sets")
     partners = found.where("grams IS NOT NULL")
     same = partners.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"))
     sets = partners.join(same, ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id", "n", "s1", "s2"])
     sets = written(sets, "folded")
-    posts = written(sets.select("id", "n", "own", "front", "grams").mapInArrow(_postings, "gram long, id long, n long, own long, place long"), "postings")
+    posts = written(sets.select("id", "n", "own", "front", "grams").mapInArrow(lean_batches(_postings), "gram long, id long, n long, own long, place long"), "postings")
     one, other = _marked(sets, "a", "n", "own", "k"), _marked(sets, "b", "n2", "own2", "l")
     # each set with the most ordinary one behind the same gram
     hubs = posts.groupBy("gram").agg(F.min(F.struct("own", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
