@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rutine.operators import vectors
 from rutine.operators.bands import banded, in_order, pairs_of, spans
 from rutine.operators.scans import numbered
 from rutine.operators.warped import DIGITS, TILE, apart, long_paths, paths_of, scale_of
@@ -129,32 +130,12 @@ def short_profiles(ids: np.ndarray, costs: np.ndarray, lengths: list[int], k: in
 
 
 def series_profile(x: np.ndarray, m: int, denominator: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Distances and neighbours by the k-dimensional matrix profile: x is (places, dimensions), both results (dimensions, windows).
-
-    Row k has the best mean over the k + 1 best dimensions of z-normalised Euclidean distances, by sliding dot products."""
-    n = len(x) - m + 1
-    dims = x.shape[1]
-    p, at = np.full((dims, max(0, n)), np.inf), np.full((dims, max(0, n)), -1, np.int64)
-    if n <= 0:
-        return p, at
-    c = np.concatenate([np.zeros((1, dims)), np.cumsum(x, axis=0)])
-    mean = (c[m:] - c[:-m]) / m
-    c2 = np.concatenate([np.zeros((1, dims)), np.cumsum(x * x, axis=0)])
-    sd = np.sqrt(np.maximum((c2[m:] - c2[:-m]) / m - mean * mean, 0))
-    flat = sd < 1e-10
-    for d in range(exclusion(m, denominator) + 1, n):
-        s = np.concatenate([np.zeros((1, dims)), np.cumsum(x[: len(x) - d] * x[d:], axis=0)])
-        dot = s[m:] - s[:-m]
-        i, j = np.arange(n - d), np.arange(d, n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = (dot / m - mean[i] * mean[j]) / (sd[i] * sd[j])
-        dist = np.sqrt(np.maximum(2 * m * (1 - r), 0))
-        dist = np.where(flat[i] & flat[j], 0.0, np.where(flat[i] | flat[j], math.sqrt(m), dist))
-        best = np.cumsum(np.sort(dist, axis=1), axis=1) / np.arange(1, dims + 1)
-        for rows, others in ((i, j), (j, i)):
-            less = best.T < p[:, rows]
-            p[:, rows], at[:, rows] = np.where(less, best.T, p[:, rows]), np.where(less, others, at[:, rows])
-    return p, at
+    """Distances and neighbours by the k-dimensional matrix profile of one series: x is (places, dimensions), both results (dimensions, windows).
+
+    Row k has the best mean over the k + 1 best dimensions of z-normalised Euclidean distances."""
+    w = vectors.Windows(np.asarray(x, float), m)
+    best, _ = vectors.tile(w, w, None, None, exclusion(m, denominator))
+    return best.p.T, best.at.T
 
 
 def window_distances(x: np.ndarray, m: int, i: int) -> np.ndarray:
@@ -557,14 +538,12 @@ def pan_motifs(pan: DataFrame, top: int = 10, separation: int = 5) -> DataFrame:
     return pan.groupBy("log_id").applyInArrow(run, f"log_id {_kind(pan)}, m int, i long, j long, distance double, score double")
 
 
-def vector_profile(log: DataFrame, m: int, vector: str = "vector") -> DataFrame:
-    """(log_id, i, distances, neighbours): the multi-dimensional matrix profile, an entry for each number of dimensions."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        d, at = series_profile(np.array(p.sort_values("event_index")["v"].tolist(), float), m)
-        return pd.DataFrame({"log_id": p["log_id"].iloc[0], "i": np.arange(d.shape[1]), "distances": list(d.T), "neighbours": list(at.T)})
+def vector_profile(log: DataFrame, m: int, vector: str = "vector", size: int | None = None) -> DataFrame:
+    """(log_id, i, distances, neighbours): the multi-dimensional matrix profile, an entry for each number of dimensions.
 
-    return _grouped(log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v")), run, "i long, distances array<double>, neighbours array<long>")
+    Windows are dealt in blocks of `size`; any size gives the same."""
+    size = size or vectors.block_size(m)
+    return vectors.profile(written(vectors.in_blocks(vectors.series(log, vector), m, size), "blocks"), m, exclusion(m), size)
 
 
 def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8, most: int | None = None, vector: str = "vector", tile: int = TILE) -> DataFrame:
