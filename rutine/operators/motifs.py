@@ -585,32 +585,15 @@ def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8
     return out.unionByName(paths.join(long, "log_id").groupBy("log_id").applyInPandas(tiled, f"log_id {kind}, {schema}"))
 
 
-def vector_motifs(log: DataFrame, m: int, most: int = 10, denominator: int = 1, vector: str = "vector") -> DataFrame:
+def vector_motifs(log: DataFrame, m: int, most: int = 10, denominator: int = 1, vector: str = "vector", size: int | None = None) -> DataFrame:
     """Motifs of the multi-dimensional profile: (log_id, dimensions, i, j, distance, subspace, matches), one row for each number of dimensions.
 
     i and j are the best pair of windows over so many dimensions, subspace those in which they are closest, and matches the windows nearest to
     i in that subspace, i itself first, at most `most`, each outside the exclusion zones of the ones before and no further than the mean of the
     row's profile less two deviations, or than j."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(p.sort_values("event_index")["v"].tolist(), float)
-        d, at = series_profile(x, m, denominator)
-        rows, zone = [], exclusion(m, denominator)
-        for k in range(len(d)):
-            if not d.shape[1] or not np.isfinite(d[k]).any():
-                continue
-            i = int(np.argmin(d[k]))
-            j = int(at[k, i])
-            each = window_distances(x, m, i)
-            space = np.sort(np.argsort(each[:, j], kind="stable")[: k + 1])
-            near = each[space].mean(axis=0)
-            fine = d[k][np.isfinite(d[k])]
-            limit, found = max(float(fine.mean() - 2 * fine.std()), float(near[j])), [i]
-            for w in np.argsort(near, kind="stable").tolist():
-                if len(found) < most and near[w] <= limit and all(abs(w - f) > zone for f in found):
-                    found.append(w)
-            rows.append((p["log_id"].iloc[0], k + 1, i, j, float(d[k, i]), space.tolist(), found))
-        return pd.DataFrame(rows, columns=["log_id", "dimensions", "i", "j", "distance", "subspace", "matches"])
-
-    rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"))
-    return _grouped(rows, run, "dimensions int, i long, j long, distance double, subspace array<int>, matches array<long>")
+    size = size or vectors.block_size(m)
+    rows = written(vectors.series(log, vector), "series")
+    blocks = written(vectors.in_blocks(rows, m, size), "blocks")
+    zone = exclusion(m, denominator)
+    return vectors.motifs_of(vectors.profile(blocks, m, zone, size), rows, blocks, m, most, zone, size)

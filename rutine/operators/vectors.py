@@ -258,3 +258,63 @@ def series(log: DataFrame, vector: str) -> DataFrame:
     """(log_id, at, v): vectors by place."""
     rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"))
     return numbered(rows, ["log_id"], ["event_index"], "at").select("log_id", "at", "v")
+
+
+def _to_window(x: Windows, i: Windows, dims: list[int]) -> np.ndarray:
+    """Mean distances over some dimensions, added up in their order, of the windows of x to the one of i."""
+    each = x.distances(np.arange(x.n), i, np.zeros(x.n, np.int64))
+    total = np.zeros(x.n)
+    for d in dims:
+        total += each[:, d]
+    return total / len(dims)
+
+
+def motifs_of(found: DataFrame, rows: DataFrame, blocks: DataFrame, m: int, most: int, zone: int, size: int) -> DataFrame:
+    """(log_id, dimensions, i, j, distance, subspace, matches) of a profile; rows and blocks are those that it was made of.
+
+    Each block tells of the windows that may be matches: no more than `most` times as many as a zone holds, since each match hides no more."""
+    kind = blocks.schema["log_id"].dataType.simpleString()
+    each = found.select("log_id", "i", F.posexplode(F.arrays_zip("distances", "neighbours"))).where("col.neighbours >= 0")
+    best = each.groupBy("log_id", "pos").agg(F.min(F.struct("col.distances", "i", "col.neighbours")).alias("b"), F.avg("col.distances").alias("mean"), F.stddev_pop("col.distances").alias("sd"))
+    best = written(best.select("log_id", (F.col("pos") + 1).alias("dimensions"), F.col("b.i").alias("i"), F.col("b.neighbours").alias("j"), F.col("b.distances").alias("distance"), (F.col("mean") - 2 * F.col("sd")).alias("least")), "best")
+    places_ = best.select("log_id", "dimensions", "i", "j", "distance", "least", F.posexplode(F.concat(F.sequence("i", F.col("i") + m - 1), F.sequence("j", F.col("j") + m - 1))).alias("t", "place"))
+    there = rows.withColumnRenamed("log_id", "_log")
+    pairs = places_.join(there, places_["log_id"].eqNullSafe(there["_log"]) & (F.col("place") == F.col("at")))
+    pairs = pairs.groupBy("log_id", "dimensions", "i", "j", "distance", "least").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda r: r["v"]).alias("pair"))
+    asked = pairs.groupBy("log_id").agg(F.collect_list(F.struct("dimensions", "i", "j", "distance", "least", "pair")).alias("asked")).withColumnRenamed("log_id", "_log")
+    last = blocks.groupBy("log_id").agg(F.max("block").alias("last")).withColumnRenamed("log_id", "_log2")
+    asked = asked.join(last, asked["_log"].eqNullSafe(last["_log2"])).select("_log", "asked", F.explode(F.sequence(F.lit(0), "last")).alias("_block"))
+    work = blocks.join(asked, blocks["log_id"].eqNullSafe(asked["_log"]) & (blocks["block"] == asked["_block"])).select("log_id", "block", "x", "asked").repartition(_parts(blocks), "log_id", "block")
+    near = f"log_id {kind}, dimensions int, i long, j long, distance double, subspace array<int>, w array<long>, near array<double>"
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                x = Windows(_array(b.column(2)[r]), m, b.column(1)[r].as_py() * size)
+                out = []
+                for q in b.column(3)[r].as_py():
+                    i, j = (Windows(np.array(y, float), m) for y in (q["pair"][:m], q["pair"][m:]))
+                    one = np.zeros(1, np.int64)
+                    space = np.sort(np.argsort(i.distances(one, j, one)[0], kind="stable")[: q["dimensions"]]).tolist()
+                    limit = max(q["least"], float(_to_window(j, i, space)[0]))
+                    d = _to_window(x, i, space)
+                    some = np.argsort(d, kind="stable")[: most * (2 * zone + 1)]
+                    some = some[d[some] <= limit]
+                    if len(some):
+                        out.append((q["dimensions"], q["i"], q["j"], q["distance"], space, (some + x.start).tolist(), d[some].tolist()))
+                if out:
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+                    columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r] * len(out))), *columns], names=["log_id", "dimensions", "i", "j", "distance", "subspace", "w", "near"])
+
+    def chosen(group: pa.Table) -> pa.Table:
+        i = group.column("i")[0].as_py()
+        w, d = (np.concatenate([x.values.to_numpy() for x in group.column(c)]) for c in ("w", "near"))
+        taken = [i]
+        for x in w[np.lexsort((w, d))].tolist():
+            if len(taken) < most and all(abs(x - y) > zone for y in taken):
+                taken.append(x)
+        return group.slice(0, 1).drop_columns(["w", "near"]).append_column("matches", pa.array([taken], pa.list_(pa.int64())))
+
+    told = work.mapInArrow(run, near)
+    return told.groupBy("log_id", "dimensions").applyInArrow(chosen, near.replace("w array<long>, near array<double>", "matches array<long>"))

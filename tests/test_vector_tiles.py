@@ -46,6 +46,14 @@ def test_profiles_by_tiles_are_brute_force(spark, size):
     assert {(r.log_id, r.i): (r.distances, r.neighbours) for r in out.collect()} == whole
 
 
+def test_motifs_by_tiles_are_those_of_whole_series(spark):
+    _, log = series(spark)
+    rows = lambda size: {(r.log_id, r.dimensions): (r.i, r.j, r.distance, r.subspace, r.matches) for r in motifs.vector_motifs(log, 6, size=size).collect()}
+    got = rows(16)
+    assert got == rows(None) and len(got) == 10
+    assert got[1, 5][:3] == (20, 60, 0.0) and got[1, 5][4][:2] == [20, 60]
+
+
 def test_a_series_is_no_group(spark):
     _, log = series(spark)
     blocks = vectors.in_blocks(vectors.series(log, "vector"), 6, 16)
