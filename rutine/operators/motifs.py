@@ -363,12 +363,6 @@ def _taken_sets(start, end, first, last, mean, n: int, most: int | None, overlap
     return out
 
 
-def _grouped(df: DataFrame, run, schema: str) -> DataFrame:
-    ship(df.sparkSession)
-    kind = df.schema["log_id"].dataType.simpleString()
-    return df.groupBy("log_id").applyInPandas(run, f"log_id {kind}, {schema}")
-
-
 def _kind(df: DataFrame) -> str:
     ship(df.sparkSession)
     return df.schema["log_id"].dataType.simpleString()
