@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rutine.llm.common import arrow_batches, lean_batches
+from rutine.llm.common import arrow_batches, keep, lean_batches, small_batches
 
 #: Pieces above this many characters are encoded anew each time.
 CACHED_CHARS = 64
@@ -223,7 +223,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker and vocabulary, with a cache that lives as long as the worker."""
+    """One codec for each worker and vocabulary, with a cache that lives until the worker gets a task of another operator."""
+    keep("tokens", codec.cache_clear)
     return Codec(read_ranks(path), pattern)
 
 
@@ -239,7 +240,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
     def run(batches):
         c = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in small_batches(batches):
             packed = [c.packed(x) if x else b"" for x in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) >> 2 for x in packed)], dtype=np.int64)
             flat = np.frombuffer(b"".join(packed), "<i4")
@@ -247,4 +248,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
-    return rows.mapInArrow(lean_batches(run), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean_batches(run, keeps="tokens"), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)

@@ -110,8 +110,9 @@ def census(docs: DataFrame, hashes: Callable[[list[str]], tuple[np.ndarray, np.n
             owner = np.repeat(np.arange(len(each)), each)
             order = np.argsort(top, kind="stable")
             low, owner = (all_ >> np.uint64(16)).astype("<u4")[order], owner[order]
-            used = np.union1d(top, [0])
-            ends = np.searchsorted(top[order], np.append(used, buckets))
+            each_bucket = np.bincount(top, minlength=buckets)
+            used = np.union1d(np.flatnonzero(each_bucket), [0])
+            ends = np.append(0, np.cumsum(each_bucket))[np.append(used, buckets)]
             rows = []
             for i, a, z in zip(used.tolist(), ends.tolist(), ends[1:].tolist(), strict=False):
                 new, again = _folded(low[a:z])

@@ -60,10 +60,33 @@ def _give_back() -> None:
         pass
 
 
-def lean_batches(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
-    """run, a function over batches, giving back what it has freed after each batch and at its end."""
+#: What operators keep in a worker from one task to the next: a function for each that lets it go.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(what: str, let_go: Callable[[], None]) -> None:
+    """Tell that this process keeps something which tasks that do not need it shall let go."""
+    _kept[what] = let_go
+
+
+def _let_go(but: str) -> None:
+    """Let go what tasks of other operators have kept in this process."""
+    for what in [x for x in _kept if x != but]:
+        _kept.pop(what)()
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """batches in slices of some rows, for work that takes many times the space of what it works on."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def lean_batches(run: Callable[[Iterable], Iterator], keeps: str = "") -> Callable[[Iterable], Iterator]:
+    """run, a function over batches, giving back what it has freed after each batch and at its end, and before it what others have kept. keeps: what run itself keeps."""
 
     def lean(batches):
+        _let_go(keeps)
         for out in run(batches):
             yield out
             del out

@@ -17,13 +17,15 @@ is tested inside the joins, before anything is put out; a gram in very many sets
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rutine.llm.census import census
-from rutine.llm.common import arrow_batches, drop, lean_batches, table, written
+from rutine.llm.common import arrow_batches, drop, lean_batches, small_batches, table, written
 from rutine.llm.components import components
 from rutine.llm.symbols import distinct_by_owner, grams, mix, words_of_all
 
@@ -33,10 +35,29 @@ TRIE = 256
 BITS = 512
 #: Sets behind a gram that one key of the last comparison may hold on its smaller side.
 BLOCK = 4096
+#: Characters of texts whose n-grams are sorted at once: a batch has some ten times as many, and sorting takes many times the space of its texts.
+AT_ONCE = 1 << 19
+
+
+def _few(texts: list[str]) -> Iterator[list[str]]:
+    """texts in runs of about AT_ONCE characters, one run at least; a text is never cut."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        size += len(x)
+        if size >= AT_ONCE:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts) or not texts:
+        yield texts[start:]
 
 
 def gram_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct hashes of each text's n-grams, one text after the other; how many each has). A text with fewer words has all of them as one."""
+    hashes, sizes = zip(*(_gram_sets(few, words) for few in _few(texts)), strict=True)
+    return np.concatenate(hashes), np.concatenate(sizes)
+
+
+def _gram_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     w, n = words_of_all([x.encode() for x in texts], lower=True)
     ends = np.cumsum(n)
     owner = np.repeat(np.arange(len(n)), n)
@@ -132,7 +153,7 @@ def _sets(words: int, percent: int):
     """Rows of SETS of (id, text, codes); grams holds those that others have too, in order, and is null where no partner can be."""
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             out = []
             all_, sizes = gram_sets([x or "" for x in b.column(1).to_pylist()], words)
             marks = sketches(all_, sizes)

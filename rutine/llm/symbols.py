@@ -99,13 +99,13 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 
 def _at_point(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a point modulo PRIME and of its inverse, from the 0th, n or more."""
+    """Powers of a point modulo PRIME and of its inverse, from the 0th, n or more. A worker keeps them, so there are no more than a piece needs."""
     got = _points.get(point)
     if got is None or len(got[0]) < n:
         out = []
         for base in (point, pow(point, -1, int(PRIME))):
             power = np.ones(1, np.uint64)
-            while len(power) < max(n, SLICE):
+            while len(power) < max(n, PIECE):
                 power = np.concatenate([power, _reduced(power * U(pow(base, len(power), int(PRIME))))])
             out.append(power)
         got = _points[point] = tuple(out)
