@@ -14,6 +14,8 @@ from rutine.plans.tables import written
 
 #: Dimensions that the key of the cells' join is made of; a cell goes to three to the power of so many neighbourhoods.
 JOINED = 3
+#: Share by which a distance may pass the radius: sums differ in their last digits by the order of adding, and what is exactly at the radius is near.
+SLACK = 1e-12
 
 
 def cell_edges(points: DataFrame, eps: float, size: int) -> DataFrame:
@@ -33,7 +35,7 @@ def cell_edges(points: DataFrame, eps: float, size: int) -> DataFrame:
     x = points.select("log_id", F.col("first").alias("a"), F.col("v").alias("_x"))
     y = points.select("log_id", F.col("first").alias("b"), F.col("v").alias("_y"))
     apart = F.sqrt(F.aggregate(F.zip_with("_x", "_y", lambda p, q: p - q), F.lit(0.0), lambda total, z: total + z * z))
-    return pairs.join(x, ["log_id", "a"]).join(y, ["log_id", "b"]).where(apart <= eps).select("log_id", "a", "b").distinct()
+    return pairs.join(x, ["log_id", "a"]).join(y, ["log_id", "b"]).where(apart <= eps * (1 + SLACK)).select("log_id", "a", "b").distinct()
 
 
 def _side(eps: float, size: int) -> float:
@@ -47,7 +49,7 @@ def _wide(eps: float, size: int) -> int:
 
 
 def cluster_windows(means: DataFrame, eps: float = 1.2) -> DataFrame:
-    """Windows (log_id, window_start, mean) with `cluster`: those connected by distances of at most eps between means that are standardised within
+    """Windows (log_id, window_start, mean) with `cluster`: those connected by distances of at most eps (to 12 digits) between means that are standardised within
     their log; -1 for loners and for means with a null or NaN. Clusters are numbered within a log by their first window.
 
     This is density clustering with two points as the least. Equal means are one point; points of one cell are connected without being compared, so

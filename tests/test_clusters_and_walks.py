@@ -73,3 +73,12 @@ def test_dealt_switches_and_symbols(spark):
     for f in (lambda long: grammar.app_switches(log, core, ["app"], long), lambda long: sequence.symbolize(log, ["app"], long)):
         one, dealt = f(False), f(True)
         assert sorted(map(str, one.select(*dealt.columns).collect())) == sorted(map(str, dealt.collect()))
+
+
+def test_means_exactly_at_the_radius_are_near(spark):
+    """Deviations of the first dimension are 5/2 of its unit, so that means 3 units apart are 1.2 apart; the last digits hang on the order of adding."""
+    parts = [(0, 0), (3, 0), (4, 1), (-3, 0), (-2, 1), (1, 1)]
+    rows = [(g, 7 * i, [(x + g) / 10, float(y)]) for g in range(40) for i, (x, y) in enumerate(parts)]
+    means = spark.createDataFrame(rows, "log_id long, window_start long, mean array<double>")
+    got = {(r.log_id, r.window_start): r.cluster for r in clusters.cluster_windows(means, 1.2).collect()}
+    assert got == {(g, 7 * i): y for g in range(40) for i, (_, y) in enumerate(parts)}
