@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rutine.operators import vectors
 from rutine.operators.bands import banded, in_order, pairs_of, spans
 from rutine.operators.scans import numbered
-from rutine.operators.warped import DIGITS, TILE, apart, long_paths, paths_of, scale_of
+from rutine.operators.warped import DIGITS, TILE, apart, long_paths, paths_of, paths_of_several, scale_of
 from rutine.plans.shipping import ship
 from rutine.plans.tables import written
 
@@ -198,12 +198,32 @@ def time_warped_sets(x: np.ndarray, low: int, high: int, rho: float, most: int |
     return sets_of_paths(paths_of(alike.row, n, low, alike.quantile(rho), alike.cells), n, low, high, most, overlap)
 
 
+#: Cells of similarities that several series may hold at once.
+CELLS = 1 << 19
+
+
+def several_sets(series: list[tuple[np.ndarray, int, int]], rho: float, most: int | None = None):
+    """(number, time_warped_sets()) of each of many series (places, low, high): those of about one length are searched at once."""
+    order, at = sorted(range(len(series)), key=lambda k: -len(series[k][0])), 0
+    while at < len(order):
+        some = order[at : at + max(1, CELLS // max(1, len(series[order[at]][0]) ** 2))]
+        at += len(some)
+        long = [k for k in some if len(series[k][0]) >= 2 * series[k][1]]
+        if len(long) == 1:
+            yield long[0], time_warped_sets(*series[long[0]], rho, most)
+        elif long:
+            alike = [Similarities(series[k][0]) for k in long]
+            paths = paths_of_several([a.all() for a in alike], [series[k][1] for k in long], [a.quantile(rho) for a in alike])
+            for k, found in zip(long, paths, strict=True):
+                x, low, high = series[k]
+                yield k, sets_of_paths(found, len(x), low, high, most)
+
+
 def sets_of_paths(paths: list[tuple[np.ndarray, np.ndarray]], n: int, low: int, high: int, most: int | None = None, overlap: float = 0.0) -> list[tuple[tuple[int, int], list[tuple[int, int]]]]:
     """Motif sets of a series of n places from its paths (cells, similarities)."""
     if not paths:
         return []
-    covers = zip(*(_covered(path, fits, low, high) for path, fits in paths))
-    return _taken_sets(*map(np.concatenate, covers), n, most, overlap)
+    return _taken_sets(*_all_covered(paths, low, high), n, most, overlap)
 
 
 class Similarities:
@@ -237,6 +257,11 @@ class Similarities:
         one = self.table[self.at[i]] if self.table is not None else self._between(self.distinct[self.at[i]][None])[0]
         return one[self.at]
 
+    def all(self) -> np.ndarray:
+        """Similarities of all pairs of places of a short series."""
+        table = self.table if self.table is not None else np.concatenate(list(self._blocks()))
+        return table[self.at[:, None], self.at[None, :]]
+
     def cells(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Similarities of the places i to the places j, one by one."""
         if self.table is not None:
@@ -278,7 +303,7 @@ class Similarities:
             at += len(value)
 
 
-#: Representatives that are looked up at once.
+#: Places of paths that are looked up at once.
 COVERED = 1 << 20
 
 
@@ -286,23 +311,45 @@ def _covered(path: np.ndarray, fits: np.ndarray, low: int, high: int) -> tuple[n
     """(start, end, member start, member end, mean similarity) of all representatives of low to high places that a path relates to a member.
 
     A member is read off the sub-path within the representative, which the path spans. Both segments of the path count."""
-    out = [(np.empty(0, path.dtype),) * 4 + (np.empty(0),)]
-    sums = np.concatenate([[0.0], np.cumsum(fits)])  # of the similarities along the path
-    for a, b in (path.T, path.T[::-1]):
-        size = int(a[-1] - a[0]) + 1
-        if size < low:
-            continue
-        lengths = np.arange(low, min(high, size) + 1, dtype=path.dtype)
-        at = np.searchsorted(a, np.arange(a[0], a[-1] + 2, dtype=path.dtype))  # where the path reaches a place
-        for some in np.array_split(lengths, -(-len(lengths) * size // COVERED)):
-            u, m = np.arange(size, dtype=path.dtype)[None, :], some[:, None]
-            which, u = np.nonzero(u + m <= size)
-            m = some[which]
-            i, j = at[u], at[u + m] - 1
-            fine = i <= j
-            u, m, i, j = u[fine].astype(path.dtype) + a[0], m[fine], i[fine], j[fine]
-            out.append((u, u + m, b[i], b[j] + 1, (sums[j + 1] - sums[i]) / (j + 1 - i)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    return _all_covered([(path, fits)], low, high)
+
+
+def _all_covered(paths: list[tuple[np.ndarray, np.ndarray]], low: int, high: int) -> tuple[np.ndarray, ...]:
+    """What _covered() gives of all paths (cells, similarities), looked up together."""
+    out, sides, held = [(np.empty(0, np.int32),) * 4 + (np.empty(0),)], [], 0
+    for path, fits in paths:
+        sums = np.concatenate([[0.0], np.cumsum(fits)])  # of the similarities along the path
+        for a, b in (path.T, path.T[::-1]):
+            size = int(a[-1] - a[0]) + 1
+            if size < low:
+                continue
+            at = np.searchsorted(a, np.arange(a[0], a[-1] + 2, dtype=path.dtype))  # where the path reaches a place
+            sides.append((a, b, at, sums))
+            held += size
+            if held >= COVERED:
+                out, sides, held = out + _looked_up(sides, low, high), [], 0
+    return tuple(np.concatenate(x) for x in zip(*(out + _looked_up(sides, low, high))))
+
+
+def _looked_up(sides: list[tuple[np.ndarray, ...]], low: int, high: int) -> list[tuple[np.ndarray, ...]]:
+    """What _covered() gives of sides of paths, for each length: (places, those of the other side, where the path reaches each place, sums of similarities)."""
+    if not sides:
+        return []
+    spans, steps = np.array([len(at) - 1 for _, _, at, _ in sides]), np.array([len(a) for a, _, _, _ in sides])
+    ahead = np.repeat(np.cumsum(steps + 1) - steps - 1, spans + 1)  # each side's sums are one longer than its path, and so are, here, its other places
+    at = np.concatenate([at for _, _, at, _ in sides]) + ahead
+    b = np.concatenate([np.append(b, b[:1]) for _, b, _, _ in sides])
+    sums = np.concatenate([s for _, _, _, s in sides])
+    start = np.concatenate([np.arange(a[0], a[-1] + 2, dtype=a.dtype) for a, _, _, _ in sides])
+    left = np.concatenate([np.arange(n, -1, -1) for n in spans])  # places from here to the end of the side
+    out = []
+    for m in range(low, min(high, int(spans.max())) + 1):
+        u = np.flatnonzero(left >= m)
+        i, j = at[u], at[u + m] - 1
+        fine = i <= j
+        u, i, j = start[u[fine]], i[fine], j[fine]
+        out.append((u, u + u.dtype.type(m), b[i], b[j] + 1, (sums[j + 1] - sums[i]) / (j + 1 - i)))
+    return out
 
 
 def _bounds(group: np.ndarray, first: np.ndarray, last: np.ndarray, mean: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
@@ -543,7 +590,7 @@ def vector_profile(log: DataFrame, m: int, vector: str = "vector", size: int | N
 def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8, most: int | None = None, vector: str = "vector", tile: int = TILE) -> DataFrame:
     """(log_id, cluster_id, start, end) of variable-length, time-warped motif sets; half-open, cluster_id numbers sets from the best.
 
-    low and high are lengths, or columns that hold those of each log. A log of at most `tile` places is one task; the similarities of a longer one are worked out by tiles
+    low and high are lengths, or columns that hold those of each log. Logs of at most `tile` places are searched whole, many by one task; the similarities of a longer one are worked out by tiles
     of that size, dealt over tasks, and only its paths come together. Both give the same."""
     low, high = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (low, high))
     rows = log.select("log_id", "event_index", F.col(vector).cast("array<double>").alias("v"), low.cast("int").alias("low"), high.cast("int").alias("high"))
@@ -552,11 +599,14 @@ def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8
     schema, columns = "cluster_id int, start long, end long", ["log_id", "cluster_id", "start", "end"]
     ship(log.sparkSession)
 
-    def whole(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("event_index")
-        x = np.array(p["v"].tolist(), float)
-        found = time_warped_sets(x, int(p["low"].iloc[0]), int(p["high"].iloc[0]), rho, most)
-        return pd.DataFrame([(p["log_id"].iloc[0], c, a, b) for c, (_, members) in enumerate(found) for a, b in members], columns=columns)
+    def whole(batches):
+        for b in batches:
+            series = [(np.asarray(_levels_of(x), float), low.as_py(), high.as_py()) for x, low, high in zip(*(b.column(c) for c in ("v", "low", "high")), strict=True)]
+            for k, found in several_sets(series, rho, most):
+                rows = [(c, *span) for c, (_, members) in enumerate(found) for span in members]
+                if rows:
+                    c, start, end = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column("log_id").take(pa.array([k] * len(rows), pa.int64())), pa.array(c, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=columns)
 
     def tiled(p: pd.DataFrame) -> pd.DataFrame:
         n, low, high = (int(p[c].iloc[0]) for c in ("size", "low", "high"))
@@ -571,7 +621,9 @@ def motif_sets(log: DataFrame, low: int | str, high: int | str, rho: float = 0.8
     facts = written(facts, "lengths")
     long = facts.where(F.col("_n") > tile).drop("_n")
     short = rows.join(facts.where(F.col("_n") <= tile).select("log_id"), "log_id", "left_semi")
-    out = short.groupBy("log_id").applyInPandas(whole, f"log_id {kind}, {schema}")
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # little data, much work: small partitions stay apart
+    short = in_order(short.repartition(parts, "log_id"), "v", "v").join(facts.select("log_id", "low", "high"), "log_id")
+    out = short.mapInArrow(whole, f"log_id {kind}, {schema}")
     if long.isEmpty():
         return out
     series = numbered(rows.join(long.select("log_id"), "log_id", "left_semi").select("log_id", "event_index", "v"), ["log_id"], ["event_index"], "at")

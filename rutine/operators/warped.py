@@ -150,12 +150,55 @@ def paths_of(sim, n: int, low: int, tau: float, cell=None) -> list[tuple[np.ndar
     cell = cell or (lambda i, j: np.array([sim(a)[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)]))
     w, back = aligned(sim, n, n, 0, 0, low, tau)
     best, head, _ = headed(w, back, 0, 0, n)
+    return _settled(best, head, n, low, cell)
+
+
+def _settled(best: np.ndarray, head: np.ndarray, n: int, low: int, cell) -> list[tuple[np.ndarray, np.ndarray]]:
     heads, worth, places = pieces(best, head, 0, 0, n, low)
+    if not heads:
+        return []
+    places = [places[k] for k in np.lexsort((heads, -np.array(worth))).tolist()]
+    at, ends = np.concatenate(places), np.cumsum([len(p) for p in places]).tolist()
+    cells = np.stack([at // n, at % n], axis=1).astype(np.int32)
+    fits = cell(cells[:, 0], cells[:, 1])
+    return apart([(cells[a:b], fits[a:b]) for a, b in zip([0, *ends], ends, strict=False)], low)
+
+
+def paths_of_several(sims: list[np.ndarray], low: list[int], tau: list[float]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """paths_of() of each of several short series, given by the similarities of all their places: a row is worked out for all of them at once.
+
+    They are held as if each were as long as the longest."""
+    size, first = np.array([len(s) for s in sims]), min(low)
+    n = int(size.max())
+    gain, place = np.full((len(sims), n, n), -np.inf), np.arange(n)  # what can't count is never above zero
+    for s, own, lo, t in zip(sims, gain, low, tau, strict=True):
+        own[: len(s), : len(s)] = np.where(place[: len(s)] >= place[: len(s), None] + lo, np.where(s >= t, s, LOSS), -np.inf)
+    w, way = np.zeros((len(sims), n + 2, n + 2)), np.zeros((len(sims), n + 2, n + 2), np.int8)
+    for r in range(n - first):
+        c = r + first
+        worth, step = w[:, r + 1, c + 1 : n + 1], np.int8(1)
+        for k, other in ((2, w[:, r + 1, c:n]), (3, w[:, r, c + 1 : n + 1])):
+            better = other >= worth
+            worth, step = np.where(better, other, worth), np.where(better, np.int8(k), step)
+        new = worth + gain[:, r, c:]
+        on = new > 0
+        w[:, r + 2, c + 2 :] = np.where(on, new, 0)
+        way[:, r, c:n] = np.where(on & (worth > 0), step, 0)
+    best, head = np.zeros((len(sims), n + 2, n + 2)), np.full((len(sims), n + 2, n + 2), -1, np.int64)
+    for r in range(n - first - 1, -1, -1):
+        c = r + first
+        b = w[:, r + 2, c + 2 :].copy()
+        h = np.where(b > 0, r * size[:, None] + place[c:], -1)
+        for k, dr, dc in ((1, 1, 1), (2, 1, 2), (3, 2, 1)):
+            ob, oh = best[:, r + dr, c + dc : n + dc], head[:, r + dr, c + dc : n + dc]
+            better = (way[:, r + dr, c + dc : n + dc] == k) & ((ob > b) | ((ob == b) & (oh < h)))
+            b, h = np.where(better, ob, b), np.where(better, oh, h)
+        best[:, r, c:n], head[:, r, c:n] = b, h
     out = []
-    for k in np.lexsort((heads, -np.array(worth))).tolist() if heads else []:
-        cells = np.stack([places[k] // n, places[k] % n], axis=1).astype(np.int32)
-        out.append((cells, cell(cells[:, 0], cells[:, 1])))
-    return apart(out, low)
+    for k, (s, lo) in enumerate(zip(sims, low, strict=True)):
+        end = len(s) + 2
+        out.append(_settled(best[k, :end, :end], head[k, :end, :end], len(s), lo, lambda i, j, s=s: s[i, j]))
+    return out
 
 
 # Long series: tiles as rows.

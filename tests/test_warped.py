@@ -79,3 +79,24 @@ def test_tiles_give_what_the_whole_gives(spark, tile):
         whole = sorted(tuple(x) for x in motifs.motif_sets(df, low, high, rho).collect())
         tiled = sorted(tuple(x) for x in motifs.motif_sets(df, low, high, rho, tile=tile).collect())
         assert whole == tiled and {0, 1, 3} <= {x[0] for x in whole}
+
+
+def test_several_series_are_searched_as_each_alone():
+    """Those of about one length share each step of their rows; before, every log took all steps by itself."""
+    rng = np.random.default_rng(5)
+    series = [(rng.integers(0, 4, (n, 2)).astype(float), low, high) for n, low, high in ((40, 3, 9), (64, 5, 12), (5, 3, 4), (63, 2, 30), (90, 4, 4), (1, 2, 2), (720, 6, 9))]
+    series += [(np.zeros((30, 3)), 3, 6), (rng.normal(size=(50, 1)), 2, 8)]
+    found = dict(motifs.several_sets(series, 0.7))
+    for k, (x, low, high) in enumerate(series):
+        assert found.get(k, []) == motifs.time_warped_sets(x, low, high, 0.7)
+    assert len(found) > 5 and sum(map(len, found.values())) > len(found)
+
+
+def test_many_short_logs_are_dealt_and_keep_their_own_lengths(spark):
+    rng = np.random.default_rng(6)
+    logs = {g: (rng.integers(0, 3, (20 + 7 * (g % 5), 2)).astype(float), 3 + g % 3, 8 + g % 4) for g in range(25)}
+    rows = [(g, i, v, low, high) for g, (x, low, high) in logs.items() for i, v in reversed(list(enumerate(x.tolist())))]
+    log = spark.createDataFrame(rows, "log_id long, event_index long, vector array<double>, lo int, hi int")
+    got = sorted(map(tuple, motifs.motif_sets(log, "lo", "hi", 0.7).collect()))
+    want = [(g, c, a, b) for g, (x, low, high) in logs.items() for c, (_, members) in enumerate(motifs.time_warped_sets(x, low, high, 0.7)) for a, b in members]
+    assert got == sorted(want) and got
